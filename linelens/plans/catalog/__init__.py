@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from linelens.plans.catalog import base, process
+from linelens.plans.catalog import base, causes, flows, process
 
 
 def queries():

@@ -33,15 +33,11 @@ def p1(spark, sf):
     return profile.column_stats(hourly(spark, sf)).select("column", "nulls", "unique", "min", "max", "mean", "std")
 
 
-@query("p1_column_stats_orders", _stats_sql(O, "o", ORDER_COLUMNS, set()), digits=2)
+@query("p1_column_stats_orders", _stats_sql(O, "o", ORDER_COLUMNS, set()).replace(", 4)", ", 2)"), digits=2)
 def p1_orders(spark, sf):
     return profile.column_stats(orders(spark, sf)).select("column", "nulls", "unique", "min", "max", "mean", "std")
 
 
-from linelens.plans.catalog import base as _base
-
-_base.ORACLES["p1_column_stats_orders"] = _stats_sql(O, "o", ORDER_COLUMNS, set()).replace(", 4)", ", 2)")
-
 _METRIC_SQL = "CASE " + " ".join(f"WHEN regexp_matches(c, '{p}', 'i') THEN '{m}'" for m, p in fixed.METRIC_PATTERNS) + " END"
 _STOP = "(" + ", ".join(f"'{w}'" for w in fixed.NON_STATION_TOKENS) + ")"
 _NAMES_X = "(VALUES " + ", ".join(f"('{c}')" for c in DIRTY_COLUMNS) + ") n(c)"
@@ -443,7 +439,7 @@ def j2(spark, sf):
     return _model_input(spark, sf)[0].select("Time_Now", *_PRED, "throughput_units")
 
 
-@query("j3_complete_response_rows", f"{H} SELECT Time_Now, {r('click_Cycle')} AS click_Cycle, {r('view_Cycle')} AS view_Cycle FROM h WHERE click_Cycle IS NOT NULL AND view_Cycle IS NOT NULL")
+@query("j3_complete_response_rows", f"{H} SELECT Time_Now, {r('click_Cycle', 6)} AS click_Cycle, {r('view_Cycle', 6)} AS view_Cycle FROM h WHERE click_Cycle IS NOT NULL AND view_Cycle IS NOT NULL", digits=6)
 def j3(spark, sf):
     return align.complete_response_rows(hourly(spark, sf).select("Time_Now", "click_Cycle", "view_Cycle"), ["click_Cycle", "view_Cycle"])
 
@@ -451,7 +447,7 @@ def j3(spark, sf):
 _CYC = [c for c in V.HOURLY_METRICS if c.endswith("_Cycle")]
 
 
-@query("j4_impute_median", f"{H} SELECT Time_Now, " + ", ".join(f"{r(f'coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM h))')} AS {c}" for c in _CYC) + " FROM h")
+@query("j4_impute_median", f"{H} SELECT Time_Now, " + ", ".join(f"{r(f'coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM h))', 6)} AS {c}" for c in _CYC) + " FROM h", digits=6)
 def j4(spark, sf):
     return align.impute_median(hourly(spark, sf, True).select("Time_Now", *_CYC), _CYC)[0]
 
@@ -499,7 +495,7 @@ def j12(spark, sf):
 
 
 @query("j11_asof_link", """WITH i AS (SELECT event_id, event_type, ts FROM events WHERE event_type IN ('error', 'view')), p AS (SELECT event_type, max(value) AS value, s FROM
-    (SELECT event_type, value, epoch(ts)::BIGINT AS s, ts FROM events WHERE event_type IN ('error', 'view') AND value > 60) q GROUP BY event_type, s),
+    (SELECT event_type, value, floor(epoch(ts))::BIGINT AS s, ts FROM events WHERE event_type IN ('error', 'view') AND value > 60) q GROUP BY event_type, s),
   j AS (SELECT i.event_id, p.value, row_number() OVER (PARTITION BY i.event_id ORDER BY p.s DESC) AS k FROM i JOIN p ON p.event_type = i.event_type AND p.s <= floor(epoch(i.ts))::BIGINT
     AND floor(epoch(i.ts))::BIGINT - p.s <= 3600)
   SELECT i.event_id, """ + r("j.value") + """ AS process_value, CASE WHEN j.event_id IS NULL THEN 'NOT_AVAILABLE' ELSE 'LINKED' END AS link_status FROM i LEFT JOIN j ON j.event_id = i.event_id AND j.k = 1""")

@@ -2,7 +2,8 @@
 
 The view text is plain SQL that both Spark and DuckDB accept, so an operator and its
 check run on the same input. ``process_hourly`` has one row per calendar hour, which
-bounds the row_number window in it.
+bounds the row_number window in it. Sums are rounded to 6 digits, so that the order of
+addition leaves no trace in the input of an operator.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ def _hourly_sql() -> str:
     parts = []
     for s in EVENT_STATIONS:
         parts.append(
-            f"CAST(SUM(CASE WHEN event_type='{s}' THEN 1 ELSE 0 END) AS DOUBLE)/COUNT(*) AS {s}_Util, "
-            f"SUM(CASE WHEN event_type='{s}' THEN value ELSE CAST(0 AS DOUBLE) END) AS {s}_Queue, "
-            f"AVG(CASE WHEN event_type='{s}' THEN value END) AS {s}_Cycle")
+            f"round(CAST(SUM(CASE WHEN event_type='{s}' THEN 1 ELSE 0 END) AS DOUBLE)/COUNT(*), 6) AS {s}_Util, "
+            f"round(SUM(CASE WHEN event_type='{s}' THEN value ELSE CAST(0 AS DOUBLE) END), 6) AS {s}_Queue, "
+            f"round(AVG(CASE WHEN event_type='{s}' THEN value END), 6) AS {s}_Cycle")
     return (
         "SELECT CAST(ROW_NUMBER() OVER (ORDER BY hour_ts) - 1 AS BIGINT) AS Time_Now, * FROM ("
         "SELECT date_trunc('hour', ts) AS hour_ts, COUNT(DISTINCT user_id) AS Demand, "
         + ", ".join(parts)
-        + ", SUM(value) AS throughput_units FROM events GROUP BY date_trunc('hour', ts)) h")
+        + ", round(SUM(value), 6) AS throughput_units FROM events GROUP BY date_trunc('hour', ts)) h")
 
 
 def _orders_sql() -> str:
@@ -38,7 +39,7 @@ def _orders_sql() -> str:
             f"CAST(SUM(CASE WHEN l_linenumber={n} THEN l_quantity END) AS DOUBLE) AS Line{n}_Queue")
     return (
         "SELECT l_orderkey AS row_key, COUNT(*) AS Demand, " + ", ".join(parts)
-        + ", CAST(SUM(l_extendedprice) AS DOUBLE) AS throughput_units FROM lineitem GROUP BY l_orderkey")
+        + ", round(CAST(SUM(l_extendedprice) AS DOUBLE), 6) AS throughput_units FROM lineitem GROUP BY l_orderkey")
 
 
 def _dirty_sql(hourly: str) -> str:
