@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from linelens.plans.catalog import base, causes, flows, process
+from linelens.plans.catalog import base, causes, flows, inspection, models, process
 
 
 def queries():

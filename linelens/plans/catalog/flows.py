@@ -165,8 +165,8 @@ def j13(spark, sf):
     return flow.outside_sequence(V.table(spark, sf, "events").select(F.col("event_type").alias("station")).distinct(), _sequence(spark))
 
 
-@query("b11_what_if_inputs", f"""{_SH}, c AS (SELECT arg_min(station, rank) AS s FROM st WHERE status IN ('CANDIDATE_BOTTLENECK', 'POSSIBLE_CONTRIBUTOR')), i AS (SELECT * FROM ({_impact_sql(H, 'h', _UT)}))
-  SELECT st.station, {r('st.utilization')} AS current_utilization, {r('st.queue_wait')} AS current_queue, {r('st.cycle_time')} AS current_cycle_time, i.output_column, i.unconstrained_mean FROM st JOIN c ON c.s = st.station LEFT JOIN i ON i.station = st.station""")
+@query("b11_what_if_inputs", f"""{_SH}, cand AS (SELECT arg_min(station, rank) AS s FROM st WHERE status IN ('CANDIDATE_BOTTLENECK', 'POSSIBLE_CONTRIBUTOR')), i AS (SELECT * FROM ({_impact_sql(H, 'h', _UT)}))
+  SELECT st.station, {r('st.utilization')} AS current_utilization, {r('st.queue_wait')} AS current_queue, {r('st.cycle_time')} AS current_cycle_time, i.output_column, i.unconstrained_mean FROM st JOIN cand ON cand.s = st.station LEFT JOIN i ON i.station = st.station""")
 def b11(spark, sf):
     df = hourly(spark, sf, True)
     out = flow.what_if_inputs(ranked_stations(df), _impact(df, _UT))
@@ -305,7 +305,7 @@ def e3(spark, sf):
     return economics.run_scenarios(scenario_rows(spark, sf), baseline(spark, sf)).select(*_KEY, "scenario_status", "scenario_units_per_day", "scenario_utilization")
 
 
-@query("e4_scenario_delta", f"{_RUN} SELECT {_KSQL}, {r('du', 2)} AS units_delta, {r('dd', 2)} AS daily_delta, {r('dd * working_days_per_month', 2)} AS monthly_delta FROM c", digits=2)
+@query("e4_scenario_delta", f"{_RUN} SELECT {_KSQL}, {r('du')} AS units_delta, {r('dd')} AS daily_delta, {r('dd * working_days_per_month')} AS monthly_delta FROM c")
 def e4(spark, sf):
     return deltas(spark, sf).select(*_KEY, "units_delta", "daily_delta", "monthly_delta")
 
@@ -355,7 +355,7 @@ def j14(spark, sf):
 
 # --- recommendations: one dataset per nation again, its candidate station the nation name
 
-_CAND = """SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS dataset_id, n_name AS station, CAST((n_nationkey % 5) / 4.0 AS DOUBLE) AS utilization_pressure, CAST((n_nationkey % 4) / 3.0 AS DOUBLE) AS queue_pressure, CAST((n_nationkey % 3) / 2.0 AS DOUBLE) AS cycle_time_pressure,
+_CAND = """SELECT 'n' || CAST(n_nationkey AS VARCHAR(32)) AS dataset_id, n_name AS station, CAST((n_nationkey % 5) / 4.0 AS DOUBLE) AS utilization_pressure, CAST((n_nationkey % 4) / 3.0 AS DOUBLE) AS queue_pressure, CAST((n_nationkey % 3) / 2.0 AS DOUBLE) AS cycle_time_pressure,
   CAST(n_regionkey AS DOUBLE) AS utilization_mean, CAST(n_regionkey AS DOUBLE) AS queue_wait_mean, CAST(n_regionkey AS DOUBLE) AS cycle_time_mean, CAST(100 AS BIGINT) AS utilization_samples, CAST(100 AS BIGINT) AS queue_wait_samples, CAST(100 AS BIGINT) AS cycle_time_samples,
   CASE WHEN n_nationkey % 3 = 0 THEN 'HIGH_EVIDENCE' WHEN n_nationkey % 3 = 1 THEN 'MODERATE_EVIDENCE' ELSE 'LIMITED_EVIDENCE' END AS evidence_quality, CASE WHEN n_nationkey % 2 = 0 THEN 'x' END AS rca_factor, CAST(50 AS DOUBLE) AS rca_score FROM nation"""
 
