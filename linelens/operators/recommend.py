@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from linelens.functions import fixed
 from linelens.functions.expr import short_id
 from linelens.operators.language import validate
+from linelens.session import materialize
 
 RULES = ["high_utilization", "queue_bottleneck", "cycle_time", "process_drift", "anomaly_review", "scenario",
          "data_gap_economics", "data_gap_vision"]
@@ -132,7 +133,7 @@ def priority(quality: Column, bottleneck: Column, scenario: Column, economics: C
 
 def finish(produced: DataFrame, candidates: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Gate, priority, one per (action, target), rank. Rejected rows stay with their errors and no rank."""
-    checked = validate(produced)
+    checked = materialize(validate(produced))  # a few rows per dataset; the rules behind them run once
     context = candidates.select("dataset_id", F.col("station").alias("_candidate"))
     done = scenarios.groupBy("dataset_id").agg(F.lit(True).alias("_has"), F.bool_or(F.col("delta_status") == "CALCULATED").alias("_calc"))
     joined = checked.join(F.broadcast(context), "dataset_id", "left").join(F.broadcast(done), "dataset_id", "left")

@@ -282,8 +282,8 @@ _SCN = "(VALUES ('utilization_reduction', 0.1, NULL), ('utilization_reduction',
 _SCENARIOS = [("utilization_reduction", 0.1, None), ("utilization_reduction", -0.1, None), ("throughput_scaling", 0.05, "user_assumption"), ("throughput_scaling", 0.05, "data"), ("demand_uplift", 0.2, None), ("demand_uplift", 0.99, None), ("magic", 0.1, None)]
 _RUN = _BASE + f""", q AS (SELECT b.*, v.kind, v.change::DOUBLE AS change, v.basis, (kind = 'utilization_reduction' AND util IS NOT NULL AND change > 0) OR (kind = 'throughput_scaling' AND basis = 'user_assumption' AND thr IS NOT NULL)
     OR (kind = 'demand_uplift' AND abs(change) <= 0.95 AND units IS NOT NULL) AS ok FROM b, {_SCN}),
-  z AS (SELECT *, CASE WHEN coalesce(ok, false) THEN CASE WHEN kind = 'demand_uplift' THEN units * (1 + change) WHEN kind = 'throughput_scaling' THEN thr * (1 + change) * working_hours_per_day ELSE units END END AS su FROM q),
-  d AS (SELECT *, su - units AS du, (su - units) * contribution_margin_per_unit AS dd FROM z),
+  z AS (SELECT *, CASE WHEN coalesce(ok, false) THEN CASE WHEN kind = 'demand_uplift' THEN round(units * (1 + change), 6) WHEN kind = 'throughput_scaling' THEN round(thr * (1 + change), 6) * working_hours_per_day ELSE units END END AS su FROM q),
+  d AS (SELECT *, round(su - units, 6) AS du, round(round(su - units, 6) * contribution_margin_per_unit, 6) AS dd FROM z),
   c AS (SELECT *, du * expected_defect_rate * scrap_cost_per_unit AS scrap, du * expected_rework_rate * rework_cost_per_unit AS rework, downtime_hours_per_day * downtime_cost_per_hour AS downtime, working_hours_per_day * operating_cost_per_hour AS operating FROM d)"""
 
 
@@ -305,7 +305,7 @@ def e3(spark, sf):
     return economics.run_scenarios(scenario_rows(spark, sf), baseline(spark, sf)).select(*_KEY, "scenario_status", "scenario_units_per_day", "scenario_utilization")
 
 
-@query("e4_scenario_delta", f"{_RUN} SELECT {_KSQL}, {r('du')} AS units_delta, {r('dd')} AS daily_delta, {r('dd * working_days_per_month')} AS monthly_delta FROM c")
+@query("e4_scenario_delta", f"{_RUN} SELECT {_KSQL}, {r('du')} AS units_delta, {r('dd')} AS daily_delta, {r('round(dd * working_days_per_month, 6)')} AS monthly_delta FROM c")
 def e4(spark, sf):
     return deltas(spark, sf).select(*_KEY, "units_delta", "daily_delta", "monthly_delta")
 

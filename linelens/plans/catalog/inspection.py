@@ -243,9 +243,9 @@ def requests(spark, sf):
 
 
 _SIMPLE = f"{_PROB}, s AS (SELECT inspection_id, label, confidence, CASE WHEN predicted = 0 THEN CASE WHEN confidence >= 0.8 THEN 'PASS' ELSE 'REVIEW' END ELSE CASE WHEN confidence >= 0.7 THEN 'DEFECT' ELSE 'REVIEW' END END AS decision FROM c)"
-_REV = f"""{_SIMPLE}, a AS (SELECT vec_id AS inspection_id, {_ACT} AS action, 1 AS at FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 'mark_pass', 2 FROM embeddings WHERE vec_id % 9 = 0),
+_REV = f"""{_SIMPLE}, a AS (SELECT vec_id AS inspection_id, {_ACT} AS action, 1 AS seq FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 'mark_pass', 2 FROM embeddings WHERE vec_id % 9 = 0),
   h AS (SELECT *, CASE action WHEN 'confirm_defect' THEN 'DEFECT' WHEN 'mark_pass' THEN 'PASS' WHEN 'keep_in_review' THEN 'REVIEW' ELSE 'ESCALATED' END AS human_decision FROM a),
-  l AS (SELECT inspection_id, arg_max(human_decision, at) AS human_decision, arg_max(action, at) AS action FROM h GROUP BY inspection_id)"""
+  l AS (SELECT inspection_id, arg_max(human_decision, seq) AS human_decision, arg_max(action, seq) AS action FROM h GROUP BY inspection_id)"""
 
 
 @query("h1_record_review", f"""{_REV}, ok AS (SELECT h.inspection_id, h.action, h.human_decision, s.decision AS ai_decision, CAST(NULL AS VARCHAR) AS reason FROM h JOIN s USING (inspection_id))
@@ -315,8 +315,8 @@ def i2(spark, sf):
 _SUF = "CASE WHEN status IN ('COMPLETE', 'REVIEW') THEN stage || '_complete' WHEN status = 'DATA_GAP' THEN stage || '_data_gap' WHEN status = 'AWAITING_INPUT' THEN stage || '_awaiting_input' WHEN status = 'FAILED' THEN stage || '_failed' END"
 
 
-@query("i3_event_feed", f"""{_INV}, e AS (SELECT inspection_id, {_SUF} AS type FROM v WHERE position > 3 UNION ALL SELECT inspection_id, unnest(['inspection_completed', 'investigation_triggered']) FROM s
-  UNION ALL SELECT inspection_id, 'defect_detected' FROM s WHERE decision = 'DEFECT' UNION ALL SELECT inspection_id, 'review_required' FROM s WHERE decision = 'REVIEW') SELECT inspection_id, type FROM e WHERE type IS NOT NULL""")
+@query("i3_event_feed", f"""{_INV}, ev AS (SELECT inspection_id, {_SUF} AS type FROM v WHERE position > 3 UNION ALL SELECT inspection_id, unnest(['inspection_completed', 'investigation_triggered']) FROM s
+  UNION ALL SELECT inspection_id, 'defect_detected' FROM s WHERE decision = 'DEFECT' UNION ALL SELECT inspection_id, 'review_required' FROM s WHERE decision = 'REVIEW') SELECT inspection_id, type FROM ev WHERE type IS NOT NULL""")
 def i3(spark, sf):
     return investigate.event_feed(investigate.investigate(inspection_rows(spark, sf), context(spark, sf))).select("inspection_id", "type")
 
@@ -337,7 +337,7 @@ def _folder(spark, name):
 def t1(spark, sf):
     """The same decision code on a file stream; every input row arrives in the sink once."""
     src, out, ckpt = (_folder(spark, n) for n in ("t1-in", "t1-out", "t1-ckpt"))
-    inputs(spark, sf).select("inspection_id", F.timestamp_seconds(F.col("inspection_id")).alias("ts"), "label", "logits").repartition(4).write.parquet(src)
+    inputs(spark, sf).select("inspection_id", F.timestamp_seconds(F.col("inspection_id") + 1_000_000_000).alias("ts"), "label", "logits").repartition(4).write.parquet(src)
     live = stream.score(stream.read_inputs(spark, src, files_per_trigger=2), TEMPERATURE)
     stream.run_to_table(live.select("inspection_id", "decision", "confidence"), out, ckpt)
     return spark.read.parquet(out)
@@ -361,7 +361,7 @@ def t2(spark, sf):
 def t3(spark, sf):
     """Each record is sent twice; every DEFECT or REVIEW opens one investigation."""
     src, out, ckpt = (_folder(spark, n) for n in ("t3-in", "t3-out", "t3-ckpt"))
-    rows = inputs(spark, sf).select("inspection_id", F.timestamp_seconds(F.col("inspection_id")).alias("ts"), "label", "logits")
+    rows = inputs(spark, sf).select("inspection_id", F.timestamp_seconds(F.col("inspection_id") + 1_000_000_000).alias("ts"), "label", "logits")
     rows.unionByName(rows).repartition(4).write.parquet(src)
     live = stream.score(stream.unique_inspections(stream.read_inputs(spark, src, files_per_trigger=2)), TEMPERATURE)
     stream.auto_investigate(live, context(spark, sf), "plant_a", out, ckpt).awaitTermination()

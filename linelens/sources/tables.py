@@ -58,7 +58,10 @@ def scan_delimited(spark: SparkSession, path: str, schema: str | None = None, ke
 def parse_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that do not fit the schema: the error ledger of a delimited file."""
     df = spark.read.options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(f"{schema}, {CORRUPT} string").csv(path)
-    return df.select(F.col(CORRUPT).alias("line"), F.input_file_name().alias("path")).where("line is not null")
+    # the reader wants a data column in the condition as well
+    data = [q(c).cast("string") for c in df.columns if c != CORRUPT]
+    held = F.length(F.concat_ws("", F.col(CORRUPT), *data)) > 0
+    return df.where(F.col(CORRUPT).isNotNull() & held).select(F.col(CORRUPT).alias("line"), F.input_file_name().alias("path"))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
