@@ -143,6 +143,31 @@ def stack_rows(wide: DataFrame, rows: list[dict[str, Column]], keep: list[str] |
     return wide.select(*(keep or []), F.explode(structs).alias("_s")).select(*(keep or []), "_s.*")
 
 
+# --- the same as SQL text: one call builds a wide select list, however many columns it has
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def finite_sql(name: str) -> str:
+    d = f"CAST({quoted(name)} AS DOUBLE)"
+    return f"(CASE WHEN abs({d}) < DOUBLE('Infinity') THEN {d} END)"
+
+
+def present_sql(name: str) -> str:
+    return f"nanvl(CAST({quoted(name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
+def stack_sql(wide: DataFrame, rows: list[dict[str, str]]) -> DataFrame:
+    """stack_rows for SQL text: values are expressions over the wide row."""
+    entries = ", ".join("named_struct(" + ", ".join(f"'{k}', {e}" for k, e in row.items()) + ")" for row in rows)
+    return wide.selectExpr(f"inline(array({entries}))")
+
+
 def text(value) -> Column:
     return F.lit(value).cast("string")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linelens.functions import fixed
-from linelens.functions.expr import finite, is_numeric, present, q, stack_rows, to_number
+from linelens.functions.expr import finite, is_numeric, literal, present_sql, q, quoted, stack_rows, stack_sql, to_number
 from linelens.operators.ordered import exact_quantiles
 from linelens.operators.profile import Meta, distinct_counts
 
@@ -14,8 +14,7 @@ EXTREME = 1e12
 
 
 def empty_columns(df: DataFrame) -> list[str]:
-    counts = df.agg(*[F.count(present(q(f.name)) if is_numeric(f.dataType) else q(f.name)).alias(f"c{i}")
-                      for i, f in enumerate(df.schema)]).first()
+    counts = df.selectExpr(*[f"count({present_sql(f.name) if is_numeric(f.dataType) else quoted(f.name)}) AS c{i}" for i, f in enumerate(df.schema)]).first()
     return [f.name for i, f in enumerate(df.schema) if counts[f"c{i}"] == 0]
 
 
@@ -81,10 +80,9 @@ def constant_columns(df: DataFrame) -> DataFrame:
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
-    cols = df.schema
-    counts = df.agg(*[F.count_if((present(q(f.name)) if is_numeric(f.dataType) else q(f.name)).isNull()).alias(f"c{i}")
-                      for i, f in enumerate(cols)])
-    return stack_rows(counts, [{"column": F.lit(f.name), "missing": F.col(f"c{i}")} for i, f in enumerate(cols)]).where("missing > 0")
+    counts = df.selectExpr("count(1) AS _n", *[
+        f"count({present_sql(f.name) if is_numeric(f.dataType) else quoted(f.name)}) AS c{i}" for i, f in enumerate(df.schema)])
+    return stack_sql(counts, [{"column": literal(f.name), "missing": f"_n - c{i}"} for i, f in enumerate(df.schema)]).where("missing > 0")
 
 
 def clean_table(df: DataFrame, meta: Meta, order_col: str | None = None, aligned: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from linelens.functions import fixed
 from linelens.functions.expr import (
-    at_least, at_most, finite, is_numeric, pearson_p, q, rounded, stack_rows, to_long, two_sided_p, weighted_score)
+    at_least, at_most, finite, finite_sql, is_numeric, literal, pearson_p, q, rounded, stack_rows, stack_sql, to_long, two_sided_p, weighted_score)
 from linelens.operators.ordered import attach_ranks, average_ranks, exact_quantiles, running_sums, with_row_index
 from linelens.operators.profile import distinct_counts
 from linelens.operators.split import seeded_key
@@ -104,14 +104,12 @@ def select_factors(df: DataFrame, target: str, responses: list[str], limit: int
 
 def correlations(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
     """Pearson r and p per factor over the rows where both are present: one wide scan."""
-    yy, aggs = finite(q(y)), []
+    yy, aggs = finite_sql(y), []
     for i, c in enumerate(factors):
-        x = finite(q(c))
-        both = x.isNotNull() & yy.isNotNull()
-        px, py = F.when(both, x), F.when(both, yy)
-        aggs += [F.count_if(both).alias(f"n{i}"), F.corr(x, yy).alias(f"r{i}"),
-                 ((F.max(px) > F.min(px)) & (F.max(py) > F.min(py))).alias(f"v{i}")]
-    rows = stack_rows(df.agg(*aggs), [{"factor": F.lit(c), "n": F.col(f"n{i}"), "r": F.col(f"r{i}"), "varies": F.col(f"v{i}")} for i, c in enumerate(factors)])
+        x = finite_sql(c)
+        px, py = f"CASE WHEN {yy} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {yy} END"
+        aggs += [f"count({px}) AS n{i}", f"corr({x}, {yy}) AS r{i}", f"(max({px}) > min({px}) AND max({py}) > min({py})) AS v{i}"]
+    rows = stack_sql(df.selectExpr(*aggs), [{"factor": literal(c), "n": f"n{i}", "r": f"r{i}", "varies": f"v{i}"} for i, c in enumerate(factors)])
     ok = (F.col("n") >= 30) & F.col("varies")
     return rows.select("factor", "n", ok.alias("available"), F.when(ok, rounded(F.col("r"))).alias("pearson_r"),
                        F.when(ok, rounded(pearson_p(F.col("r"), F.col("n")), 8)).alias("pearson_p"))
@@ -195,13 +193,13 @@ def mutual_information(df: DataFrame, y: str, factors: list[str], row_key: str,
 
 def group_effect(flagged: DataFrame, factors: list[str]) -> DataFrame:
     """Means in and out of the event, difference and standardised effect: one wide scan."""
-    ev, aggs = F.col(EVENT), []
+    aggs = []
     for i, c in enumerate(factors):
-        inside, outside = F.when(ev, finite(q(c))), F.when(~ev, finite(q(c)))
-        for k, v in (("a", inside), ("b", outside)):
-            aggs += [F.count(v).alias(f"n{k}{i}"), F.avg(v).alias(f"m{k}{i}"), F.var_samp(v).alias(f"v{k}{i}")]
-    rows = stack_rows(flagged.agg(*aggs), [
-        {"factor": F.lit(c), **{f"{s}{k}": F.col(f"{s}{k}{i}") for s in "nmv" for k in "ab"}} for i, c in enumerate(factors)])
+        for k, cond in (("a", EVENT), ("b", f"NOT {EVENT}")):
+            v = f"CASE WHEN {cond} THEN {finite_sql(c)} END"
+            aggs += [f"count({v}) AS n{k}{i}", f"avg({v}) AS m{k}{i}", f"var_samp({v}) AS v{k}{i}"]
+    rows = stack_sql(flagged.selectExpr(*aggs), [
+        {"factor": literal(c), **{f"{s}{k}": f"{s}{k}{i}" for s in "nmv" for k in "ab"}} for i, c in enumerate(factors)])
     ok = (F.col("na") >= 10) & (F.col("nb") >= 10)
     pooled = F.sqrt((F.col("va") + F.col("vb")) / 2)
     diff = F.col("ma") - F.col("mb")

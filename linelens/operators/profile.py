@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linelens.functions import fixed
-from linelens.functions.expr import is_numeric, present, q, rounded, stack_rows, text
+from linelens.functions.expr import is_numeric, literal, present, present_sql, q, quoted, stack_rows, stack_sql
 
 HEAD_ROWS = 256
 
@@ -22,33 +22,30 @@ def _number(df: DataFrame, c: str) -> Column:
 
 def column_facts(df: DataFrame) -> DataFrame:
     """One row per column from a single scan: counts, min, max, mean, sample deviation, numeric text share."""
-    aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
+    aggs, rows = ["count(1) AS _rows"], []
     for i, f in enumerate(df.schema):
-        c = _number(df, f.name)
         numeric = is_numeric(f.dataType)
-        aggs.append(F.count(c).alias(f"n{i}"))
+        c = present_sql(f.name) if numeric else quoted(f.name)
+        aggs.append(f"count({c}) AS n{i}")
         if numeric:
-            for fn, key in ((F.min, "lo"), (F.max, "hi"), (F.avg, "mu"), (F.stddev_samp, "sd")):
-                aggs.append(fn(c).alias(f"{key}{i}"))
-        elif isinstance(f.dataType, T.StringType):
-            aggs.append(F.count_if(c.try_cast("double").isNotNull()).alias(f"num{i}"))
-        stat = lambda key: F.col(f"{key}{i}") if numeric else F.lit(None).cast("double")
+            aggs += [f"min({c}) AS lo{i}", f"max({c}) AS hi{i}", f"avg({c}) AS mu{i}", f"stddev_samp({c}) AS sd{i}"]
+        text_column = isinstance(f.dataType, T.StringType)
+        if text_column:
+            aggs.append(f"count_if(try_cast({c} AS DOUBLE) IS NOT NULL) AS num{i}")
+        stat = lambda key: f"{key}{i}" if numeric else "CAST(NULL AS DOUBLE)"
         rows.append({
-            "ordinal": F.lit(i), "column": F.lit(f.name), "dtype": F.lit(f.dataType.simpleString()),
-            "rows": F.col("_rows"), "nonnull": F.col(f"n{i}"), "nulls": F.col("_rows") - F.col(f"n{i}"),
-            "min": stat("lo"), "max": stat("hi"), "mean": stat("mu"), "std": stat("sd"),
-            "numeric_text": F.col(f"num{i}") if isinstance(f.dataType, T.StringType) else F.lit(None).cast("long"),
-        })
-    return stack_rows(df.agg(*aggs), rows)
+            "ordinal": f"{i}", "column": literal(f.name), "dtype": literal(f.dataType.simpleString()), "rows": "_rows", "nonnull": f"n{i}", "nulls": f"_rows - n{i}",
+            "min": stat("lo"), "max": stat("hi"), "mean": stat("mu"), "std": stat("sd"), "numeric_text": f"num{i}" if text_column else "CAST(NULL AS BIGINT)"})
+    return stack_sql(df.selectExpr(*aggs), rows)
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value, n) for the non-null values of every column; values as text, numbers as doubles."""
     columns = columns or df.columns
-    texts = df.select(*[
-        ((_number(df, c) + F.lit(0.0)) if is_numeric(df.schema[c].dataType) else q(c)).cast("string").alias(c)
+    texts = df.selectExpr(*[
+        f"CAST({present_sql(c)} + 0D AS STRING) AS {quoted(c)}" if is_numeric(df.schema[c].dataType) else f"CAST({quoted(c)} AS STRING) AS {quoted(c)}"
         for c in columns])
-    long = texts.unpivot([], [q(c) for c in columns], "column", "value").where("value is not null")
+    long = texts.unpivot([], [quoted(c) for c in columns], "column", "value").where("value is not null")
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: dict[str, str] = {}
 
@@ -29,7 +30,7 @@ def get_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables.
+    """The folder for intermediate tables and checkpoints.
 
     Taken from ``spark.checkpoint.dir``. Only a local-mode session without that
     setting gets a temporary folder; on a cluster a missing setting is an error,
@@ -51,7 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df):
-    """Cut the lineage through reliable storage, so lost executors cost no re-run of the past."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame) -> DataFrame:
+    """Write the rows once as a parquet table in the shared folder and go on from that table.
+
+    This cuts the lineage through storage that outlives executors, fixes whatever was not
+    deterministic (range borders, generated ids), and later readers scan only the columns
+    they use.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
