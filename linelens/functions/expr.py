@@ -72,7 +72,7 @@ def row_sum(cols: list[Column]) -> Column:
 
 
 def row_mean(cols: list[Column]) -> Column:
-    return row_sum(cols) / known_count(cols)
+    return F.try_divide(row_sum(cols), known_count(cols))
 
 
 def row_spread(cols: list[Column]) -> Column:
@@ -162,6 +162,12 @@ def present_sql(name: str) -> str:
     return f"nanvl(CAST({quoted(name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
+def corr_sql(x: str, y: str) -> str:
+    """Pearson r over the pairs, null without spread (corr() itself fails there in ANSI mode)."""
+    px, py = f"(CASE WHEN {y} IS NOT NULL THEN {x} END)", f"(CASE WHEN {x} IS NOT NULL THEN {y} END)"
+    return f"try_divide(covar_pop({px}, {py}), stddev_pop({px}) * stddev_pop({py}))"
+
+
 def stack_sql(wide: DataFrame, rows: list[dict[str, str]]) -> DataFrame:
     """stack_rows for SQL text: values are expressions over the wide row."""
     entries = ", ".join("named_struct(" + ", ".join(f"'{k}', {e}" for k, e in row.items()) + ")" for row in rows)

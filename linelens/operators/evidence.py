@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from linelens.functions import fixed
 from linelens.functions.expr import (
-    at_least, at_most, finite, finite_sql, is_numeric, literal, pearson_p, q, rounded, stack_rows, stack_sql, to_long, two_sided_p, weighted_score)
+    at_least, at_most, corr_sql, finite, finite_sql, is_numeric, literal, pearson_p, q, rounded, stack_rows, stack_sql, to_long, two_sided_p, weighted_score)
 from linelens.operators.ordered import attach_ranks, average_ranks, exact_quantiles, running_sums, with_row_index
 from linelens.operators.profile import distinct_counts
-from linelens.operators.split import seeded_key
+from linelens.operators.split import seeded_key, shuffle_bucket
+from linelens.session import materialize
 
 MI_BINS = 16
 EVENT = "_event"
@@ -108,7 +109,7 @@ def correlations(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
     for i, c in enumerate(factors):
         x = finite_sql(c)
         px, py = f"CASE WHEN {yy} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {yy} END"
-        aggs += [f"count({px}) AS n{i}", f"corr({x}, {yy}) AS r{i}", f"(max({px}) > min({px}) AND max({py}) > min({py})) AS v{i}"]
+        aggs += [f"count({px}) AS n{i}", f"{corr_sql(x, yy)} AS r{i}", f"(max({px}) > min({px}) AND max({py}) > min({py})) AS v{i}"]
     rows = stack_sql(df.selectExpr(*aggs), [{"factor": literal(c), "n": f"n{i}", "r": f"r{i}", "varies": f"v{i}"} for i, c in enumerate(factors)])
     ok = (F.col("n") >= 30) & F.col("varies")
     return rows.select("factor", "n", ok.alias("available"), F.when(ok, rounded(F.col("r"))).alias("pearson_r"),
@@ -122,20 +123,18 @@ def spearman(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
     the target is ranked once for all factors without gaps.
     """
     yy = finite(q(y))
-    gaps = df.agg(*[F.count_if(finite(q(c)).isNull() & yy.isNotNull()).alias(f"c{i}") for i, c in enumerate(factors)]).first()
-    gapless = [c for i, c in enumerate(factors) if gaps[f"c{i}"] == 0]
+    gaps = df.where(yy.isNotNull()).selectExpr("count(1) AS n", *[f"count({finite_sql(c)}) AS c{i}" for i, c in enumerate(factors)]).first()
+    gapless = [c for i, c in enumerate(factors) if gaps[f"c{i}"] == gaps["n"]]
     base = df.where(yy.isNotNull()).select(yy.alias("y"), *[finite(q(c)).alias(c) for c in factors])
     long = base.unpivot(["y"], [q(c) for c in factors], "factor", "x").where("x is not null")
-    pairs = long.groupBy("factor", "x", "y").agg(F.count(F.lit(1)).alias("w"))
     yset = F.when(F.col("factor").isin(gapless), "*").otherwise(F.col("factor")) if gapless else F.col("factor")
-    pairs = pairs.withColumn("yset", yset)
-    x_ranks = average_ranks(long.select("factor", "x"), ["factor"], "x")
-    own = [c for c in factors if c not in gapless]
-    y_rows = base.select(F.lit("*").alias("yset"), "y") if gapless else None
-    if own:
-        part = long.where(F.col("factor").isin(own)).select(F.col("factor").alias("yset"), "y")
-        y_rows = part if y_rows is None else y_rows.unionByName(part)
-    y_ranks = average_ranks(y_rows, ["yset"], "y")
+    # kept once: four passes below read it
+    pairs = materialize(long.groupBy("factor", "x", "y").agg(F.count(F.lit(1)).alias("w")).withColumn("yset", yset))
+    x_ranks = average_ranks(pairs, ["factor"], "x", weight=F.col("w"))
+    y_rows = pairs.where(F.col("yset") != "*").select("yset", "y", "w")
+    if gapless:  # one ranking of the whole target serves all of them
+        y_rows = y_rows.unionByName(pairs.where(F.col("factor") == gapless[0]).select("yset", "y", "w"))
+    y_ranks = average_ranks(y_rows, ["yset"], "y", weight=F.col("w"))
     ranked = attach_ranks(pairs, x_ranks, ["factor"], "x", "rx")
     ranked = attach_ranks(ranked, y_ranks, ["yset"], "y", "ry")
     sizes = pairs.groupBy("factor").agg(F.sum("w").alias("n"))
@@ -166,8 +165,7 @@ def mutual_information(df: DataFrame, y: str, factors: list[str], row_key: str,
     aggregation whose size does not depend on the rows.
     """
     narrow = binned(df, [y, *factors], [seeded_key(seed, q(row_key)).alias("_h")], bins).withColumnRenamed("b_0", "by")
-    bucket = F.substring("_h", 1, 3)  # 4096 random buckets, so no task holds more than its share
-    w = W.partitionBy(bucket).orderBy("_h")
+    w = W.partitionBy(shuffle_bucket(F.col("_h"), df.count())).orderBy("_h")  # random buckets of bounded size
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     paired = narrow.withColumn("bp", F.when(F.row_number().over(w) == 1, F.last("by").over(whole)).otherwise(F.lag("by").over(w)))
     cells = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(f"b_{i + 1}").alias("bx")) for i, c in enumerate(factors)])
@@ -219,7 +217,7 @@ def mann_whitney(flagged: DataFrame, factors: list[str]) -> DataFrame:
     n1, total = F.col("n1").cast("double"), F.col("n").cast("double")
     n2 = total - n1
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((total + 1) - F.col("ties") / (total * (total - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((total + 1) - F.try_divide(F.col("ties"), total * (total - 1))))
     z = (F.greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / sigma
     ok = (n1 >= 10) & (n2 >= 10)
     out = sums.select("factor", ok.alias("ok"), u1.alias("u"), F.when(sigma > 0, z).alias("z"))
@@ -237,14 +235,13 @@ def temporal(flagged: DataFrame, y: str, factors: list[str], order_cols: list[st
         *[q(c).alias(f"_o{i}") for i, c in enumerate(cols)], yy.alias("_y"), EVENT, *[finite(q(c)).alias(f"x{i}") for i, c in enumerate(factors)])
     stats_aggs = []
     for i in range(len(factors)):
-        x = F.col(f"x{i}")
-        ex, ey = F.when(ev, x), F.when(ev & x.isNotNull(), F.col("_y"))
-        stats_aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.count(ex).alias(f"en{i}"), F.corr(ex, ey).alias(f"pc{i}"),
-                       ((F.max(ex) > F.min(ex)) & (F.max(ey) > F.min(ey))).alias(f"pv{i}")]
-    stats = narrow.agg(*stats_aggs)
+        ex, ey = f"(CASE WHEN {EVENT} THEN x{i} END)", f"(CASE WHEN {EVENT} AND x{i} IS NOT NULL THEN _y END)"
+        stats_aggs += [f"count(x{i}) AS n{i}", f"avg(x{i}) AS m{i}", f"count({ex}) AS en{i}", f"{corr_sql(ex, ey)} AS pc{i}",
+                       f"(max({ex}) > min({ex}) AND max({ey}) > min({ey})) AS pv{i}"]
+    stats = narrow.selectExpr(*stats_aggs)
     known = stats.first()  # one number per factor
     live = [i for i in range(len(factors)) if known[f"n{i}"] >= 200]
-    facts = stack_rows(stats, [{"factor": F.lit(c), "n": F.col(f"n{i}"), "en": F.col(f"en{i}"), "pc": F.col(f"pc{i}"), "pv": F.col(f"pv{i}")} for i, c in enumerate(factors)])
+    facts = stack_sql(stats, [{"factor": literal(c), "n": f"n{i}", "en": f"en{i}", "pc": f"pc{i}", "pv": f"pv{i}"} for i, c in enumerate(factors)])
     persistence = F.when((F.col("en") >= 30) & F.col("pv"), rounded(F.col("pc")))
     if not live:
         return facts.select("factor", "n", F.lit(False).alias("available"), F.lit(None).cast("long").alias("change_position"),

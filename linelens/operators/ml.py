@@ -183,17 +183,17 @@ def feature_importance(spark, run: dict, df: DataFrame | None = None, key: str |
 
 def permutation_importance(run: dict, df: DataFrame, key: str, repeats: int = 5, seed: int = 42) -> dict[str, float]:
     """Loss of the selection metric when one column is re-paired with other rows by seeded order."""
-    from linelens.operators.split import seeded_key
+    from linelens.operators.split import seeded_key, shuffle_bucket
 
     measure, sign = run["metric"], 1.0 if run["metric"] == "rmse" else -1.0
     data = df.select("*", q(run["target"]).cast("double").alias("label"))
     base = _score(run["kind"], run["model"].transform(data))[measure]
-    out = {}
+    rows, out = data.count(), {}
     for f in run["features"]:
         losses = []
         for r in range(repeats):
             h = data.select("*", seeded_key(seed * 1000 + r, q(key)).alias("_h"))
-            w = W.partitionBy(F.substring("_h", 1, 2)).orderBy("_h")
+            w = W.partitionBy(shuffle_bucket(F.col("_h"), rows)).orderBy("_h")
             every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
             moved = h.withColumn(f, F.coalesce(F.lag(q(f)).over(w), F.last(q(f)).over(every))).drop("_h")
             losses.append(sign * (_score(run["kind"], run["model"].transform(moved))[measure] - base))

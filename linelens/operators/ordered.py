@@ -80,10 +80,14 @@ def cumulative(df: DataFrame, keys: list[str], order_cols: list[str], weights: d
         *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(f"before_{n}") for n in weights])
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, Column] | None = None) -> DataFrame:
-    """One row per distinct (key, value): count ``n``, 1-based average rank, extra counts."""
+def average_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, Column] | None = None,
+                  weight: Column | None = None) -> DataFrame:
+    """One row per distinct (key, value): count ``n``, 1-based average rank, extra counts.
+
+    Rows may already be counted; ``weight`` is then their count.
+    """
     freq = df.groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(n) for n, e in (extra or {}).items()])
+        F.sum(F.lit(1) if weight is None else weight).alias("n"), *[F.sum(e).alias(n) for n, e in (extra or {}).items()])
     ranked = cumulative(freq, keys, [value], {"n": F.col("n")})
     return ranked.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / 2.0).drop("before_n")
 

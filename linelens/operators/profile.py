@@ -129,7 +129,7 @@ def classify_roles(facts: DataFrame, date_like: list[str] | None = None) -> Data
     low = F.lower(F.trim(name))
     dtype = F.col("dtype")
     stored_number = dtype.rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
-    share = F.col("numeric_text") / F.col("nonnull")
+    share = F.try_divide(F.col("numeric_text"), F.col("nonnull"))
     numeric = stored_number | ((dtype == "string") & (share >= 0.6))
     station, metric = station_metric(name)
     dated = _like(low, fixed.DATE_NAMES) & (numeric | name.isin(date_like or []))

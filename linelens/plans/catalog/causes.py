@@ -115,7 +115,7 @@ def _mi(cte: str, t: str, factors: list[str], key: str) -> str:
     wide = ", ".join(f"{bins(c)} AS {c}" for c in factors)
     rows = union_all([f"SELECT '{c}', 0, {c}, yb FROM w UNION ALL SELECT '{c}', 1, {c}, bp FROM w" for c in factors])
     return f"""{cte}, b AS (SELECT md5(concat(CAST({key} AS VARCHAR), '|42')) AS h, {bins(Y)} AS yb, {wide} FROM {t}),
-      w AS (SELECT *, CASE WHEN row_number() OVER g = 1 THEN last_value(yb) OVER (PARTITION BY h[1:3] ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE lag(yb) OVER g END AS bp FROM b WINDOW g AS (PARTITION BY h[1:3] ORDER BY h)),
+      w AS (SELECT *, CASE WHEN row_number() OVER g = 1 THEN last_value(yb) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE lag(yb) OVER g END AS bp FROM b WINDOW g AS (ORDER BY h)),
       t AS (SELECT f, s, x, b, count(*) AS n FROM ({rows}) q(f, s, x, b) WHERE x IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
       m AS (SELECT f, s, n, sum(n) OVER (PARTITION BY f, s) AS tot, sum(n) OVER (PARTITION BY f, s, x) AS px, sum(n) OVER (PARTITION BY f, s, b) AS py FROM t),
       z AS (SELECT f, s, sum(n::DOUBLE / tot * ln(n::DOUBLE * tot / (px::DOUBLE * py))) AS mi, any_value(tot) AS n FROM m GROUP BY f, s)

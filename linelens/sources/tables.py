@@ -44,7 +44,7 @@ def scan_delimited(spark: SparkSession, path: str, schema: str | None = None, ke
     head = spark.read.text(path).limit(1000)
     if head.isEmpty():
         raise ValueError(f"EMPTY_FILE: '{path}' holds no tabular data")
-    broken = not head.where(F.contains("value", F.lit("�"))).isEmpty()
+    broken = not head.where(~F.is_valid_utf8("value")).isEmpty()
     encoding = "ISO-8859-1" if broken else "UTF-8"
     sep = ","
     if re.search(r"\.(txt|tsv)$", path, re.I) and len(_header(spark, path, ",", encoding)) == 1 and len(_header(spark, path, "\t", encoding)) > 1:
