@@ -135,8 +135,9 @@ def spearman(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
     if gapless:  # one ranking of the whole target serves all of them
         y_rows = y_rows.unionByName(pairs.where(F.col("factor") == gapless[0]).select("yset", "y", "w"))
     y_ranks = average_ranks(y_rows, ["yset"], "y", weight=F.col("w"))
-    ranked = attach_ranks(pairs, x_ranks, ["factor"], "x", "rx")
-    ranked = attach_ranks(ranked, y_ranks, ["yset"], "y", "ry")
+    total = pairs.agg(F.sum("w").alias("t")).first()["t"] or 0
+    ranked = attach_ranks(pairs, x_ranks, ["factor"], "x", "rx", total)
+    ranked = attach_ranks(ranked, y_ranks, ["yset"], "y", "ry", gaps["n"])
     sizes = pairs.groupBy("factor").agg(F.sum("w").alias("n"))
     centred = ranked.join(F.broadcast(sizes), "factor").select(  # one row per factor
         "factor", "w", "n", (F.col("rx") - (F.col("n") + 1) / 2).alias("a"), (F.col("ry") - (F.col("n") + 1) / 2).alias("b"))

@@ -92,13 +92,15 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, C
     return ranked.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / 2.0).drop("before_n")
 
 
-def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], count: str = "n", hot_share: int = 2000) -> DataFrame:
+def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], count: str = "n", hot_share: int = 2000,
+           total: int | None = None) -> DataFrame:
     """Inner join of rows with a per-key lookup that knows its row count, safe for hot keys.
 
     A key that holds at least 1/hot_share of all rows is joined by broadcast (there are at most
     ``hot_share`` such keys); every other key is small enough for one shuffle task.
     """
-    total = lookup.agg(F.sum(count).alias("t")).first()["t"] or 0
+    if total is None:
+        total = lookup.agg(F.sum(count).alias("t")).first()["t"] or 0
     values = [c for c in lookup.columns if c not in keys and c != count]
     is_hot = F.col(count) * hot_share >= F.lit(total)
     hot = lookup.where(is_hot).select(*keys, *values, F.lit(True).alias("_hot"))
@@ -109,8 +111,8 @@ def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], count: str = "n"
     return done.unionByName(rest)
 
 
-def attach_ranks(rows: DataFrame, ranks: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    return attach(rows, ranks.select(*keys, value, "n", F.col("avg_rank").alias(name)), [*keys, value])
+def attach_ranks(rows: DataFrame, ranks: DataFrame, keys: list[str], value: str, name: str, total: int | None = None) -> DataFrame:
+    return attach(rows, ranks.select(*keys, value, "n", F.col("avg_rank").alias(name)), [*keys, value], total=total)
 
 
 def exact_quantiles(

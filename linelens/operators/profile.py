@@ -39,6 +39,20 @@ def column_facts(df: DataFrame) -> DataFrame:
     return stack_sql(df.selectExpr(*aggs), rows)
 
 
+def role_facts(df: DataFrame) -> DataFrame:
+    """Only what the role rules need: non-null counts and the share of numeric text."""
+    aggs, rows = ["count(1) AS _rows"], []
+    for i, f in enumerate(df.schema):
+        c = present_sql(f.name) if is_numeric(f.dataType) else quoted(f.name)
+        text_column = isinstance(f.dataType, T.StringType)
+        aggs.append(f"count({c}) AS n{i}")
+        if text_column:
+            aggs.append(f"count_if(try_cast({c} AS DOUBLE) IS NOT NULL) AS num{i}")
+        rows.append({"ordinal": f"{i}", "column": literal(f.name), "dtype": literal(f.dataType.simpleString()), "rows": "_rows", "nonnull": f"n{i}",
+                     "numeric_text": f"num{i}" if text_column else "CAST(NULL AS BIGINT)"})
+    return stack_sql(df.selectExpr(*aggs), rows)
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value, n) for the non-null values of every column; values as text, numbers as doubles."""
     columns = columns or df.columns

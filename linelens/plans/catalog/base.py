@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linelens.functions.expr import round_doubles
-from linelens.operators.profile import Meta, column_facts, classify_roles, column_stats
+from linelens.operators.profile import Meta, classify_roles, column_stats, role_facts
 from linelens.session import materialize
 from linelens.sources import views as V
 
@@ -57,8 +57,8 @@ def dirty(spark, sf_dir, keep: bool = False):
 
 
 def meta_of(df: DataFrame, exact: bool = False) -> Meta:
-    """Roles of a view: from the one-scan facts alone, or with exact distinct counts."""
-    facts = column_stats(df) if exact else column_facts(df)
+    """Roles of a view: from null counts alone, or with exact distinct counts."""
+    facts = column_stats(df) if exact else role_facts(df)
     return Meta.of(classify_roles(facts))
 
 

@@ -89,7 +89,9 @@ _COLS = ["station", "evidence_score", "available_components", "consistency", "ev
 
 
 def ranked_stations(df):
-    return flow.score_stations(flow.attach_root_cause(flow.station_table(features.station_metrics(df, meta_of(df))), None))
+    """One scan: the column profile gives roles and station metrics at once."""
+    metrics = features.station_metrics_from_profile(profile.classify_roles(profile.column_facts(df)))
+    return flow.score_stations(flow.attach_root_cause(flow.station_table(metrics), None))
 
 
 @query("b6_rank_stations", _SH + _OUT)
@@ -100,7 +102,7 @@ def b6(spark, sf):
 
 @query("b6_rank_stations_orders", _SO + _OUT)
 def b6_orders(spark, sf):
-    return ranked_stations(orders(spark, sf, True)).select(*_COLS)
+    return ranked_stations(orders(spark, sf)).select(*_COLS)
 
 
 @query("b6_rank_stations_fallback", f"{_BS} SELECT station, CAST(rank AS INTEGER) AS rank FROM s")
