@@ -143,6 +143,15 @@ def stack_rows(wide: DataFrame, rows: list[dict[str, Column]], keep: list[str] |
     return wide.select(*(keep or []), F.explode(structs).alias("_s")).select(*(keep or []), "_s.*")
 
 
+def beside(*single_rows: DataFrame) -> DataFrame:
+    """One-row tables next to each other, as one row (a union and a maximum, no cross join)."""
+    names = [c for df in single_rows for c in df.columns]
+    rows = single_rows[0]
+    for df in single_rows[1:]:
+        rows = rows.unionByName(df, allowMissingColumns=True)
+    return rows.agg(*[F.max(q(c)).alias(c) for c in names])
+
+
 # --- the same as SQL text: one call builds a wide select list, however many columns it has
 
 def quoted(name: str) -> str:

@@ -25,14 +25,18 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFr
     return out, stack_rows(failed, [{"column": F.lit(c), "failed": F.col(f"c{i}")} for i, c in enumerate(columns)])
 
 
-def dedupe_rows(df: DataFrame, order_col: str | None = None, aligned: bool = False) -> DataFrame:
-    """Exact duplicates out, first kept. One-column and row-aligned tables are left alone."""
-    if len(df.columns) < 2 or aligned:
+def dedupe_rows(df: DataFrame, row_key: str | None = None, aligned: bool = False) -> DataFrame:
+    """Exact duplicates out. One-column and row-aligned tables are left alone.
+
+    ``row_key`` names an added row number that is not part of the record: it is ignored in the
+    comparison and the first copy (smallest key) stays.
+    """
+    others = [c for c in df.columns if c != row_key]
+    if len(others) < 2 or aligned:
         return df
-    if order_col is None or order_col not in df.columns:
+    if row_key is None:
         return df.dropDuplicates()
-    others = [c for c in df.columns if c != order_col]
-    return df.groupBy(*[q(c) for c in others]).agg(F.min(q(order_col)).alias(order_col)).select(*[q(c) for c in df.columns])
+    return df.groupBy(*[q(c) for c in others]).agg(F.min(q(row_key)).alias(row_key)).select(*[q(c) for c in df.columns])
 
 
 def percent_columns(df: DataFrame, utilization: list[str]) -> list[str]:
@@ -85,7 +89,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
     return stack_sql(counts, [{"column": literal(f.name), "missing": f"_n - c{i}"} for i, f in enumerate(df.schema)]).where("missing > 0")
 
 
-def clean_table(df: DataFrame, meta: Meta, order_col: str | None = None, aligned: bool = False) -> tuple[DataFrame, DataFrame]:
+def clean_table(df: DataFrame, meta: Meta, row_key: str | None = None, aligned: bool = False) -> tuple[DataFrame, DataFrame]:
     """All rules in order. Returns the cleaned table and the report (rule, column, count)."""
     spark = df.sparkSession
     if not df.columns or df.isEmpty():
@@ -98,7 +102,7 @@ def clean_table(df: DataFrame, meta: Meta, order_col: str | None = None, aligned
     if to_coerce:
         work, failed = coerce_numeric(work, to_coerce)
         report = report.unionByName(failed.select(F.lit("coerced_to_null").alias("rule"), "column", F.col("failed").alias("count")))
-    work = dedupe_rows(work, order_col if order_col in work.columns else None, aligned)
+    work = dedupe_rows(work, row_key, aligned)
     deduped = work.count()
     ratios = [c for c in meta.metric("utilization") if c in work.columns]
     percent = percent_columns(work, ratios)

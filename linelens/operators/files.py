@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linelens.functions import fixed
-from linelens.functions.expr import q
+from linelens.functions.expr import beside, q
 from linelens.operators.ordered import attach
+from linelens.session import materialize
 
 
 def suffix_of(path: Column) -> Column:
@@ -77,7 +78,7 @@ def validate_files(files: DataFrame, order: str = "position") -> DataFrame:
     read = files.select(order, "original_name", size.alias("size_bytes"), status.alias("status"), reason.alias("reason"), width.alias("width"),
                         height.alias("height"), kind.alias("format"), F.sha2(content, 256).alias("sha256"),
                         F.when(F.contains(name, F.lit("/")), F.element_at(F.split(name, "/"), -2)).alias("class_folder"))
-    return mark_duplicates(read, order)
+    return mark_duplicates(materialize(read), order)  # the contents are read once
 
 
 def mark_duplicates(read: DataFrame, order: str) -> DataFrame:
@@ -96,7 +97,7 @@ def batch_summary(validated: DataFrame) -> DataFrame:
     totals = validated.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(status == s).alias(s) for s in ("valid", "invalid", "unsupported", "duplicate")])
     classes = validated.where("class_folder is not null").groupBy("class_folder").agg(F.count(F.lit(1)).alias("n"))
     shape = classes.agg(F.count(F.lit(1)).alias("classes"), F.max("n").alias("largest"), F.min("n").alias("smallest"))
-    joined = totals.join(F.broadcast(shape), F.lit(True))  # one row beside one row
+    joined = beside(totals, shape)
     has = F.col("classes") > 0
     balanced = (F.col("classes") <= 1) | (F.col("largest") <= F.col("smallest") * 4)
     return joined.select("total", "valid", "invalid", "unsupported", "duplicate", "classes", has.alias("labels_available"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linelens.functions import fixed
-from linelens.functions.expr import is_numeric, literal, present, present_sql, q, quoted, stack_rows, stack_sql
+from linelens.functions.expr import beside, is_numeric, literal, present, present_sql, q, quoted, stack_rows, stack_sql
 
 HEAD_ROWS = 256
 
@@ -191,8 +191,6 @@ def profile(df: DataFrame, table: str, order_cols: list[str]) -> DataFrame:
 
 def table_profile(df: DataFrame, meta: DataFrame) -> DataFrame:
     """Rows, columns, dtype counts, null cells and rate, constants, exact duplicates."""
-    duplicates = df.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
     dtype = F.col("dtype")
     base = meta.agg(
         F.max("rows").alias("rows"), F.count(F.lit(1)).alias("columns"),
@@ -203,8 +201,7 @@ def table_profile(df: DataFrame, meta: DataFrame) -> DataFrame:
         F.count_if((F.col("role") != "empty") & (F.col("unique") == 1)).alias("constant_columns"),
         F.count_if(F.col("role") == "empty").alias("empty_columns"))
     cells = F.col("rows") * F.col("columns")
-    joined = base.join(F.broadcast(duplicates), F.lit(True))  # one row beside one row
-    return joined.withColumn("null_rate", F.when(cells > 0, F.round(F.col("null_cells") / cells, 4)).otherwise(0.0))
+    return beside(base, duplicate_rows(df)).withColumn("null_rate", F.when(cells > 0, F.round(F.col("null_cells") / cells, 4)).otherwise(0.0))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -290,8 +290,9 @@ _RUN = _BASE + f""", q AS (SELECT b.*, v.kind, v.change::DOUBLE AS change, v.bas
 
 
 def scenario_rows(spark, sf):
-    v = spark.createDataFrame(_SCENARIOS, "scenario_type string, change double, scaling_basis string")
-    return plants(spark, sf).select("dataset_id").join(F.broadcast(v), F.lit(True))  # seven scenarios per plant
+    """Seven scenarios per plant."""
+    each = F.array(*[F.struct(F.lit(k).alias("scenario_type"), F.lit(c).alias("change"), F.lit(b).cast("string").alias("scaling_basis")) for k, c, b in _SCENARIOS])
+    return plants(spark, sf).select("dataset_id", F.inline(each))
 
 
 def deltas(spark, sf):

@@ -206,7 +206,7 @@ def c2(spark, sf):
 
 @query("c3_dedupe_rows", f"{X} SELECT DISTINCT Time_Now, Demand_text, {r('click_Util')} AS click_Util, {r('click_Queue')} AS click_Queue, {r('throughput_units')} AS throughput_units FROM x")
 def c3(spark, sf):
-    return clean.dedupe_rows(dirty(spark, sf), "Time_Now").select("Time_Now", "Demand_text", "click_Util", "click_Queue", "throughput_units")
+    return clean.dedupe_rows(dirty(spark, sf)).select("Time_Now", "Demand_text", "click_Util", "click_Queue", "throughput_units")
 
 
 _UTIL_H = [c for c in V.HOURLY_METRICS if c.endswith("_Util")]
@@ -215,7 +215,7 @@ _UTIL_H = [c for c in V.HOURLY_METRICS if c.endswith("_Util")]
 @query("c4_percent_to_ratio", f"{X}, d AS (SELECT DISTINCT * FROM x) SELECT * FROM (" + union_all([
     f"SELECT '{c}' AS \"column\", count(*) AS \"rows\", {r(f'avg({c} / 100)')} AS mean FROM d HAVING min({c}) >= 0 AND quantile_cont({c}, 0.5) > 1 AND max({c}) <= 100" for c in _UTIL_H]) + ")")
 def c4(spark, sf):
-    df = clean.dedupe_rows(dirty(spark, sf, True), "Time_Now")
+    df = clean.dedupe_rows(dirty(spark, sf, True))
     found = clean.percent_columns(df, _UTIL_H)
     fixed_df = clean.percent_to_ratio(df, found)
     parts = [fixed_df.agg(F.count(F.lit(1)).alias("rows"), F.avg(q(c)).alias("mean")).select(F.lit(c).alias("column"), "rows", "mean") for c in found]
@@ -229,7 +229,7 @@ _NONNEG = V.HOURLY_METRICS
     [f"SELECT '{c}' AS \"column\", 'negative_value' AS rule, count(*) FILTER (WHERE {c} < 0) AS \"count\" FROM d" for c in _NONNEG]
     + [f"SELECT '{c}', 'utilization_out_of_range', count(*) FILTER (WHERE {c}{' / 100' if c == 'click_Util' else ''} > 1) FROM d" for c in _UTIL_H]) + ") q WHERE \"count\" > 0")
 def c5(spark, sf):
-    df = clean.dedupe_rows(dirty(spark, sf, True), "Time_Now")
+    df = clean.dedupe_rows(dirty(spark, sf, True))
     df = clean.percent_to_ratio(df, clean.percent_columns(df, _UTIL_H))
     return clean.impossible_values(df, _NONNEG, _UTIL_H)[1]
 
@@ -280,7 +280,7 @@ def _clean_sql() -> str:
 @query("c9_cleaning_report", _clean_sql())
 def c9(spark, sf):
     df = dirty(spark, sf, True)
-    return clean.clean_table(df, meta_of(df), "Time_Now")[1].select("rule", "column", "count")
+    return clean.clean_table(df, meta_of(df))[1].select("rule", "column", "count")
 
 
 # --- features
@@ -336,7 +336,7 @@ def f5(spark, sf):
 
 
 @query("f6_rolling_mean_20", f"{H} SELECT Time_Now, " + ", ".join(
-    f"{r(f'avg({c}) OVER (ORDER BY Time_Now ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)')} AS {c}_rolling_mean_20" for c in _UTIL_H) + " FROM h")
+    f"{r(f'avg({c}) OVER (ORDER BY Time_Now ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)', 8)} AS {c}_rolling_mean_20" for c in _UTIL_H) + " FROM h", digits=8)
 def f6(spark, sf):
     indexed = with_row_index(hourly(spark, sf).select("Time_Now", *_UTIL_H), ["Time_Now"])
     out = {f"{c}_rolling_mean_20": c for c in _UTIL_H}
@@ -519,7 +519,7 @@ def j11_key(spark, sf):
   f AS (SELECT s, min(doc_id) AS first FROM d WHERE arriving GROUP BY s)
   SELECT d.doc_id, (k.s IS NOT NULL OR d.doc_id <> f.first) AS duplicate FROM d JOIN f USING (s) LEFT JOIN k USING (s) WHERE d.arriving""")
 def j15(spark, sf):
-    docs = V.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    docs = materialize(V.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest")))  # texts are read once
     out = align.incremental_duplicates(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0"), "digest", "doc_id")
     return out.select("doc_id", "duplicate")
 

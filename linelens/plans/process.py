@@ -26,13 +26,17 @@ class Prepared:
     order_cols: list[str]
 
 
-def prepare(df: DataFrame, name: str, key: str, time_column: str | None = None) -> Prepared:
-    """Profile, clean and derive features; the result is written once and read by everything after."""
+def prepare(df: DataFrame, name: str, key: str, time_column: str | None = None, key_is_added: bool = False) -> Prepared:
+    """Profile, clean and derive features; the result is written once and read by everything after.
+
+    ``key`` identifies rows. Say ``key_is_added`` when it is a row number put on by the loader, so
+    that two equal records still count as duplicates.
+    """
     order = [c for c in dict.fromkeys([time_column, key]) if c]
     source = materialize(df)
     meta_df = materialize(profile.profile(source, name, order))
     meta = profile.Meta.of(meta_df)
-    cleaned, report = clean.clean_table(source, meta, key)
+    cleaned, report = clean.clean_table(source, meta, key if key_is_added else None)
     time = time_column if time_column in cleaned.columns and features.usable_time(cleaned, [time_column]) else None
     featured, lineage = features.build_features(cleaned, meta, name, time, key if key != time else None)
     return Prepared(name, materialize(featured), meta_df, meta, report, lineage, key, order if time else [])

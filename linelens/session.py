@@ -37,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     because executors could not read one another's local folders.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or (
+        None if sc.applicationId in _LOCAL_DIR else sc.getCheckpointDir())
     if configured:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)

@@ -37,7 +37,7 @@ def test_cleaning_reports_every_rule(spark):
     rows = [(i, "bad" if i == 3 else str(i), 50.0 + i, -1.0 if i == 5 else float(i), None, 7.0) for i in range(12)] + [(0, "0", 50.0, 0.0, None, 7.0)]
     df = spark.createDataFrame(rows, "k int, Demand string, A_Util double, A_Queue double, gone double, same double")
     _, meta = profiled(df, "k")
-    out, report = clean.clean_table(df, meta, "k")
+    out, report = clean.clean_table(df, meta)
     told = {(r["rule"], r["column"]): r["count"] for r in report.collect()}
     assert told[("empty_column", "gone")] == 1 and told[("coerced_to_null", "Demand")] == 1
     assert told[("duplicate_rows_removed", None)] == 1 and told[("percent_to_ratio", "A_Util")] == 1
@@ -49,6 +49,24 @@ def test_single_column_tables_keep_their_duplicates(spark):
     assert clean.dedupe_rows(spark.createDataFrame([(1,), (1,)], "x int")).count() == 2
 
 
+def test_duplicates_compare_whole_records(spark):
+    df = spark.createDataFrame([(1, 5.0, "a"), (2, 5.0, "a"), (2, 5.0, "a")], "k int, x double, y string")
+    assert clean.dedupe_rows(df).count() == 2  # rows that differ in k are no duplicates
+    assert [tuple(r) for r in clean.dedupe_rows(df, row_key="k").collect()] == [(1, 5.0, "a")]  # unless k is an added number
+
+
+def test_prepare_runs_from_raw_table_to_features(spark):
+    from linelens.plans import process as runs
+
+    df = spark.range(60).select(F.col("id").alias("Time_Now"), (F.col("id") % 5).alias("Demand"), (F.col("id") / 100).alias("A_Util"), (F.col("id") / 90).alias("B_Util"), F.col("id").cast("double").alias("Total parts"))
+    ready = runs.prepare(df.unionByName(df.limit(3)), "line", "Time_Now", "Time_Now")
+    assert ready.df.count() == 60 and ready.order_cols == ["Time_Now"]
+    last = ready.df.where("Time_Now = 59").first()
+    assert last["A_Util_rolling_mean_20"] == pytest.approx(sum(i / 100 for i in range(40, 60)) / 20) and last["utilization_mean"] == pytest.approx((0.59 + 59 / 90) / 2)
+    frame, summary = align.build_model_input(ready.df, ready.meta, "line", keep=["Time_Now"])
+    assert summary["status"] == "READY" and "utilization_mean" in summary["predictors"] and frame.count() == 60
+
+
 def test_empty_tables_are_refused(spark):
     df = spark.createDataFrame([], "a int, b int")
     with pytest.raises(ValueError, match="EMPTY_TABLE"):
