@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from linelens.llm import mix
+from linelens.llm import merkle, mix, records, token_counts
 
-MODULES = [mix]
+MODULES = [mix, records, token_counts, merkle]
 
 
 def queries():
