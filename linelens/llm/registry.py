@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from linelens.llm import merkle, mix, records, token_counts
+from linelens.llm import licenses, merkle, mix, records, token_counts, toxicity
 
-MODULES = [mix, records, token_counts, merkle]
+MODULES = [mix, records, token_counts, merkle, licenses, toxicity]
 
 
 def queries():
