@@ -174,8 +174,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, tables: int = T
     listed = found.select("q", F.explode("found").alias("rep")).distinct().join(members, "rep")
     known = listed.groupBy("q").agg(F.sum(F.size(F.filter("ids", lambda i: i != F.col("q")))).alias("n"))
     few = queries.select("q", "dim", "v").join(known.where(F.col("n") >= k), "q", "left_anti")
-    cells = index.where("t = 0").select("dim", "cell").distinct()
-    every = few.join(cells, "dim").select("q", "dim", "v", F.lit(0).alias("t"), "cell")
+    cells = materialize(index.where("t = 0").select("dim", "cell").distinct())
+    every = materialize(few.join(cells, "dim").select("q", "dim", "v", F.lit(0).alias("t"), "cell"))
     found = found.unionByName(_candidates(index.where("t = 0"), every, k + 1))
     pairs = found.select("q", F.explode(F.arrays_zip("found", "scores")).alias("x")).groupBy("q", F.col("x.found").alias("rep")).agg(F.max("x.scores").alias("score"))
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "rep")

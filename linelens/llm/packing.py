@@ -1,11 +1,12 @@
 """Conflict-constrained best-fit packing of documents into training sequences.
 
-A bin holds at most CAPACITY words and never two pieces of one source or of one duplicate cluster. Documents
+A bin holds at most CAPACITY words, never two pieces of one duplicate cluster, and of one source at most half
+its room (SOURCE_PARTS of PARTS units, sizes counted in begun units) unless a single piece is longer. Documents
 are dealt by hash to shards of about SHARD_DOCUMENTS, and each shard is packed by best fit over decreasing
 sizes. Bins are ordered by what is left in them: a bit set of the residuals in use gives the successor of the
-wanted size, and per residual a bit set of its bins is masked with the bins of the document's source and
-cluster. If none is left there, the search goes on to the next residual, until the tightest compatible bin
-is found or a new one is opened. Pieces of one document cannot meet, as they share source and cluster.
+wanted size, and per residual a bit set of its bins is masked with the bins in which the document's source
+has no room left and those that hold its cluster. If none is left there, the search goes on to the next
+residual, until the tightest compatible bin is found or a new one is opened.
 
 A document longer than the capacity has full pieces, which are bins of their own, and a rest that is packed.
 Shards are packed independently, so a cluster or source of any size is spread over all of them, no task holds
@@ -30,43 +31,50 @@ from linelens.llm.mix import document_hash
 NAME = "op10_best_fit_packing"
 CAPACITY = 2048
 SHARD_DOCUMENTS = 4096
+PARTS, SOURCE_PARTS = 16, 8
 
 PACKED = "doc_id long, piece long, start long, n_words long, shard int, bin long"
 
 
-def best_fit(items: Iterable[tuple[int, object, object]], capacity: int) -> list[int]:
+def best_fit(items: Iterable[tuple[int, object, object]], capacity: int, source_parts: int = SOURCE_PARTS) -> list[int]:
     """Bin number of each item (size, source, cluster), in the order given; bins are numbered as they open."""
+    unit = max(1, capacity // PARTS)
     left: list[int] = []  # residual of each bin
     at: dict[int, int] = {}  # residual -> bit set of bins
     used = 0  # bit set of residuals with bins
-    by_source: dict[object, int] = {}
+    words: dict[tuple[object, int], int] = {}  # (source, bin) -> words
+    by_source: dict[object, list[int]] = {}  # source -> bit sets of the bins that hold more than k units of it
     by_cluster: dict[object, int] = {}
     out = []
     for size, source, cluster in items:
-        blocked = by_source.get(source, 0) | (by_cluster.get(cluster, 0) if cluster is not None else 0)
-        higher, found = used >> size, -1
-        base = size
+        levels = by_source.setdefault(source, [0] * source_parts)
+        blocked = levels[max(0, source_parts - -(-size // unit))]
+        if cluster is not None:
+            blocked |= by_cluster.get(cluster, 0)
+        higher, base, found = used >> size, size, -1
         while higher:
             step = (higher & -higher).bit_length() - 1
-            residual = base + step
-            if free := at[residual] & ~blocked:
+            base += step
+            if free := at[base] & ~blocked:
                 found = (free & -free).bit_length() - 1
                 break
             higher >>= step + 1
-            base = residual + 1
+            base += 1
         if found < 0:
             found = len(left)
             left.append(capacity)
         else:
-            at[left[found]] &= ~(1 << found)
-            if not at[left[found]]:
-                used &= ~(1 << left[found])
+            at[base] &= ~(1 << found)
+            if not at[base]:
+                used &= ~(1 << base)
         left[found] -= size
         bit = 1 << found
         if left[found]:
             at[left[found]] = at.get(left[found], 0) | bit
             used |= 1 << left[found]
-        by_source[source] = by_source.get(source, 0) | bit
+        words[source, found] = spent = words.get((source, found), 0) + size
+        for k in range(min(source_parts, -(-spent // unit))):
+            levels[k] |= bit
         if cluster is not None:
             by_cluster[cluster] = by_cluster.get(cluster, 0) | bit
         out.append(found)

@@ -7,6 +7,7 @@ encoded once to learn its number of tokens, and the numbers go back to their blo
 count is the sum of frequency times number. No id list of a document is ever built, except for texts with
 rare characters or special strings, which only the library itself can cut: those are counted whole.
 
+The shuffle by pre-token serves both the distinct list and the join.
 A frequent pre-token has one row per block, however many documents use it, so no key is hot.
 
 Defined cases: null text is empty and has 0 tokens; doc_id may be null or repeated, rows are never merged;
@@ -15,11 +16,11 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +31,16 @@ NAME = "op7_token_counts"
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 #: A block ends when it holds this many bytes of text.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 48 << 20
 
 #: kind 0: a part of a block's vocabulary; kind 1: the block's documents as packed arrays.
-STAGE = "block string, kind int, first int, pieces array<string>, doc_ids array<long>, n_bytes array<long>, fixed array<long>, packed binary"
+STAGE = "block long, kind int, first int, pieces array<string>, doc_ids array<long>, n_bytes array<long>, fixed array<long>, packed binary"
 VOCABULARY_ROW = 20_000
 
 
 class _Block:
-    def __init__(self):
-        self.name, self.size = uuid.uuid4().hex, 0
+    def __init__(self, name: int):
+        self.name, self.size = name, 0
         self.vocabulary: dict[str, int] = {}
         self.doc_ids, self.n_bytes, self.fixed, self.ids, self.freqs, self.ends = [], [], [], [], [], [0]
 
@@ -61,7 +62,7 @@ class _Block:
         import numpy as np
         import zstandard
 
-        schema = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("first", pa.int32()), ("pieces", pa.list_(pa.string())), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("fixed", pa.list_(pa.int64())), ("packed", pa.binary())])
+        schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("first", pa.int32()), ("pieces", pa.list_(pa.string())), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("fixed", pa.list_(pa.int64())), ("packed", pa.binary())])
         words = list(self.vocabulary)
         for k in range(0, len(words), VOCABULARY_ROW):
             yield pa.RecordBatch.from_pylist([{"block": self.name, "kind": 0, "first": k, "pieces": words[k : k + VOCABULARY_ROW]}], schema)
@@ -77,13 +78,14 @@ def blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from linelens.llm.pieces import load
 
-        pieces, block = load(tokenizer_path), _Block()
+        first = TaskContext.get().partitionId() << 32
+        pieces, block = load(tokenizer_path), _Block(first)
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 block.add(doc_id, text.as_py() or "", pieces)
                 if block.size >= BLOCK_BYTES:
                     yield from block.rows()
-                    block = _Block()
+                    block = _Block(block.name + 1)
         if block.doc_ids:
             yield from block.rows()
 
@@ -115,8 +117,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = raw[: docs + 1].astype(np.int64)
             ids, freqs = raw[docs + 1 : docs + 1 + ends[-1]], raw[docs + 1 + ends[-1] :]
             n = np.zeros(max(row["first"], 1), dtype=np.int64)
-            for numbers, values in zip(row["locals"] or (), row["values"] or ()):
-                n[np.asarray(numbers, dtype=np.int64)] = values
+            n[np.asarray(row["locals"] or [], dtype=np.int64)] = row["values"] or []
             upto = np.concatenate([[0], np.cumsum(n[ids] * freqs)])
             total = upto[ends[1:]] - upto[ends[:-1]] + np.asarray(row["fixed"], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_bytes"], pa.int64()), pa.array(total, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
@@ -125,10 +126,9 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     stage = materialize(blocks(docs, tokenizer_path))
-    vocabulary = stage.where("kind = 0").select("block", "first", F.posexplode("pieces").alias("at", "piece")).select("block", (F.col("first") + F.col("at")).alias("local"), "piece")
+    vocabulary = stage.where("kind = 0").select("block", "first", F.posexplode("pieces").alias("at", "piece")).select("block", (F.col("first") + F.col("at")).alias("local"), "piece").repartition("piece")
     counted = vocabulary.join(piece_counts(vocabulary, tokenizer_path), "piece").select("block", "local", "n")
-    by_block = counted.groupBy("block", F.spark_partition_id().alias("part")).agg(F.collect_list("local").alias("l"), F.collect_list("n").alias("v"))
-    by_block = by_block.groupBy("block").agg(F.collect_list(F.struct("l", "v")).alias("lv")).select("block", F.col("lv.l").alias("locals"), F.col("lv.v").alias("values"))
+    by_block = counted.groupBy("block").agg(F.collect_list("local").alias("locals"), F.collect_list("n").alias("values"))
     packed = stage.where("kind = 1").select("block", "first", "doc_ids", "n_bytes", "fixed", "packed")
     joined = packed.join(by_block, "block", "left").select("first", "doc_ids", "n_bytes", "fixed", "packed", "locals", "values")
     return joined.mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
