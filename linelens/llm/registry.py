@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from linelens.llm import licenses, merkle, mix, neighbours, packing, records, token_counts, toxicity
+from linelens.llm import licenses, merkle, mix, near_copies, neighbours, packing, records, token_counts, toxicity
 
-MODULES = [neighbours, licenses, mix, toxicity, records, token_counts, merkle, packing]
+MODULES = [neighbours, licenses, mix, toxicity, records, token_counts, near_copies, merkle, packing]
 
 
 def queries():
