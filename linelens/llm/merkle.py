@@ -156,7 +156,7 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
     firsts = spark.createDataFrame([(b, into[b], *heads[b]) for b in held], "b int, target int, none boolean, down long, head_md5 string")
     is_head = (F.col("bucket") == F.col("b")) & F.col("doc_id").isNull().eqNullSafe(F.col("none")) & (-F.col("doc_id")).eqNullSafe(F.col("down")) & (F.col("md5") == F.col("head_md5"))
-    guards = d.join(firsts, is_head).groupBy("target").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    guards = d.join(F.broadcast(firsts), is_head).groupBy("target").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
     rows = d.select("bucket", F.lit(0).alias("guard"), "doc_id", "md5", "text").unionByName(guards.select(F.col("target").alias("bucket"), F.lit(1).alias("guard"), "doc_id", F.lit("").alias("md5"), "text"))
     ordered = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "guard", F.col("doc_id").desc_nulls_last(), "md5")
     return ordered.select(F.col("guard") == 1, "doc_id", "text").mapInArrow(_pairs, SCHEMA)
