@@ -23,3 +23,13 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that columns added beside it cannot clash with their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def from_row(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns packed by ``as_row`` again, some of them replaced."""
+    return df.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in columns])

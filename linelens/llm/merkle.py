@@ -146,8 +146,8 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     n = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     borders = d.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("b")).first()["b"] or []
     borders = sorted(set(borders), reverse=True)
-    above = F.lit(len(borders)) if not borders else F.size(F.filter(F.array(*map(F.lit, borders)), lambda x: x > F.col("doc_id")))
-    d = d.withColumn("bucket", F.coalesce(above, F.lit(len(borders))).cast("int")).withColumn("md5", F.md5("text"))
+    above = F.size(F.filter(F.array(*map(F.lit, borders)), lambda x: x > F.col("doc_id"))) if borders else F.lit(0)
+    d = d.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(borders)).otherwise(above).cast("int")).withColumn("md5", F.md5("text"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), F.col("md5"))
     heads = {r["bucket"]: r["head"] for r in d.groupBy("bucket").agg(F.min(order).alias("head")).collect()}
     held = sorted(heads)

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linelens.llm.common import WORD, table, word_count
+from linelens.llm.common import WORD, as_row, from_row, table, word_count
 from linelens.session import materialize
 
 NAME = "op4_mix_sources"
@@ -99,17 +99,17 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     The document at a source's threshold ends after the words still in the budget (its words, joined by
     blanks). Documents without words are kept once: they cost nothing.
     """
-    keep = docs.columns
-    rows = docs.withColumns({"size": word_count(F.col("text")), "hash": document_hash(F.col("doc_id"), F.col("text"))})
+    size, text = word_count(F.col("text")), F.col("text").cast("string")
+    rows = docs.select(as_row(docs), "source", text.alias("text"), size.alias("size"), document_hash(F.col("doc_id"), text).alias("hash"))
     sized = materialize(rows.select("source", "size", "hash"))
     rows = with_taken(rows, thresholds(sized, source_targets(sized, weights, max_repeats)))
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(1))
     rest = F.when(F.col("size") > 0, F.expr("taken % size")).otherwise(F.lit(0))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
     parts = F.filter(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.array(rest)), lambda n: n != 0)
-    out = rows.withColumn("_words", F.explode(parts))
-    out = out.withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(cut))
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*keep)
+    out = rows.select("_row", "text", F.explode(parts).alias("words"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    out = out.withColumn("text", F.when(F.col("words") < 0, F.col("text")).otherwise(cut))
+    return from_row(out, docs.columns, text=F.col("text"), n_chars=F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelens.llm.common import bounded_batches, table
+from linelens.llm.common import as_row, bounded_batches, from_row, table
 from linelens.session import materialize
 
 NAME = "op8_near_copies"
@@ -149,7 +149,7 @@ def _nodes(bands: int, rows: int):
         import xxhash
 
         known = _Words()
-        for b in batches:
+        for b in (b for b in batches if b.num_rows):
             keys, sizes, parts, counts = [], [], [], []
             for text in b.column("text"):
                 words = (text.as_py() or "").lower().split()
@@ -327,9 +327,9 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stand for their class: one a class, with all columns."""
     kept = materialize(near_copies(docs, threshold).select("kept_th", "kept_id").distinct())
-    rows = docs.withColumn("_th", _text_hash(F.col("text").cast("string")))
-    rows = rows.join(kept, (F.col("_th") == F.col("kept_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")))
-    return rows.dropDuplicates(["kept_th", "kept_id"]).select(*docs.columns)
+    rows = docs.select(as_row(docs), _text_hash(F.col("text").cast("string")).alias("th"), F.col("doc_id").cast("long").alias("id"))
+    rows = rows.join(kept, (F.col("th") == F.col("kept_th")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    return from_row(rows.groupBy("kept_th", "kept_id").agg(F.first("_row").alias("_row")), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

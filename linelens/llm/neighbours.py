@@ -65,18 +65,19 @@ def rotated(vectors, signs):
 
 
 def cells_of(vectors, extra, tables: int, probes: int):
-    """Per row and table the ``probes`` nearest signed axes, nearest first: shape (rows, tables, probes)."""
+    """Per row and table the ``probes`` nearest signed axes, nearest first: shape (rows, tables, probes); -1 fills what there is not."""
     import numpy as np
 
     signs = rotations(vectors.shape[1], tables)
     full = np.zeros((len(vectors), signs.shape[2]))
     full[:, : vectors.shape[1]] = vectors
     full[:, vectors.shape[1]] = extra
-    out = np.empty((len(vectors), tables, probes), dtype=np.int32)
+    out = np.full((len(vectors), tables, probes), -1, dtype=np.int32)
+    n = min(probes, 2 * full.shape[1])
     for t in range(tables):
         turned = rotated(full, signs[t])
         both = np.concatenate([turned, -turned], axis=1)
-        out[:, t, :] = np.argmax(both, axis=1)[:, None] if probes == 1 else np.argsort(-both, axis=1, kind="stable")[:, :probes]
+        out[:, t, :n] = np.argmax(both, axis=1)[:, None] if probes == 1 else np.argsort(-both, axis=1, kind="stable")[:, :n]
     return out
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linelens.llm.bwt import repeated_starts
-from linelens.llm.common import bounded_batches, table
+from linelens.llm.common import as_row, bounded_batches, from_row, table
 from linelens.llm.near_copies import mix64
 from linelens.session import materialize
 
@@ -271,11 +271,11 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, **options) -> DataF
 def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """``docs`` with repeated passages taken out of the texts; documents of which nothing is left are dropped."""
     _, changed = removals(docs, length, with_text=True, **options)
-    changed = changed.select(F.col("th").alias("_of"), F.col("kept").alias("_kept"))
-    out = docs.withColumn("_th", _text_hash(F.col("text").cast("string"))).join(changed, F.col("_th") == F.col("_of"), "left")
-    out = out.where(F.col("_kept").isNull() | (F.col("_kept") != ""))
-    out = out.withColumn("text", F.coalesce("_kept", "text")).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return out.select(*docs.columns)
+    text = F.col("text").cast("string")
+    rows = docs.select(as_row(docs), text.alias("text"), _text_hash(text).alias("of"))
+    out = rows.join(changed.select("th", "kept"), F.col("of") == F.col("th"), "left").where("kept IS NULL OR kept <> ''")
+    out = out.select("_row", F.coalesce("kept", "text").alias("text"))
+    return from_row(out, docs.columns, text=F.col("text"), n_chars=F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

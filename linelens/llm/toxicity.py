@@ -160,6 +160,8 @@ class Model:
         return out.withColumn("_tox_p", vector_to_array("_tox_probability")[1]).drop("_tox_features", "_tox_raw", "_tox_probability", "_tox_prediction")
 
     def score(self, df: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
+        """Adds the score; a column of that name is replaced."""
+        df = df.drop(into) if into != text else df
         if self.trees is None:
             return df.withColumn(into, F.lit(self.rate))
         out = self._raw(df, text)
