@@ -56,7 +56,6 @@ NOT_AVAILABLE = "NOT AVAILABLE FROM DATASET"
 
 # --- splits and model inputs
 MIN_SPLIT_ROWS = 30
-SEQUENTIAL_ROWS = 50_000
 TRAIN_SHARE, VALIDATION_SHARE = 0.70, 0.85
 MIN_INPUT_ROWS = 10
 
@@ -71,8 +70,8 @@ STATION_WEIGHTS = {
 }
 ASSOCIATION_BANDS = [(60, "STRONG_ASSOCIATION"), (40, "MODERATE_ASSOCIATION"), (20, "WEAK_ASSOCIATION")]
 DISCLAIMER = "Association does not establish causation."
-MAX_FACTORS, MAX_FINDINGS, MAX_TARGETS, MAX_TABLE_TARGETS, MIN_TARGET_ROWS = 60, 25, 40, 6, 100
-EWMA_SPAN, DRIFT_Z, DRIFT_MIN_ROWS, MAX_DRIFT_COLUMNS, DRIFT_BASELINE = 200, 3.0, 500, 25, 0.25
+MIN_TARGET_ROWS = 100
+EWMA_SPAN, DRIFT_Z, DRIFT_MIN_ROWS, DRIFT_BASELINE = 200, 3.0, 500, 0.25
 IMPACT_OUTPUT_HINTS = ["parts per hour", "total parts", "entities out", "totalproducts", "throughput", "c_cycle"]
 TIMELINE_ALIASES = [
     ("utilization", "ratio", ["utilization", "utilisation", "util"]),
@@ -80,12 +79,6 @@ TIMELINE_ALIASES = [
     ("cycle", "time", ["cycle", "va time", "processing time"]),
     ("throughput", "units", ["throughput", "parts per hour", "output rate"]),
 ]
-KNOWN_SEQUENCES = {
-    "Model_1": ["Drilling", "Milling", "Assembly"],
-    "Model_2": ["Drilling", "Milling", "Assembly"],
-    "Model_3": ["Blanking", "Press1", "Press2", "Press3", "Press4", "Cell1", "Cell2", "Cell3", "Cell4",
-                "Paint1", "Paint2", "Quality"],
-}
 
 # --- economics: field, unit, smallest, largest value
 ASSUMPTION_FIELDS = [
@@ -102,7 +95,7 @@ ASSUMPTION_FIELDS = [
     ("expected_rework_rate", "ratio", 0.0, 1.0),
     ("intervention_cost", "currency", 0.0, None),
 ]
-MAX_SCENARIO_CHANGE, MAX_SWEEP_VALUES = 0.95, 21
+MAX_SCENARIO_CHANGE = 0.95
 
 # --- advisory language
 FORBIDDEN_PHRASES = [
@@ -133,10 +126,9 @@ HUMAN_ACTIONS = [
     ("keep_in_review", "REVIEW", "KEEP IN REVIEW"),
     ("escalate", "ESCALATED", "ESCALATE"),
 ]
-REVIEW_QUEUE_LIMIT = 200
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp", "ppm", "pgm"]
 BATCH_SUFFIXES = ["png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff"]
-MIN_IMAGE_SIDE, MAX_IMAGE_BYTES = 8, 30 * 1024 * 1024
+MIN_IMAGE_SIDE = 8
 SPLIT_FOLDERS = {
     "train": "train", "training": "train", "val": "validation", "validation": "validation",
     "valid": "validation", "test": "test", "testing": "test",

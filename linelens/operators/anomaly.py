@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linelens.functions import fixed
 from linelens.functions.expr import finite, is_numeric, q, rounded
 from linelens.operators.ordered import exact_quantiles, with_row_index
-from linelens.operators.profile import distinct_counts
+from linelens.operators.profile import varying
 
 TREES, SAMPLE, CONTAMINATION, REVIEW_SHARE, MIN_ROWS = 200, 256, 0.02, 0.05, 50
 
@@ -20,8 +20,8 @@ def anomaly_features(df: DataFrame, targets: list[str], excludes: list[str] | No
     """Numeric, varying columns that are no target and whose name holds no excluded token."""
     tokens = fixed.ANOMALY_NAME_EXCLUDES if excludes is None else excludes
     names = [f.name for f in df.schema if is_numeric(f.dataType) and f.name not in targets and not any(t in f.name.lower() for t in tokens)]
-    unique = {r["column"]: r["unique"] for r in distinct_counts(df, names).collect()} if names else {}
-    return [c for c in names if unique.get(c, 0) > 1]
+    varies = varying(df, names)
+    return [c for c in names if c in varies]
 
 
 def standardized(df: DataFrame, features: list[str]) -> tuple[list[Column], list[tuple[float, float]]]:
@@ -164,12 +164,12 @@ def score_percentile(scored: DataFrame, key: str, score: str) -> DataFrame:
     return with_row_index(scored, [score, key]).withColumn("percentile", F.round(F.col("row_index") / max(n - 1, 1) * 100.0, 2)).drop("_part", "_local", "row_index")
 
 
-def top_deviations(scored: DataFrame, base: DataFrame, features: list[str], key: str, limit: int = 25) -> DataFrame:
-    """The three largest |z| features of the first ``limit`` anomalous rows."""
+def top_deviations(scored: DataFrame, base: DataFrame, features: list[str], key: str) -> DataFrame:
+    """The three largest |z| features of every anomalous row."""
     z, _ = standardized(base, features)
     parts = F.array(*[F.struct(F.abs(c).alias("abs_z"), F.lit(f).alias("feature"), q(f).cast("double").alias("value")) for f, c in zip(features, z)])
     rows = scored.where("anomaly_state = 'ANOMALOUS'").select(q(key), "anomaly_score", F.slice(F.sort_array(parts, asc=False), 1, 3).alias("top"))
-    return rows.orderBy(key).limit(limit).select(key, rounded(F.col("anomaly_score")).alias("score"), F.posexplode("top").alias("place", "t")).select(
+    return rows.select(key, rounded(F.col("anomaly_score")).alias("score"), F.posexplode("top").alias("place", "t")).select(
         key, "score", "place", "t.feature", F.round("t.abs_z", 3).alias("abs_z"), F.round("t.value", 6).alias("value"))
 
 

@@ -17,7 +17,7 @@ def detect_drift(df: DataFrame, order_cols: list[str], columns: list[str], basel
                  block: int = 1000) -> DataFrame:
     """One row per analysable column. Columns with fewer than 500 values or no spread are left out."""
     spark = df.sparkSession
-    columns = [c for c in columns if c in df.columns and is_numeric(df.schema[c].dataType)][: fixed.MAX_DRIFT_COLUMNS]
+    columns = [c for c in columns if c in df.columns and is_numeric(df.schema[c].dataType)]
     if not order_cols or not columns:
         return spark.createDataFrame([], SCHEMA)
     narrow = df.where(q(order_cols[0]).isNotNull()).select(

@@ -173,9 +173,7 @@ def break_even(inputs: DataFrame) -> DataFrame:
 
 
 def sensitivity(baseline: DataFrame, scenario_type: str, values: list[float]) -> DataFrame:
-    """The scenario model over a sweep of at most 21 changes; refused points stay as NOT_SUPPORTED rows."""
-    if len(values) > fixed.MAX_SWEEP_VALUES:
-        raise ValueError("INVALID_SCENARIO: a sweep takes at most 21 values")
+    """The scenario model over a sweep of changes; refused points stay as NOT_SUPPORTED rows."""
     sweep = baseline.select("dataset_id", F.explode(F.array(*[F.lit(float(v)) for v in values])).alias("change")).select(
         "*", F.lit(scenario_type).alias("scenario_type"), F.lit("user_assumption").alias("scaling_basis"))
     done = net_impact(cost_columns(scenario_delta(run_scenarios(sweep, baseline))))
@@ -190,7 +188,7 @@ def economics_status(assumptions: DataFrame, what_if: DataFrame) -> DataFrame:
     wide = assumption_wide(assumptions)
     have = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in FIELDS]))
     lack = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in FIELDS]))
-    joined = wide.join(F.broadcast(what_if.select("dataset_id", "throughput", F.lit(True).alias("_b"))), "dataset_id", "left")
+    joined = wide.join(what_if.select("dataset_id", "throughput", F.lit(True).alias("_b")), "dataset_id", "left")
     return joined.select("dataset_id", F.when(F.col("_b"), "READY").otherwise("NOT_ANALYZED").alias("status"),
                          F.col("throughput").isNotNull().alias("throughput_available"), F.array_join(have, ", ").alias("supplied"),
                          F.array_join(lack, ", ").alias("missing"), "currency")

@@ -17,8 +17,8 @@ from linelens.functions import fixed
 from linelens.functions.expr import (
     at_least, at_most, corr_sql, finite, finite_sql, is_numeric, literal, pearson_p, q, rounded, stack_rows, stack_sql, to_long, two_sided_p, weighted_score)
 from linelens.operators.ordered import attach_ranks, average_ranks, exact_quantiles, running_sums, with_row_index
-from linelens.operators.profile import distinct_counts
-from linelens.operators.split import seeded_key, shuffle_bucket
+from linelens.operators.profile import varying
+from linelens.operators.split import seeded_key, with_previous
 from linelens.session import materialize
 
 MI_BINS = 16
@@ -31,19 +31,17 @@ def discover_targets(columns: DataFrame) -> DataFrame:
     """Targets among column metadata rows.
 
     ``columns``: input, mode ('model_input' or 'process_table'), column, role, numeric, nonnull,
-    unique, ordinal, min, max, mean. Process tables give at most six targets, all together 40.
+    unique, ordinal, min, max, mean. Every usable column of every input is listed.
     """
     name = F.col("column")
     usable = columns.where(
         (F.col("nonnull") >= fixed.MIN_TARGET_ROWS) & (F.col("unique") > 1) & F.col("numeric")
         & ~name.rlike("(?i)" + fixed.TARGET_EXCLUDES)
         & ((F.col("mode") != "model_input") | F.col("role").isin(fixed.RESPONSE_ROLES)))
-    # column metadata: at most a few thousand rows
-    picked = usable.withColumn("_r", F.row_number().over(W.partitionBy("mode").orderBy("input", "ordinal")))
-    picked = picked.where((F.col("mode") == "model_input") | (F.col("_r") <= fixed.MAX_TABLE_TARGETS))
-    ordered = picked.withColumn("rank", F.row_number().over(
+    # the window sees column metadata: one row per column of the inputs
+    ordered = usable.withColumn("rank", F.row_number().over(
         W.orderBy((F.col("mode") != "model_input").cast("int"), "input", "column")))
-    return ordered.where(F.col("rank") <= fixed.MAX_TARGETS).select(
+    return ordered.select(
         "rank", F.col("column").alias("target"), "input", "mode", F.col("nonnull").alias("rows_with_target"),
         rounded(F.col("min")).alias("target_min"), rounded(F.col("max")).alias("target_max"), rounded(F.col("mean")).alias("target_mean"))
 
@@ -92,13 +90,13 @@ def event_summary(flagged: DataFrame, event: dict) -> DataFrame:
         "event_rows", "non_event_rows")
 
 
-def select_factors(df: DataFrame, target: str, responses: list[str], limit: int = fixed.MAX_FACTORS) -> tuple[list[str], list[str]]:
+def select_factors(df: DataFrame, target: str, responses: list[str]) -> tuple[list[str], list[str]]:
     """(factors, excluded): numeric, varying, not a response, id or split column; table order."""
     barred = {target, *responses, *fixed.FACTOR_EXCLUDES, EVENT}
     names = [f.name for f in df.schema if f.name not in barred and "_id" not in f.name.lower() and is_numeric(f.dataType)]
-    unique = {r["column"]: r["unique"] for r in distinct_counts(df, names).collect()} if names else {}
-    factors = [c for c in names if unique.get(c, 0) > 1]
-    return factors[:limit], [c for c in df.columns if c not in factors and c != EVENT]
+    varies = varying(df, names)
+    factors = [c for c in names if c in varies]
+    return factors, [c for c in df.columns if c not in factors and c != EVENT]
 
 
 # --- order-free signals
@@ -166,9 +164,7 @@ def mutual_information(df: DataFrame, y: str, factors: list[str], row_key: str,
     aggregation whose size does not depend on the rows.
     """
     narrow = binned(df, [y, *factors], [seeded_key(seed, q(row_key)).alias("_h")], bins).withColumnRenamed("b_0", "by")
-    w = W.partitionBy(shuffle_bucket(F.col("_h"), df.count())).orderBy("_h")  # random buckets of bounded size
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    paired = narrow.withColumn("bp", F.when(F.row_number().over(w) == 1, F.last("by").over(whole)).otherwise(F.lag("by").over(w)))
+    paired = with_previous(narrow, ["_h"], ["by"]).withColumnRenamed("_prev_by", "bp")
     cells = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(f"b_{i + 1}").alias("bx")) for i, c in enumerate(factors)])
     long = paired.select("by", "bp", F.explode(cells).alias("s")).select(
         F.col("s.factor").alias("factor"), F.col("s.bx").alias("bx"), F.explode(F.array(
@@ -322,14 +318,14 @@ def association_band(score: Column) -> Column:
 
 
 def rank_findings(scored: DataFrame) -> DataFrame:
-    """Rank by score (unscored last). At most 60 factors, so one window is fine."""
+    """Rank by score (unscored last). One row per factor, that is per column, so one window is fine."""
     return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc_nulls_last("evidence_score"), "factor")))
 
 
 def rank_stations(ranked: DataFrame) -> DataFrame:
-    """Per station: factors, best score and factor, and the five best-ranked factors."""
+    """Per station: factors, best score and factor, and all its factors by rank."""
     best = F.max_by("factor", F.when(F.col("evidence_score").isNotNull(), F.struct("evidence_score", -F.col("rank"))))
-    listed = F.slice(F.sort_array(F.collect_list(F.struct("rank", "factor", F.col("evidence_score").alias("score")))), 1, 5)
+    listed = F.sort_array(F.collect_list(F.struct("rank", "factor", F.col("evidence_score").alias("score"))))
     return ranked.where("station is not null").groupBy("station").agg(
         F.count(F.lit(1)).alias("factors"), F.max("evidence_score").alias("best_score"), best.alias("best_factor"), listed.alias("ranked_factors"))
 
@@ -357,7 +353,7 @@ def explain(ranked: DataFrame, event: dict) -> DataFrame:
 
 
 def sample_cap(df: DataFrame, key: str, cap: int, seed: int = 42) -> DataFrame:
-    """Optional seeded sample of at most ``cap`` rows with a ``sampled`` flag. Nothing here needs it."""
+    """A seeded sample of at most ``cap`` rows with a ``sampled`` flag, for callers who ask for one; no run takes it."""
     n = df.count()
     if n <= cap:
         return df.withColumn("sampled", F.lit(False))

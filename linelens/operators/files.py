@@ -60,9 +60,11 @@ def image_size(content: Column) -> tuple[Column, Column]:
     return at(17, 7, 19), at(21, 9, 23)
 
 
-def validate_files(files: DataFrame, order: str = "position") -> DataFrame:
+def validate_files(files: DataFrame, order: str = "position", max_bytes: int | None = None) -> DataFrame:
     """files: original_name, content, <order>. One status per file; nothing is dropped.
 
+    A file without content is unreadable. ``max_bytes`` is the caller's limit on a file's size.
+
     The first valid file of a content is kept, later copies are duplicates. The first one comes
     from an aggregate and is attached hot-key safe, so many copies never meet in one task.
     """
@@ -71,9 +73,10 @@ def validate_files(files: DataFrame, order: str = "position") -> DataFrame:
     suffix = suffix_of(name)
     size = F.length(content)
     small = F.coalesce(width < fixed.MIN_IMAGE_SIDE, F.lit(False)) | F.coalesce(height < fixed.MIN_IMAGE_SIDE, F.lit(False))
-    status = (F.when(~suffix.isin(*fixed.BATCH_SUFFIXES), "unsupported").when(size > fixed.MAX_IMAGE_BYTES, "invalid")
+    large = F.coalesce(size > max_bytes, F.lit(False)) if max_bytes is not None else F.lit(False)
+    status = (F.when(~suffix.isin(*fixed.BATCH_SUFFIXES), "unsupported").when(large, "invalid")
               .when(kind.isNull() | small, "invalid").otherwise("valid"))
-    reason = (F.when(~suffix.isin(*fixed.BATCH_SUFFIXES), "unsupported format").when(size > fixed.MAX_IMAGE_BYTES, "file exceeds 30 MB")
+    reason = (F.when(~suffix.isin(*fixed.BATCH_SUFFIXES), "unsupported format").when(large, f"file exceeds {max_bytes} bytes")
               .when(kind.isNull(), "unreadable image").when(small, "image too small"))
     read = files.select(order, "original_name", size.alias("size_bytes"), status.alias("status"), reason.alias("reason"), width.alias("width"),
                         height.alias("height"), kind.alias("format"), F.sha2(content, 256).alias("sha256"),
@@ -82,13 +85,16 @@ def validate_files(files: DataFrame, order: str = "position") -> DataFrame:
 
 
 def mark_duplicates(read: DataFrame, order: str) -> DataFrame:
+    """Files without content have no digest and are never copies; they bypass the join."""
     valid = F.col("status") == "valid"
+    blank = read.where("sha256 is null").select(order, "original_name", "size_bytes", "status", "reason", "width", "height", "format", "sha256", "class_folder")
+    read = read.where("sha256 is not null")
     first = read.groupBy("sha256").agg(F.min(F.when(valid, F.struct(q(order), F.col("original_name")))).alias("_first"), F.count(F.lit(1)).alias("n"))
     joined = attach(read, first, ["sha256"])
     copy = valid & (q(order) != F.col(f"_first.{order}"))
     return joined.select(order, "original_name", "size_bytes", F.when(copy, "duplicate").otherwise(F.col("status")).alias("status"),
                          F.when(copy, F.concat(F.lit("duplicate of "), F.col("_first.original_name"))).otherwise(F.col("reason")).alias("reason"),
-                         "width", "height", "format", "sha256", "class_folder")
+                         "width", "height", "format", "sha256", "class_folder").unionByName(blank)
 
 
 def batch_summary(validated: DataFrame) -> DataFrame:

@@ -37,12 +37,12 @@ def station_table(metrics: DataFrame) -> DataFrame:
 
 
 def attach_root_cause(stations: DataFrame, findings: DataFrame | None) -> DataFrame:
-    """Best score and factor, first five factors and the largest enrichment per station (findings: at most 25 rows)."""
+    """Best score and factor, all factors by rank and the largest enrichment per station (findings: one row per column)."""
     if findings is None:
         return stations.select("*", F.lit(None).cast("double").alias("rca_score"), F.lit(None).cast("string").alias("rca_factor"),
                                F.lit(None).cast("string").alias("rca_factors"), F.lit(None).cast("double").alias("enrichment"))
     scored = F.when(F.col("evidence_score").isNotNull(), F.struct("evidence_score", -F.col("rank")))
-    names = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("rank", "factor"))), 1, 5), lambda s: s["factor"])
+    names = F.transform(F.sort_array(F.collect_list(F.struct("rank", "factor"))), lambda s: s["factor"])
     per = findings.where("station is not null").groupBy("station").agg(
         F.max("evidence_score").alias("rca_score"), F.max_by("factor", scored).alias("rca_factor"),
         F.array_join(names, ", ").alias("rca_factors"), F.max("enrichment").alias("enrichment"))
@@ -123,7 +123,7 @@ def throughput_impact(df: DataFrame, utilization: dict[str, str], outputs: list[
     spark = df.sparkSession
     schema = ("station string, output_column string, status string, threshold double, constrained_mean double, unconstrained_mean double, "
               "difference double, relative_difference double, constrained_rows long, unconstrained_rows long")
-    outputs = [c for c in outputs if c in df.columns and is_numeric(df.schema[c].dataType)][:3]
+    outputs = [c for c in outputs if c in df.columns and is_numeric(df.schema[c].dataType)]
     pairs = [(s, c) for s, c in utilization.items() if c in df.columns]
     if not outputs or not pairs:
         return spark.createDataFrame([(s, None, "NOT_AVAILABLE_FROM_DATASET", *[None] * 7) for s in utilization], schema)
@@ -153,17 +153,15 @@ def throughput_impact(df: DataFrame, utilization: dict[str, str], outputs: list[
 
 
 def impact_outputs(columns: list[str]) -> list[str]:
-    return [c for c in columns if any(h in c.lower() for h in fixed.IMPACT_OUTPUT_HINTS)][:3]
+    return [c for c in columns if any(h in c.lower() for h in fixed.IMPACT_OUTPUT_HINTS)]
 
 
 # --- flow sequence
 
-def known_sequence(filename: str | None, stations: list[str]) -> list[str] | None:
-    for key, sequence in fixed.KNOWN_SEQUENCES.items():
-        if filename and key.lower() in filename.lower():
-            present = [s for s in sequence if s in stations]
-            return present if len(present) >= 2 else None
-    return None
+def known_sequence(sequence: list[str] | None, stations: list[str]) -> list[str] | None:
+    """The stations of a stated sequence that the data has; None with fewer than two."""
+    present = [s for s in sequence or [] if s in stations]
+    return present if len(present) >= 2 else None
 
 
 def suffix_sequence(stations: list[str]) -> list[str] | None:
@@ -177,9 +175,9 @@ def suffix_sequence(stations: list[str]) -> list[str] | None:
     return ordered if len(ordered) >= 2 else None
 
 
-def infer_sequence(spark, stations: list[str], filename: str | None = None) -> DataFrame | None:
-    """(pos, station) from a documented sequence or from numeric suffixes; None when neither applies."""
-    order = known_sequence(filename, stations) or suffix_sequence(stations)
+def infer_sequence(spark, stations: list[str], sequence: list[str] | None = None) -> DataFrame | None:
+    """(pos, station) from a stated sequence or from numeric suffixes; None when neither applies."""
+    order = known_sequence(sequence, stations) or suffix_sequence(stations)
     return spark.createDataFrame(list(enumerate(order)), "pos int, station string") if order else None
 
 
@@ -197,7 +195,7 @@ def flow_nodes(stations: DataFrame, sequence: DataFrame | None) -> DataFrame:
 
 
 def blocking_starvation(spark, ordered: bool) -> DataFrame:
-    reason = ("aggregate counters only: no arrival and departure records per unit" if ordered else "no defensible station ordering")
+    reason = ("only totals are recorded, not each unit's way in and out" if ordered else "no defensible station ordering")
     return spark.createDataFrame([(k, "NOT_SUPPORTED", reason) for k in ("blocking", "starvation")], "kind string, status string, reason string")
 
 
@@ -207,21 +205,20 @@ def outside_sequence(stations: DataFrame, sequence: DataFrame) -> DataFrame:
 
 # --- timeline
 
-def timeline_columns(columns: list[str], stations: list[str], limit: int = 4) -> list[tuple[str, str, str]]:
-    """(station, metric, column): the first metric with a matching column, for the first stations."""
+def timeline_columns(columns: list[str], stations: list[str]) -> list[tuple[str, str, str]]:
+    """(station, metric, column): for every station each metric that has a matching column."""
     found = []
-    for s in stations[:limit]:
+    for s in stations:
         for metric, _, aliases in fixed.TIMELINE_ALIASES:
             hit = next((c for a in aliases for c in columns if s.lower() in c.lower() and a in c.lower()), None)
             if hit:
                 found.append((s, metric, hit))
-                break
     return found
 
 
 def timeline_bins(df: DataFrame, order_cols: list[str], picked: list[tuple[str, str, str]], bins: int = 48) -> DataFrame:
-    """Mean of each picked column per run of consecutive rows."""
-    bins = max(8, min(int(bins), 120))
+    """Mean of each picked column per run of consecutive rows, about ``bins`` of them."""
+    bins = max(1, int(bins))
     columns = sorted({c for _, _, c in picked})
     indexed = with_row_index(df.select(*[q(c) for c in dict.fromkeys([*order_cols, *columns])]), order_cols)
     n = df.count()
@@ -235,18 +232,17 @@ def timeline_bins(df: DataFrame, order_cols: list[str], picked: list[tuple[str,
 
 
 def drift_markers(drift: DataFrame, rows: int, bins: int) -> DataFrame:
-    """Bin of the change point for the first four analysed columns that drifted."""
-    numbered = drift.withColumn("_r", F.row_number().over(W.orderBy("column")))  # at most 25 rows
-    return numbered.where("_r <= 4 and drift_detected").select(
+    """Bin of the change point of every column that drifted."""
+    return drift.where("drift_detected").select(
         "column", F.round(F.col("change_position") / max(rows, 1) * bins).cast("int").alias("bin"), "direction", "peak_ewma_z")
 
 
-def event_markers(flagged: DataFrame, event_col: str, order_cols: list[str], bins: int, limit: int = 60) -> DataFrame:
-    """Bins that hold at least one event row, the first 60 of them."""
+def event_markers(flagged: DataFrame, event_col: str, order_cols: list[str], bins: int) -> DataFrame:
+    """Bins that hold at least one event row."""
     n = flagged.count()
     indexed = with_row_index(flagged.select(*[q(c) for c in order_cols], q(event_col)), order_cols)
     hit = indexed.where(q(event_col)).select(F.floor(F.col("row_index") / max(1, n // bins)).cast("int").alias("bin"))
-    return hit.distinct().orderBy("bin").limit(limit)
+    return hit.distinct()
 
 
 def what_if_inputs(ranked: DataFrame, impact: DataFrame) -> DataFrame:

@@ -16,9 +16,6 @@ from linelens.functions import fixed
 from linelens.functions.expr import argmax, distance, q, rounded, softmax
 from linelens.operators.ordered import cumulative, share_below
 
-CLOUD_POINTS = 90
-
-
 # --- classification and calibration
 
 def fit_classifier(train: DataFrame, label: str = "label", embedding: str = "embedding", iterations: int = 200):
@@ -146,19 +143,22 @@ def anomaly_percentile(df: DataFrame, normal_fit: DataFrame, normal_validation:
     return share_below(asked, known, ["_ref_class"], "mahalanobis", "anomaly").drop("_ref_class")
 
 
-def feature_space(train: DataFrame, label: str = "label", embedding: str = "embedding", points: int = CLOUD_POINTS, order: str = "inspection_id"):
-    """Two principal components: (fitted model, even subsample per class, explained variance)."""
+def feature_space(train: DataFrame, label: str = "label", embedding: str = "embedding", points: int | None = None, order: str = "inspection_id"):
+    """Two principal components: (fitted model, all rows or on request an even subsample per class, explained variance)."""
     v = train.select(q(order), q(label).alias("class"), array_to_vector(q(embedding)).alias("_v"))
     pipeline = Pipeline(stages=[StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True), PCA(k=2, inputCol="_z", outputCol="_xy")])
     model = pipeline.fit(v)
     projected = project(model, v.select(order, "class", "_v"))
+    variance = [float(x) for x in model.stages[-1].explainedVariance]
+    if points is None:
+        return model, projected.select(order, "class", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")), variance
     placed = cumulative(projected, ["class"], [order], {"rank": F.lit(1)})
     sizes = placed.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     take = F.least(F.col("n"), F.lit(points))
     # row i is kept when some k < take has floor(k * n / take) = i
     k = F.ceil(F.col("before_rank") * take / F.col("n"))
     kept = placed.join(F.broadcast(sizes), "class").where((k < take) & (F.floor(k * F.col("n") / take) == F.col("before_rank")))
-    return model, kept.select(order, "class", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")), [float(v) for v in model.stages[-1].explainedVariance]
+    return model, kept.select(order, "class", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")), variance
 
 
 def project(model, df: DataFrame) -> DataFrame:

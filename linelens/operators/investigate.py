@@ -37,16 +37,16 @@ def investigate(inspections: DataFrame, context: DataFrame) -> DataFrame:
     stages = F.array(
         _stage("received", "Inspection received", F.lit("COMPLETE"), F.concat(F.lit("source "), text(F.coalesce("filename", F.col("inspection_id").cast("string")))), "OBSERVED"),
         _stage("classifying", "Classification", F.lit("COMPLETE"), F.concat(text(F.col("predicted_class")), F.lit(" at "), F.format_number(F.coalesce("confidence", F.lit(0.0)) * 100, 1), F.lit("%")), "MODEL OUTPUT"),
-        _stage("localizing", "Localization", F.when(F.col("localized"), "COMPLETE").otherwise("DATA_GAP"), F.when(F.col("localized"), "attention region derived").otherwise("no attention region"), "MODEL-DERIVED"),
+        _stage("localizing", "Localization", F.when(F.col("localized"), "COMPLETE").otherwise("DATA_GAP"), F.when(F.col("localized"), "region found").otherwise("no region found"), "MODEL-DERIVED"),
         _stage("checking_robustness", "Robustness check", F.when(F.coalesce(review, F.lit(False)), "REVIEW").otherwise("COMPLETE"),
                F.concat(F.lit("novelty "), F.coalesce("novelty_status", F.lit("NORMAL"))), "MODEL OUTPUT"),
         _stage("process_correlation", "Process correlation", gap(F.lit("PARTIAL"), F.lit("DATA_GAP")), gap(F.lit("dataset-level context"), no_data), gap(F.lit("OBSERVED"), F.lit("DATA GAP"))),
         _stage("root_cause", "Root-cause hypotheses", gap(done(F.col("root_cause_status"), F.col("root_cause_findings") > 0), F.lit("DATA_GAP")),
-               gap(F.concat(text(F.col("root_cause_findings")), F.lit(" ranked findings")), no_data), gap(F.lit("STATISTICAL ASSOCIATION"), F.lit("DATA GAP"))),
+               gap(F.concat(text(F.col("root_cause_findings")), F.lit(" findings in order")), no_data), gap(F.lit("STATISTICAL ASSOCIATION"), F.lit("DATA GAP"))),
         _stage("bottleneck", "Bottleneck / flow", gap(done(F.col("bottleneck_status"), F.lit(True)), F.lit("DATA_GAP")),
-               gap(F.concat(F.lit("candidate constraint: "), F.coalesce("candidate", F.lit("none identified"))), no_data), gap(F.lit("EVIDENCE-BASED HYPOTHESIS"), F.lit("DATA GAP"))),
+               gap(F.concat(F.lit("likely constraint: "), F.coalesce("candidate", F.lit("none identified"))), no_data), gap(F.lit("EVIDENCE-BASED HYPOTHESIS"), F.lit("DATA GAP"))),
         _stage("impact", "Production impact", gap(F.when(supplied == 0, "AWAITING_INPUT").otherwise("COMPLETE"), F.lit("DATA_GAP")),
-               gap(F.when(supplied == 0, "economic assumptions required").otherwise(F.concat(F.lit("daily contribution "), text(F.round("daily_contribution", 2)))), no_data),
+               gap(F.when(supplied == 0, "waiting for assumptions").otherwise(F.concat(F.lit("daily contribution "), text(F.round("daily_contribution", 2)))), no_data),
                gap(F.when(supplied == 0, "USER ASSUMPTION").otherwise("CALCULATED"), F.lit("DATA GAP"))),
         _stage("what_if", "What-if scenario", gap(F.when(scenarios == 0, "AWAITING_INPUT").otherwise("COMPLETE"), F.lit("DATA_GAP")),
                gap(F.when(scenarios == 0, "scenario runs on demand").otherwise(F.concat(scenarios.cast("string"), F.lit(" scenario(s) run"))), no_data), gap(F.lit("SIMULATION"), F.lit("DATA GAP"))),

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from linelens.functions import fixed
 from linelens.functions.expr import finite, is_numeric, q, rounded, stack_rows
 from linelens.operators.profile import distinct_counts
+from linelens.session import materialize
 
-FOREST_ROWS, BOOST_ROWS = 100_000, 200_000
-PREVIEW_ROWS, TOP_FEATURES = 200, 10
+FOREST_TREES, BOOST_ROUNDS = 200, 150
 
 
 def detect_target_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -96,23 +96,20 @@ class MeanBaseline:
         return df.withColumn("prediction", F.lit(float(self.value)))
 
 
-def candidates(kind: str, n_train: int, features: list[str], seed: int = 42, forest_trees: int = 200, boost_rounds: int | None = None) -> list[tuple[str, object]]:
-    """(name, estimator) in fixed order; the forest is offered only up to 100,000 training rows."""
+def candidates(kind: str, n_train: int, features: list[str], seed: int = 42, forest_trees: int = FOREST_TREES, boost_rounds: int = BOOST_ROUNDS) -> list[tuple[str, object]]:
+    """(name, estimator) in fixed order, the same for every number of rows."""
     assemble = VectorAssembler(inputCols=features, outputCol="raw")
     scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     line = lambda est: Pipeline(stages=[assemble, scale, est])
-    rounds = boost_rounds or (150 if n_train <= BOOST_ROWS else 80)
     if kind == "regression":
         out = [("dummy_mean", MeanBaseline(False)),
                ("ridge", line(LinearRegression(regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)))]
-        if n_train <= FOREST_ROWS:
-            out.append(("random_forest", line(RandomForestRegressor(numTrees=forest_trees, maxDepth=10, seed=seed, featureSubsetStrategy="all"))))
-        return out + [("gradient_boosting", line(GBTRegressor(maxIter=rounds, stepSize=0.1, maxDepth=5, seed=seed)))]
+        out.append(("random_forest", line(RandomForestRegressor(numTrees=forest_trees, maxDepth=10, seed=seed, featureSubsetStrategy="all"))))
+        return out + [("gradient_boosting", line(GBTRegressor(maxIter=boost_rounds, stepSize=0.1, maxDepth=5, seed=seed)))]
     if kind in ("binary_classification", "multiclass_classification"):
         out = [("dummy_most_frequent", MeanBaseline(True)), ("logistic_regression", line(LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1))))]
-        if n_train <= FOREST_ROWS:
-            out.append(("random_forest", line(RandomForestClassifier(numTrees=forest_trees, maxDepth=10, seed=seed))))
-        boost = GBTClassifier(maxIter=rounds, stepSize=0.1, maxDepth=5, seed=seed)
+        out.append(("random_forest", line(RandomForestClassifier(numTrees=forest_trees, maxDepth=10, seed=seed))))
+        boost = GBTClassifier(maxIter=boost_rounds, stepSize=0.1, maxDepth=5, seed=seed)
         return out + [("gradient_boosting", line(boost if kind.startswith("binary") else OneVsRest(classifier=boost)))]
     return []
 
@@ -123,8 +120,8 @@ def _score(kind: str, predicted: DataFrame) -> dict:
     return classification_metrics(confusion(predicted, F.col("label"), F.col("prediction"))).first().asDict()
 
 
-def select_model(df: DataFrame, target: str, features: list[str], kind: str, seed: int = 42, forest_trees: int = 200,
-                 boost_rounds: int | None = None) -> dict:
+def select_model(df: DataFrame, target: str, features: list[str], kind: str, seed: int = 42, forest_trees: int = FOREST_TREES,
+                 boost_rounds: int = BOOST_ROUNDS) -> dict:
     """Fit on train, choose on validation, touch test once. A failed candidate is recorded, not fatal."""
     data = df.select("*", q(target).cast("double").alias("label")).persist()
     try:
@@ -146,7 +143,7 @@ def select_model(df: DataFrame, target: str, features: list[str], kind: str, see
             if value is not None and (best is None or (value < best[1] if lower else value > best[1])):
                 best = (name, value, model)
         if best is None:
-            return {"status": "FAILED", "reason": "all candidate models failed to fit", "results": results, "best": None, "model": None}
+            return {"status": "FAILED", "reason": "none of the candidates could be fitted", "results": results, "best": None, "model": None}
         test = _score(kind, best[2].transform(part("test")))
         baseline = _score(kind, first[1].transform(part("test"))) if first[0] != best[0] else None
         return {"status": "READY", "reason": None, "results": results, "best": best[0], "model": best[2], "test": test, "baseline": baseline,
@@ -161,7 +158,7 @@ def selection_table(spark, run: dict) -> DataFrame:
 
 
 def feature_importance(spark, run: dict, df: DataFrame | None = None, key: str | None = None, repeats: int = 5, seed: int = 42) -> DataFrame:
-    """Coefficients, tree importance, or permutation importance; the ten largest. Association, not cause."""
+    """Coefficients, tree importance, or permutation importance of every feature, largest first. Association, not cause."""
     schema = "factor string, importance double, direction string, method string"
     model, names = run["model"], run["features"]
     last = model.stages[-1] if isinstance(model, PipelineModel) else model
@@ -178,27 +175,24 @@ def feature_importance(spark, run: dict, df: DataFrame | None = None, key: str |
     else:
         return spark.createDataFrame([], schema)
     rows.sort(key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame([(n, round(v, 6), d, m) for n, v, d, m in rows[:TOP_FEATURES]], schema)
+    return spark.createDataFrame([(n, round(v, 6), d, m) for n, v, d, m in rows], schema)
 
 
 def permutation_importance(run: dict, df: DataFrame, key: str, repeats: int = 5, seed: int = 42) -> dict[str, float]:
     """Loss of the selection metric when one column is re-paired with other rows by seeded order."""
-    from linelens.operators.split import seeded_key, shuffle_bucket
+    from linelens.operators.split import seeded_key, with_previous
 
     measure, sign = run["metric"], 1.0 if run["metric"] == "rmse" else -1.0
     data = df.select("*", q(run["target"]).cast("double").alias("label"))
     base = _score(run["kind"], run["model"].transform(data))[measure]
-    rows, out = data.count(), {}
-    for f in run["features"]:
-        losses = []
-        for r in range(repeats):
-            h = data.select("*", seeded_key(seed * 1000 + r, q(key)).alias("_h"))
-            w = W.partitionBy(shuffle_bucket(F.col("_h"), rows)).orderBy("_h")
-            every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-            moved = h.withColumn(f, F.coalesce(F.lag(q(f)).over(w), F.last(q(f)).over(every))).drop("_h")
-            losses.append(sign * (_score(run["kind"], run["model"].transform(moved))[measure] - base))
-        out[f] = sum(losses) / len(losses)
-    return out
+    losses: dict[str, list[float]] = {f: [] for f in run["features"]}
+    for r in range(repeats):  # one order a repeat, in which every feature is moved by itself
+        keyed = data.select("*", seeded_key(seed * 1000 + r, q(key)).alias("_h"))
+        shifted = materialize(with_previous(keyed, ["_h", key], run["features"]).drop("_h"))
+        for f in run["features"]:
+            moved = shifted.withColumn(f, q(f"_prev_{f}"))
+            losses[f].append(sign * (_score(run["kind"], run["model"].transform(moved))[measure] - base))
+    return {f: sum(x) / len(x) for f, x in losses.items()}
 
 
 def coefficient_table(spark, run: dict) -> DataFrame | None:
@@ -219,7 +213,8 @@ def prediction_table(run: dict, df: DataFrame, key: str, states: DataFrame | Non
     return out if states is None else out.join(states.select(q(key), "anomaly_state", "anomaly_score"), key, "left")
 
 
-def prediction_preview(predictions: DataFrame, key: str, rows: int = PREVIEW_ROWS) -> DataFrame:
+def prediction_preview(predictions: DataFrame, key: str, rows: int) -> DataFrame:
+    """The first rows of a prediction table, as many as the caller shows."""
     return predictions.orderBy(key).limit(rows)
 
 

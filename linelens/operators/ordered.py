@@ -21,7 +21,6 @@ from linelens.session import materialize
 
 PART, LOCAL = "_part", "_local"
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition number above bit 33
-EXACT_ROWS = 2_000_000  # up to this many rows the built-in exact percentile is used
 
 
 def range_runs(df: DataFrame, order_cols: list) -> DataFrame:
@@ -115,60 +114,50 @@ def attach_ranks(rows: DataFrame, ranks: DataFrame, keys: list[str], value: str,
     return attach(rows, ranks.select(*keys, value, "n", F.col("avg_rank").alias(name)), [*keys, value], total=total)
 
 
-def exact_quantiles(
-    df: DataFrame, wanted: dict[str, list[float]], exact_rows: int = EXACT_ROWS, slack: float = 0.0005
-) -> dict[str, list[float | None]]:
-    """Exact linear-interpolation quantiles of several columns.
+def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], slack: float = 0.0005) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles of several columns, by one path at every size.
 
-    A small table (size checked) uses the built-in exact percentile. A big one takes two
-    scans: a mergeable sketch brackets each quantile, then only the values inside the
-    brackets are sorted, so the sort sees about 2 * slack of the rows.
+    One scan builds a mergeable sketch per column that brackets each quantile. Another scan counts
+    what lies below the brackets and sorts only the values inside them, about 2 * slack of the rows.
+    Columns without values give None.
     """
     data = df.select(*[finite(q(c)).alias(c) for c in wanted])
-    n_rows = data.count()
-    if n_rows <= exact_rows:
-        row = data.agg(*[F.percentile(q(c), F.array(*[F.lit(float(p)) for p in ps])).alias(c) for c, ps in wanted.items()]).first()
-        return {c: (list(row[c]) if row[c] is not None else [None] * len(ps)) for c, ps in wanted.items()}
-    probes = [(c, i, p) for c, ps in wanted.items() for i, p in enumerate(ps)]
-    sketch = data.agg(
-        *[F.count(q(c)).alias(f"n_{k}") for k, c in enumerate(wanted)],
-        *[F.percentile_approx(q(c), [max(p - slack, 0.0), min(p + slack, 1.0)], 10000).alias(f"b_{j}")
-          for j, (c, _, p) in enumerate(probes)],
-        *[F.min(q(c)).alias(f"lo_{k}") for k, c in enumerate(wanted)],
-        *[F.max(q(c)).alias(f"hi_{k}") for k, c in enumerate(wanted)],
-    ).first()
-    index = {c: k for k, c in enumerate(wanted)}
-    brackets = []
-    for j, (c, i, p) in enumerate(probes):
-        n = sketch[f"n_{index[c]}"]
-        if not n:
-            continue
-        low, high = sketch[f"b_{j}"]
-        if p - slack <= 0:
-            low = sketch[f"lo_{index[c]}"]
-        if p + slack >= 1:
-            high = sketch[f"hi_{index[c]}"]
-        brackets.append((j, c, i, p, n, low, high))
-    below = data.agg(*[F.count_if(q(c) < low).alias(f"c_{j}") for j, c, _, _, _, low, _ in brackets]).first()
-    inside = data.select(F.explode(F.array(*[
-        F.when((q(c) >= low) & (q(c) <= high), F.struct(F.lit(j).alias("probe"), q(c).alias("v")))
-        for j, c, _, _, _, low, high in brackets])).alias("s")).where("s is not null").select("s.*")
-    counts = inside.groupBy("probe", "v").agg(F.count(F.lit(1)).alias("n"))
-    placed = cumulative(counts, ["probe"], ["v"], {"n": F.col("n")})
-    wants, result = [], {c: [None] * len(ps) for c, ps in wanted.items()}
-    for j, c, i, p, n, _, _ in brackets:
+    columns, result = list(wanted), {c: [None] * len(ps) for c, ps in wanted.items()}
+    counts = data.agg(*[F.count(q(c)).alias(f"n{k}") for k, c in enumerate(columns)]).first()
+    live = [k for k in range(len(columns)) if counts[f"n{k}"]]
+    if not live:
+        return result
+    aggs = []
+    for k in live:  # a bracket reaches two rows beyond its quantile at least
+        wide = max(slack, 2.0 / counts[f"n{k}"])
+        probes = [x for p in wanted[columns[k]] for x in (max(p - wide, 0.0), min(p + wide, 1.0))]
+        v = q(columns[k])
+        aggs.append(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile_approx(v, probes, 10000).alias("b")).alias(f"s{k}"))
+    sketch = data.agg(*aggs).first()
+    brackets = []  # column number, place in the request, probability, values, low, high
+    for k in live:
+        s, n = sketch[f"s{k}"], counts[f"n{k}"]
+        wide = max(slack, 2.0 / n)
+        for i, p in enumerate(wanted[columns[k]]):
+            brackets.append((k, i, p, n, s["lo"] if p - wide <= 0 else s["b"][2 * i], s["hi"] if p + wide >= 1 else s["b"][2 * i + 1]))
+    held = {}
+    for k in {b[0] for b in brackets}:
+        v = q(columns[k])
+        held[k] = reduce(lambda x, y: x | y, [(v >= low) & (v <= high) for kk, _, _, _, low, high in brackets if kk == k])
+    facts = data.agg(*[F.struct(F.count_if(q(columns[k]) < low).alias("all"), F.count_if((q(columns[k]) < low) & held[k]).alias("held")).alias(f"c{j}")
+                       for j, (k, _, _, _, low, _) in enumerate(brackets)]).first()
+    inside = data.select(F.explode(F.array(*[F.when(held[k], F.struct(F.lit(k).alias("k"), q(columns[k]).alias("v"))) for k in held])).alias("s")).where("s is not null").select("s.*")
+    placed = cumulative(inside.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")), ["k"], ["v"], {"n": F.col("n")})
+    wants = []
+    for j, (k, _, p, n, _, _) in enumerate(brackets):
+        h, before = (n - 1) * p, facts[f"c{j}"]["held"] - facts[f"c{j}"]["all"]
+        wants.append((k, int(h) + before, min(int(h) + 1, n - 1) + before))
+    ranks = data.sparkSession.createDataFrame(sorted({(k, at) for k, *ats in wants for at in ats}), "k int, at long")  # two a probe
+    near = placed.join(F.broadcast(ranks), "k").where((F.col("before_n") <= F.col("at")) & (F.col("at") < F.col("before_n") + F.col("n")))
+    found = {(r["k"], r["at"]): r["v"] for r in near.select("k", "at", "v").collect()}
+    for (k, i, p, n, _, _), (_, a, b) in zip(brackets, wants):
         h = (n - 1) * p
-        wants.append((j, int(h) - below[f"c_{j}"], min(int(h) + 1, n - 1) - below[f"c_{j}"]))
-    hit = reduce(lambda a, b: a | b, [
-        (F.col("probe") == j) & (((F.col("before_n") <= a) & (F.col("before_n") + F.col("n") > a))
-                                 | ((F.col("before_n") <= b) & (F.col("before_n") + F.col("n") > b))) for j, a, b in wants])
-    found: dict[int, list] = {}
-    for row in placed.where(hit).collect():  # at most two rows per probe
-        found.setdefault(row["probe"], []).append(row)
-    for (j, c, i, p, n, _, _), (_, a, b) in zip(brackets, wants):
-        at = lambda k: next(r["v"] for r in found[j] if r["before_n"] <= k < r["before_n"] + r["n"])
-        h = (n - 1) * p
-        result[c][i] = at(a) + (at(b) - at(a)) * (h - int(h))
+        result[columns[k]][i] = found[k, a] + (found[k, b] - found[k, a]) * (h - int(h))
     return result
 
 

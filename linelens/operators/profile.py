@@ -67,6 +67,15 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
 
 
+def varying(df: DataFrame, columns: list[str]) -> set[str]:
+    """Columns with more than one value: min and max differ. One wide aggregate, no shuffle of values."""
+    if not columns:
+        return set()
+    value = lambda c: _number(df, c)
+    row = df.agg(*[(F.max(value(c)) > F.min(value(c))).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+    return {c for i, c in enumerate(columns) if row[f"v{i}"]}
+
+
 def column_stats(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Facts plus exact distinct counts. The distincts come from one grouped pass, not from an Expand per column."""
     distinct = (counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique")) if counts is not None else distinct_counts(df))
@@ -169,17 +178,15 @@ def classify_roles(facts: DataFrame, date_like: list[str] | None = None) -> Data
 
 
 def date_like_columns(df: DataFrame, order_cols: list[str]) -> list[str]:
-    """Text columns with a date-like name whose first 50 values all parse as timestamps."""
+    """Text columns with a date-like name whose values all parse as timestamps: one scan for all of them."""
     import re
 
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and re.search(fixed.DATE_NAMES, f.name, re.I)]
-    found = []
-    for c in names:
-        head = df.where(q(c).isNotNull()).orderBy(*order_cols).limit(50)
-        bad = head.agg(F.count_if(F.try_to_timestamp(q(c)).isNull()).alias("bad"), F.count(F.lit(1)).alias("n")).first()
-        if bad["n"] and bad["bad"] == 0:
-            found.append(c)
-    return found
+    if not names:
+        return []
+    bad = lambda c: F.count_if(q(c).isNotNull() & F.try_to_timestamp(q(c)).isNull())
+    row = df.agg(*[F.struct(F.count(q(c)).alias("n"), bad(c).alias("bad")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    return [c for i, c in enumerate(names) if row[f"c{i}"]["n"] and row[f"c{i}"]["bad"] == 0]
 
 
 def profile(df: DataFrame, table: str, order_cols: list[str]) -> DataFrame:

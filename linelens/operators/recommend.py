@@ -71,7 +71,7 @@ def rule_drift(drift: DataFrame) -> DataFrame:
         F.max_by(F.struct("column", "peak_ewma_z", "direction"), F.struct(F.abs("peak_ewma_z"), "column")).alias("s")).select("dataset_id", "s.*")
     c = F.col("column")
     return _emit(top, "process_drift", "INVESTIGATE_PROCESS_DRIFT", c, F.concat(F.lit("Investigate process drift in "), c),
-                 F.concat(c, F.lit(" moved against its own baseline ("), F.col("direction"), F.lit("); why it moved is not established.")),
+                 F.concat(c, F.lit(" moved against its own baseline ("), F.col("direction"), F.lit("); the reason is open.")),
                  F.array(_evidence(F.concat(F.lit("smoothed z passed the threshold for "), c), F.concat(F.lit("peak z "), _num(F.col("peak_ewma_z"))),
                                    "root_cause", "STATISTICAL_ASSOCIATION", F.col("peak_ewma_z"))),
                  F.lit("MODERATE_EVIDENCE"), ["Drift compares a metric with its own baseline.", "Order is record order."])
@@ -108,7 +108,7 @@ def rule_gap_economics(datasets: DataFrame, assumptions: DataFrame, scenarios: D
         scenarios.where("delta_status = 'CALCULATED'").select("dataset_id").distinct(), "dataset_id", "left_anti")
     per = gaps.groupBy("dataset_id").agg(F.array_join(F.sort_array(F.collect_list("field")), ", ").alias("fields"))
     return _emit(per, "data_gap_economics", "REVIEW_DATA_GAP", F.lit("economic_assumptions"), F.lit("Provide economic assumptions to quantify impact"),
-                 F.lit("No economic columns exist in the data, so impact needs user input."),
+                 F.lit("The data has no money columns; amounts must come from the user."),
                  F.array(_evidence(F.lit("economic assumptions are missing"), F.concat(F.lit("missing fields: "), F.col("fields")), "assumptions", "USER_ASSUMPTION")),
                  F.lit("INSUFFICIENT_EVIDENCE"), ["No economic value is made up."], gap=True)
 

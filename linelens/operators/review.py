@@ -34,7 +34,7 @@ def review_queue(inspections: DataFrame, reviews: DataFrame, limit: int = 100, o
     rows = _with_review(inspections.where("decision = 'REVIEW'"), reviews)
     if not include_reviewed:
         rows = rows.where("human_decision is null or human_decision = 'REVIEW'")
-    return rows.orderBy(order).limit(min(limit, fixed.REVIEW_QUEUE_LIMIT))
+    return rows.orderBy(order).limit(limit)
 
 
 def review_stats(inspections: DataFrame, reviews: DataFrame) -> DataFrame:

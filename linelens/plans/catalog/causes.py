@@ -45,11 +45,11 @@ def _target_rows(spark, sf):
     return align.union_profiles(parts)
 
 
-_FIRST = ["row_key", "Demand", "Line1_Util", "Line1_Queue", "Line2_Util", "Line2_Queue"]
+_TARGET_COLUMNS = ["row_key", "Demand", *V.ORDER_METRICS, Y]
 _TARGETS_SQL = f"""WITH h AS ({V.PROCESS_HOURLY}), o AS ({V.PROCESS_ORDERS}), t AS ({union_all(
     [f"SELECT '{Y}' AS target, 'process_hourly' AS input, 'model_input' AS mode, count({Y}) AS n, min({Y})::DOUBLE AS lo, max({Y})::DOUBLE AS hi, avg({Y}) AS mu FROM h"]
-    + [f"SELECT '{c}', 'process_orders', 'process_table', count({c}), min({c})::DOUBLE, max({c})::DOUBLE, avg({c}) FROM o" for c in _FIRST])})
-  SELECT CAST(row_number() OVER (ORDER BY mode <> 'model_input', input, target) AS INTEGER) AS rank, target, input, mode, n AS rows_with_target, {r('lo')} AS target_min, {r('hi')} AS target_max, {r('mu')} AS target_mean FROM t"""
+    + [f"SELECT '{c}', 'process_orders', 'process_table', count({c}), min({c})::DOUBLE, max({c})::DOUBLE, avg({c}) FROM o" for c in _TARGET_COLUMNS])})
+  SELECT CAST(row_number() OVER (ORDER BY mode <> 'model_input', input, target) AS INTEGER) AS rank, target, input, mode, n AS rows_with_target, {r('lo')} AS target_min, {r('hi')} AS target_max, {r('mu')} AS target_mean FROM t WHERE n >= 100 AND lo < hi"""
 
 
 @query("r1_discover_targets", _TARGETS_SQL)
@@ -273,9 +273,9 @@ QUICK = f"""WITH sp AS ({_spear(LH, 6)}), ge AS ({_effect(LH)}), f AS (SELECT fa
   k AS (SELECT f.factor, st.station, score, row_number() OVER (ORDER BY score DESC, f.factor) AS rank FROM f LEFT JOIN st USING (factor))"""
 
 
-@query("r17_rank_findings", f"{QUICK} SELECT factor, station, {r('score', 3)} AS evidence_score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 25", digits=3)
+@query("r17_rank_findings", f"{QUICK} SELECT factor, station, {r('score', 3)} AS evidence_score, CAST(rank AS INTEGER) AS rank FROM k", digits=3)
 def r17(spark, sf):
-    return quick_findings(spark, sf)[0].where("rank <= 25").select("factor", "station", "evidence_score", "rank")
+    return quick_findings(spark, sf)[0].select("factor", "station", "evidence_score", "rank")
 
 
 @query("r18_rank_stations", f"""{QUICK} SELECT station, count(*) AS factors, {r('max(score)', 3)} AS best_score, arg_min(factor, rank) AS best_factor, string_agg(factor, ', ' ORDER BY rank) AS ranked_factors FROM k WHERE station IS NOT NULL GROUP BY station""", digits=3)
@@ -293,8 +293,10 @@ def r16(spark, sf):
 
 # --- drift
 
-DRIFT_COLUMNS = ["Demand", "click_Util", "click_Queue", "click_Cycle", "view_Cycle", Y]
-_DRIFT = f"""WITH RECURSIVE h AS ({V.PROCESS_HOURLY}), l AS (SELECT * FROM ({union_all([f"SELECT '{c}', Time_Now, CAST({c} AS DOUBLE) FROM h" for c in DRIFT_COLUMNS])}) q(c, k, x) WHERE x IS NOT NULL),
+DRIFT_COLUMNS = [*FACTORS, Y]
+def drift_sql(columns: list[str]) -> str:
+    """t: smoothed z by place and rank, u: the CUSUM change point by rank, b: baseline facts, per column."""
+    return f"""WITH RECURSIVE h AS ({V.PROCESS_HOURLY}), l AS (SELECT * FROM ({union_all([f"SELECT '{c}', Time_Now, CAST({c} AS DOUBLE) FROM h" for c in columns])}) q(c, k, x) WHERE x IS NOT NULL),
   p AS (SELECT c, x, row_number() OVER (PARTITION BY c ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY c) AS n, avg(x) OVER (PARTITION BY c) AS m FROM l),
   b AS (SELECT c, avg(x) AS bm, stddev_pop(x) AS bs, any_value(n) AS n FROM p WHERE i < greatest(floor(n * 0.25), 100) GROUP BY c),
   z AS (SELECT p.c, p.i, (p.x - b.bm) / b.bs AS z, sum(p.x - p.m) OVER (PARTITION BY p.c ORDER BY p.i) AS s FROM p JOIN b USING (c)),
@@ -303,6 +305,9 @@ _DRIFT = f"""WITH RECURSIVE h AS ({V.PROCESS_HOURLY}), l AS (SELECT * FROM ({uni
   u AS (SELECT c, i, row_number() OVER (PARTITION BY c ORDER BY abs(s) DESC, i) AS rk FROM z)"""
 
 
+_DRIFT = drift_sql(DRIFT_COLUMNS)
+
+
 @query("r19_drift_ewma", f"""{_DRIFT} SELECT t.c AS "column", b.n AS "rows", {r('b.bm', 3)} AS baseline_mean, {r('b.bs', 3)} AS baseline_std, {r('abs(t.y)', 3)} AS peak_ewma_z, t.i AS peak_position, abs(t.y) >= 3 AS drift_detected,
   CASE WHEN t.y > 0 THEN 'increase' ELSE 'decrease' END AS direction FROM t JOIN b USING (c) WHERE t.rk = 1""", digits=3)
 def r19(spark, sf):

@@ -10,7 +10,7 @@ from linelens.operators import anomaly, drift, economics, evidence, features, fl
 from linelens.operators.language import gate_texts
 from linelens.plans import process as runs
 from linelens.plans.catalog.base import H, O, hourly, meta_of, orders, query, r, sql_metric, union_all
-from linelens.plans.catalog.causes import DRIFT_COLUMNS, EV, FACTORS, QUICK, Y, _DRIFT, quick_findings, robust_states, state_sql
+from linelens.plans.catalog.causes import DRIFT_COLUMNS, EV, FACTORS, QUICK, Y, _DRIFT, drift_sql, quick_findings, robust_states, state_sql
 from linelens.session import materialize
 from linelens.sources import views as V
 
@@ -159,7 +159,7 @@ def b9(spark, sf):
 def b9_edges(spark, sf):
     """Line1..Line7 have no documented sequence; their numeric suffixes give one."""
     m = meta_of(orders(spark, sf))
-    return flow.flow_edges(flow.infer_sequence(spark, sorted(m.stations()), "process_orders"))
+    return flow.flow_edges(flow.infer_sequence(spark, sorted(m.stations())))
 
 
 @query("j13_stations_outside_sequence", f"SELECT DISTINCT event_type AS station FROM events WHERE event_type NOT IN (SELECT station FROM {_SEQ})")
@@ -176,19 +176,20 @@ def b11(spark, sf):
 
 
 @query("b12_timeline_bins", f"{H}, k AS (SELECT *, (row_number() OVER (ORDER BY Time_Now) - 1) // greatest(1, (SELECT count(*) FROM h) // 48) AS bin FROM h) SELECT * FROM (" + union_all(
-    [f"SELECT '{s}' AS station, 'utilization' AS metric, '{s}_Util' AS \"column\", CAST(bin AS INTEGER) AS bin, {r(f'avg({s}_Util)')} AS \"value\" FROM k GROUP BY bin" for s in V.EVENT_STATIONS[:4]]) + ") q")
+    [f"SELECT '{s}' AS station, '{m}' AS metric, '{s}_{x}' AS \"column\", CAST(bin AS INTEGER) AS bin, {r(f'avg({s}_{x})')} AS \"value\" FROM k GROUP BY bin" for s in V.EVENT_STATIONS for m, x in (("utilization", "Util"), ("queue", "Queue"), ("cycle", "Cycle"))]) + ") q WHERE \"value\" IS NOT NULL")
 def b12(spark, sf):
     df = hourly(spark, sf, True)
     return flow.timeline_bins(df, ["Time_Now"], flow.timeline_columns(df.columns, V.EVENT_STATIONS), 48)
 
 
-@query("b13_timeline_markers", f"""{H}, k AS (SELECT {EV.format(t='h')} AS e, (row_number() OVER (ORDER BY Time_Now) - 1) // greatest(1, (SELECT count(*) FROM h) // 48) AS bin FROM h) SELECT DISTINCT CAST(bin AS INTEGER) AS bin FROM k WHERE e ORDER BY bin LIMIT 60""")
+@query("b13_timeline_markers", f"""{H}, k AS (SELECT {EV.format(t='h')} AS e, (row_number() OVER (ORDER BY Time_Now) - 1) // greatest(1, (SELECT count(*) FROM h) // 48) AS bin FROM h) SELECT DISTINCT CAST(bin AS INTEGER) AS bin FROM k WHERE e""")
 def b13(spark, sf):
     ev, _ = evidence.tail_event(hourly(spark, sf, True), Y)
     return flow.event_markers(ev, evidence.EVENT, ["Time_Now"], 48)
 
 
-@query("b13_drift_markers", None)
+@query("b13_drift_markers", f"""{drift_sql(['Time_Now', *DRIFT_COLUMNS])} SELECT t.c AS "column", CAST(round(u.i / (SELECT count(*) FROM h)::DOUBLE * 48) AS INTEGER) AS bin, CASE WHEN t.y > 0 THEN 'increase' ELSE 'decrease' END AS direction, {r('round(abs(t.y), 4)', 3)} AS peak_ewma_z
+  FROM t JOIN u USING (c) WHERE t.rk = 1 AND u.rk = 1 AND abs(t.y) >= 3""", digits=3)
 def b13_drift(spark, sf):
     df = hourly(spark, sf, True)
     return flow.drift_markers(drift.detect_drift(df, ["Time_Now"], ["Time_Now", *DRIFT_COLUMNS]), df.count(), 48)
@@ -208,9 +209,10 @@ def j8(spark, sf):
     return flow.attach_root_cause(stations, materialize(quick_findings(spark, sf)[0])).select("station", "rca_score", "rca_factor", "rca_factors")
 
 
-@query("j9_attach_drift_to_station", f"""{_DRIFT.replace("'Demand'", "'Demand'")} SELECT 'click' AS station, 'cycle_time' AS metric, t.c AS "column" FROM t WHERE t.rk = 1 AND abs(t.y) >= 0.4 AND t.c = 'click_Cycle' UNION ALL
-  SELECT 'click', 'utilization', t.c FROM t WHERE t.rk = 1 AND abs(t.y) >= 0.4 AND t.c = 'click_Util' UNION ALL SELECT 'click', 'queue_wait', t.c FROM t WHERE t.rk = 1 AND abs(t.y) >= 0.4 AND t.c = 'click_Queue'
-  UNION ALL SELECT 'view', 'cycle_time', t.c FROM t WHERE t.rk = 1 AND abs(t.y) >= 0.4 AND t.c = 'view_Cycle'""")
+_STATION_OF = ", ".join("('{}', '{}', '{}')".format(c, *sql_metric(c)) for c in V.HOURLY_METRICS)
+
+
+@query("j9_attach_drift_to_station", f"{_DRIFT} SELECT m.station, m.metric, t.c AS \"column\" FROM t JOIN (VALUES {_STATION_OF}) m(c, station, metric) ON m.c = t.c WHERE t.rk = 1 AND abs(t.y) >= 0.4")
 def j9(spark, sf):
     """Station columns joined with the columns that moved by at least 0.4 z."""
     df = hourly(spark, sf, True)

@@ -78,11 +78,11 @@ def s5_get(spark, sf):
     return registry.by_id(registry.scan_inspections(spark, _inspection_file(spark, sf)), "inspection_id", last).select("inspection_id", "decision", "confidence")
 
 
-@query("s7_write_table", "SELECT count(*) AS \"rows\", count(*) AS stored_rows, false AS truncated FROM lineitem UNION ALL SELECT count(*), least(count(*), 1000), count(*) > 1000 FROM orders")
+@query("s7_write_table", "SELECT count(*) AS \"rows\", count(*) AS stored_rows, false AS truncated FROM lineitem UNION ALL SELECT count(*), count(*), false FROM orders")
 def s7(spark, sf):
-    """A whole parquet table, and a CSV export whose row cap is stated in the manifest."""
+    """A whole parquet table, and a whole CSV export."""
     whole = tables.write_table(V.table(spark, sf, "lineitem"), _folder(spark, "s7") + "/lineitem")
-    capped = tables.export_csv(V.table(spark, sf, "orders"), _folder(spark, "s7") + "/orders", ["o_orderkey"], 1000)
+    capped = tables.export_csv(V.table(spark, sf, "orders"), _folder(spark, "s7") + "/orders", ["o_orderkey"])
     return whole.unionByName(capped).select("rows", "stored_rows", "truncated")
 
 
@@ -141,6 +141,18 @@ def model_frame(spark, sf):
     return materialize(split.positional_split(frame, ["Time_Now"])), cols
 
 
+_RUNS: dict[tuple[str, str], tuple] = {}
+
+
+def hourly_run(spark, sf):
+    """(frame, selection run) of the hourly throughput: all candidates at their own size, fitted once for the queries on it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        frame, cols = model_frame(spark, sf)
+        _RUNS[key] = (frame, ml.select_model(frame, Y, cols, "regression"))
+    return _RUNS[key]
+
+
 @query("m2_candidates", None)
 def m2(spark, sf):
     """Which estimators each target type would get for this input, in order."""
@@ -152,8 +164,7 @@ def m2(spark, sf):
 
 @query("m3_select_model", None)
 def m3(spark, sf):
-    frame, cols = model_frame(spark, sf)
-    return ml.selection_table(spark, ml.select_model(frame, Y, cols, "regression", forest_trees=20, boost_rounds=10))
+    return ml.selection_table(spark, hourly_run(spark, sf)[1])
 
 
 _PRED = "l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE * 1500 AS p"
@@ -196,26 +207,23 @@ def m6(spark, sf):
 
 @query("m7_feature_importance", None)
 def m7(spark, sf):
-    frame, cols = model_frame(spark, sf)
-    run = ml.select_model(frame, Y, cols, "regression", forest_trees=20, boost_rounds=5)
+    frame, run = hourly_run(spark, sf)
     return ml.feature_importance(spark, run, frame, "Time_Now")
 
 
 @query("m8_baseline_compare", None)
 def m8(spark, sf):
     """Test metrics of the chosen model beside those of the first candidate."""
-    frame, cols = model_frame(spark, sf)
-    run = ml.select_model(frame, Y, cols, "regression", forest_trees=20, boost_rounds=5)
+    frame, run = hourly_run(spark, sf)
     rows = [(k, float(v["rmse"]), float(v["mae"])) for k, v in (("selected", run["test"]), ("baseline", run["baseline"])) if v]
     return spark.createDataFrame(rows, "model string, rmse double, mae double")
 
 
 @query("m9_prediction_preview", None)
 def m9(spark, sf):
-    """First 200 test rows with prediction, residual and anomaly state; the full table is stored, this is its preview."""
-    frame, cols = model_frame(spark, sf)
-    run = ml.select_model(frame, Y, cols, "regression", forest_trees=20, boost_rounds=5)
-    return ml.prediction_preview(ml.prediction_table(run, frame, "Time_Now", robust_states(spark, sf)), "Time_Now")
+    """All test rows with prediction, residual and anomaly state."""
+    frame, run = hourly_run(spark, sf)
+    return ml.prediction_table(run, frame, "Time_Now", robust_states(spark, sf))
 
 
 @query("m10_anomaly_features", f"SELECT c AS feature FROM (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in ['Demand', *V.HOURLY_METRICS])}) v(c) WHERE (SELECT count(*) FROM events) > 0")
@@ -245,7 +253,7 @@ def m11_percentile(spark, sf):
 _DEV = union_all([f"SELECT Time_Now, '{c}' AS feature, abs(coalesce({c}, 0) - (SELECT avg(coalesce({c}, 0)) FROM h)) / (SELECT stddev_pop(coalesce({c}, 0)) FROM h) AS z, {c} AS v FROM a" for c in _SC])
 
 
-@query("m12_top_deviating_features", f"{state_sql()}, a AS (SELECT * FROM s WHERE anomaly_state = 'ANOMALOUS' ORDER BY Time_Now LIMIT 25), d AS ({_DEV}), k AS (SELECT *, row_number() OVER (PARTITION BY Time_Now ORDER BY z DESC, feature DESC) - 1 AS place FROM d) SELECT Time_Now, CAST(place AS INTEGER) AS place, feature, {r('z', 3)} AS abs_z FROM k WHERE place < 3", digits=3)
+@query("m12_top_deviating_features", f"{state_sql()}, a AS (SELECT * FROM s WHERE anomaly_state = 'ANOMALOUS'), d AS ({_DEV}), k AS (SELECT *, row_number() OVER (PARTITION BY Time_Now ORDER BY z DESC, feature DESC) - 1 AS place FROM d) SELECT Time_Now, CAST(place AS INTEGER) AS place, feature, {r('z', 3)} AS abs_z FROM k WHERE place < 3", digits=3)
 def m12(spark, sf):
     df = hourly(spark, sf, True)
     return anomaly.top_deviations(robust_states(spark, sf, df), df, _SC, "Time_Now").select("Time_Now", "place", "feature", "abs_z")
@@ -259,8 +267,7 @@ def m13(spark, sf):
 @query("m14_model_registry", None)
 def m14(spark, sf):
     """Save, list, load, and score again with the loaded model."""
-    frame, cols = model_frame(spark, sf)
-    run = ml.select_model(frame, Y, cols, "regression", forest_trees=10, boost_rounds=3)
+    frame, run = hourly_run(spark, sf)
     root = _folder(spark, "models")
     ml.save_model(run, root, "demo", "hourly_throughput")
     row = ml.list_models(spark, root, "demo").first()
@@ -273,7 +280,7 @@ def m15(spark, sf):
     """Every target of the input: a regression, a classification, and one that is refused."""
     frame, cols = model_frame(spark, sf)
     frame = frame.withColumn("const_target", F.lit(1.0))
-    return ml.run_models(frame, [Y, "quality_pass", "const_target"], cols, forest_trees=10, boost_rounds=3)[1]
+    return ml.run_models(frame, [Y, "quality_pass", "const_target"], cols)[1]
 
 
 # weights of the network: the first 31 numbers of the first embedding

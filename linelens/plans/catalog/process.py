@@ -412,13 +412,15 @@ def a5(spark, sf):
 
 # --- alignment and model inputs
 
-@query("j1_align_tables", f"""{H}, e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value FROM events), c AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_totalprice FROM orders)
-  SELECT e.i AS row_index, {r('e.value')} AS Model1Predictors, {r('c.o_totalprice', 2)} AS Model1Answer_0 FROM e JOIN c USING (i)""", digits=4)
+@query("j1_align_tables", f"""{H}, c AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_totalprice FROM orders), d AS (SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS i, o_custkey FROM orders)
+  SELECT c.i AS row_index, {r('c.o_totalprice', 2)} AS Model1Predictors, d.o_custkey AS Model1Answer_0 FROM c JOIN d USING (i)""", digits=4)
 def j1(spark, sf):
-    """Events and orders fused by position, as two variables of one model family."""
-    a = V.table(spark, sf, "events").select("event_id", F.col("value").alias("Model1Predictors"))
-    b = V.table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice").cast("double"), 2).alias("Model1Answer_0"))
-    return align.align_tables([(a, ["event_id"]), (b, ["o_orderkey"])])
+    """Two variables of one model family, stored in tables of equal length and fused by position."""
+    o = V.table(spark, sf, "orders")
+    tables = {"Model1Predictors": (o.select("o_orderkey", F.round(F.col("o_totalprice").cast("double"), 2).alias("Model1Predictors")), ["o_orderkey"]),
+              "Model1Answer_0": (o.select("o_custkey", "o_orderkey", F.col("o_custkey").alias("Model1Answer_0")), ["o_custkey", "o_orderkey"])}
+    groups = align.alignment_groups({n: ("orders", df.count()) for n, (df, _) in tables.items()})
+    return align.align_tables([tables[n] for n in sorted(next(iter(groups.values())), reverse=True)])
 
 
 _PRED = ["Demand", "utilization_mean", "utilization_spread", "queue_load_total"]
@@ -494,16 +496,14 @@ def j12(spark, sf):
     return align.union_profiles(parts).groupBy("table").agg(F.count(F.lit(1)).alias("columns"))
 
 
-@query("j11_asof_link", """WITH i AS (SELECT event_id, event_type, ts FROM events WHERE event_type IN ('error', 'view')), p AS (SELECT event_type, max(value) AS value, s FROM
-    (SELECT event_type, value, floor(epoch(ts))::BIGINT AS s, ts FROM events WHERE event_type IN ('error', 'view') AND value > 60) q GROUP BY event_type, s),
-  j AS (SELECT i.event_id, p.value, row_number() OVER (PARTITION BY i.event_id ORDER BY p.s DESC) AS k FROM i JOIN p ON p.event_type = i.event_type AND p.s <= floor(epoch(i.ts))::BIGINT
-    AND floor(epoch(i.ts))::BIGINT - p.s <= 3600)
-  SELECT i.event_id, """ + r("j.value") + """ AS process_value, CASE WHEN j.event_id IS NULL THEN 'NOT_AVAILABLE' ELSE 'LINKED' END AS link_status FROM i LEFT JOIN j ON j.event_id = i.event_id AND j.k = 1""")
+@query("j11_asof_link", f"""WITH p AS (SELECT event_type, ts, value FROM events WHERE value > 60)
+  SELECT i.event_id, CASE WHEN epoch_us(i.ts) - epoch_us(p.ts) <= 3600000000 THEN {r('p.value')} END AS process_value,
+    CASE WHEN epoch_us(i.ts) - epoch_us(p.ts) <= 3600000000 THEN 'LINKED' ELSE 'NOT_AVAILABLE' END AS link_status
+  FROM events i ASOF LEFT JOIN p ON p.event_type = i.event_type AND i.ts >= p.ts""")
 def j11(spark, sf):
     """Inspection events take the latest process reading of their station within an hour."""
-    ev = V.table(spark, sf, "events").where(F.col("event_type").isin("error", "view"))
+    ev = V.table(spark, sf, "events")
     process = ev.where("value > 60").select("event_type", F.col("ts").alias("read_at"), "value")
-    process = process.groupBy("event_type", F.date_trunc("second", F.col("read_at").cast("timestamp")).alias("read_at")).agg(F.max("value").alias("value"))
     out = align.asof_link(ev.select("event_id", "event_type", "ts"), process, "event_type", "ts", "read_at", 3600)
     return out.select("event_id", "process_value", "link_status")
 
@@ -574,10 +574,10 @@ def x7(spark, sf):
 
 
 @query("x8_content_group_split", """WITH d AS (SELECT doc_id, lang, sha256(text) AS s FROM documents), p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rk FROM d),
-  c AS (SELECT * FROM p WHERE rk <= 600), g AS (SELECT lang, s, count(*) AS n, md5(concat(s, '|42')) AS h FROM c GROUP BY lang, s),
+  c AS (SELECT * FROM p), g AS (SELECT lang, s, count(*) AS n, md5(concat(s, '|42')) AS h FROM c GROUP BY lang, s),
   w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY h, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY lang) AS total FROM g)
   SELECT c.doc_id, CASE WHEN w.before < floor(w.total * 4 / 6.0) THEN 'train' WHEN w.before < floor(w.total * 4 / 6.0) + floor(w.total / 6.0) THEN 'validation' ELSE 'test' END AS split FROM c JOIN w USING (lang, s)""")
 def x8(spark, sf):
-    """Documents by language; equal texts stay together. The first 600 per class are the feature's own limit."""
+    """Documents by language; equal texts stay together."""
     docs = V.table(spark, sf, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("digest"))
-    return split.content_group_split(docs, "lang", "digest", order="doc_id").select("doc_id", "split")
+    return split.content_group_split(docs, "lang", "digest").select("doc_id", "split")

@@ -74,12 +74,12 @@ def root_cause(df: DataFrame, meta_df: DataFrame, target: str, row_key: str, ord
         signals = signals.withColumn("importance", F.lit(None).cast("double")).withColumn("max_importance", F.lit(None).cast("double"))
     scored = align.attach_columns(evidence.score_factors(signals), meta_df)
     findings = materialize(evidence.explain(evidence.rank_findings(scored), event))
-    drifted = drift.detect_drift(df, order_cols or [], factors[: fixed.MAX_DRIFT_COLUMNS])
-    return {"findings": findings.where(F.col("rank") <= fixed.MAX_FINDINGS), "all_findings": findings, "stations": evidence.rank_stations(findings),
+    drifted = drift.detect_drift(df, order_cols or [], factors)
+    return {"findings": findings, "stations": evidence.rank_stations(findings),
             "drift": drifted, "drift_status": drift.drift_status(drifted, bool(order_cols)), "event": evidence.event_summary(flagged, event)}
 
 
-def bottleneck(df: DataFrame, meta: profile.Meta, findings: DataFrame | None = None, outputs: list[str] | None = None, filename: str | None = None) -> dict[str, DataFrame | None]:
+def bottleneck(df: DataFrame, meta: profile.Meta, findings: DataFrame | None = None, outputs: list[str] | None = None, sequence: list[str] | None = None) -> dict[str, DataFrame | None]:
     """Ranked stations, candidate, observed impact, flow nodes and edges."""
     metrics = materialize(features.station_metrics(df, meta))
     stations = flow.attach_root_cause(flow.station_table(metrics), findings)
@@ -87,7 +87,7 @@ def bottleneck(df: DataFrame, meta: profile.Meta, findings: DataFrame | None = N
     by_station = meta.stations()
     utilization = {s: sorted(m["utilization"])[0] for s, m in by_station.items() if m.get("utilization")}
     impact = flow.throughput_impact(df, utilization, outputs if outputs is not None else flow.impact_outputs(df.columns))
-    sequence = flow.infer_sequence(df.sparkSession, sorted(by_station), filename)
-    return {"stations": ranked, "candidate": flow.pick_candidate(ranked), "impact": impact, "nodes": flow.flow_nodes(ranked, sequence),
-            "edges": flow.flow_edges(sequence) if sequence is not None else None, "metrics": metrics,
-            "what_if": flow.what_if_inputs(ranked, impact), "blocking": flow.blocking_starvation(df.sparkSession, sequence is not None)}
+    placed = flow.infer_sequence(df.sparkSession, sorted(by_station), sequence)
+    return {"stations": ranked, "candidate": flow.pick_candidate(ranked), "impact": impact, "nodes": flow.flow_nodes(ranked, placed),
+            "edges": flow.flow_edges(placed) if placed is not None else None, "metrics": metrics,
+            "what_if": flow.what_if_inputs(ranked, impact), "blocking": flow.blocking_starvation(df.sparkSession, placed is not None)}

@@ -12,16 +12,23 @@ INSPECTION_SCHEMA = ("inspection_id long, filename string, decision string, pred
 
 
 def upsert(existing: DataFrame, arriving: DataFrame, key: str, stamp: str) -> DataFrame:
-    """Replace-by-id: the newest row per id. An aggregate, so an id with many versions stays cheap."""
-    both = existing.unionByName(arriving, allowMissingColumns=True)
-    cols = both.columns
-    return both.groupBy(key).agg(F.max_by(F.struct(*[q(c) for c in cols]), q(stamp)).alias("s")).select("s.*")
+    """Replace-by-id: the newest row per id. An aggregate, so an id with many versions stays cheap.
+
+    Rows without a stamp are older than any other; among equal stamps the arriving row wins.
+    """
+    both = existing.withColumn("_new", F.lit(0)).unionByName(arriving.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    return _newest(both, key, stamp, [c for c in both.columns if c != "_new"], F.col("_new"))
+
+
+def _newest(rows: DataFrame, group: str, stamp: str, cols: list[str], *ties: Column) -> DataFrame:
+    whole = F.struct(*[q(c) for c in cols])
+    order = F.struct(q(stamp).isNotNull().alias("known"), q(stamp).alias("stamp"), *ties)
+    return rows.groupBy(group).agg(F.max_by(whole, order).alias("s")).select("s.*")
 
 
 def latest(rows: DataFrame, group: str, stamp: str) -> DataFrame:
-    """The newest row of each group; a group without rows is simply absent."""
-    cols = rows.columns
-    return rows.groupBy(group).agg(F.max_by(F.struct(*[q(c) for c in cols]), q(stamp)).alias("s")).select("s.*")
+    """The newest row of each group, rows without a stamp last; a group without rows is simply absent."""
+    return _newest(rows, group, stamp, rows.columns)
 
 
 def by_id(rows: DataFrame, key: str, value) -> DataFrame:

@@ -41,10 +41,10 @@ def scan_delimited(spark: SparkSession, path: str, schema: str | None = None, ke
     Pass a schema at scale: inferring types reads the data twice. Raises ValueError EMPTY_FILE
     for a file without a header.
     """
-    head = spark.read.text(path).limit(1000)
-    if head.isEmpty():
+    lines = spark.read.text(path).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("broken")).first()
+    if not lines["n"]:
         raise ValueError(f"EMPTY_FILE: '{path}' holds no tabular data")
-    broken = not head.where(~F.is_valid_utf8("value")).isEmpty()
+    broken = lines["broken"] > 0
     encoding = "ISO-8859-1" if broken else "UTF-8"
     sep = ","
     if re.search(r"\.(txt|tsv)$", path, re.I) and len(_header(spark, path, ",", encoding)) == 1 and len(_header(spark, path, "\t", encoding)) > 1:
@@ -70,33 +70,40 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         "path", "length", F.col("modificationTime").alias("modified"))
 
 
+def relative(path: Column, root: str) -> Column:
+    """A file's path below the root: the name that tells two files of one name apart."""
+    base = re.sub(r"^[a-z0-9+.-]+:/*", "/", root.rstrip("/"), flags=re.I)
+    return F.regexp_replace(path, "^.*?" + re.escape(base) + "/", "")
+
+
 def table_ledger(spark: SparkSession, root: str) -> DataFrame:
     """Every file below a folder with what happens to it: READ, SKIPPED (not a table) or EMPTY."""
     listed = list_files(spark, root)
     suffix = file_ops.suffix_of(F.col("path"))
     return listed.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), suffix.alias("suffix"), "length",
+        relative(F.col("path"), root).alias("file"), "path", suffix.alias("suffix"), "length",
         F.when(F.col("length") == 0, "EMPTY").when(suffix.isin(TABLE_SUFFIXES), "READ").otherwise("SKIPPED").alias("status"))
 
 
 def scan_table_set(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """Each table file below a folder as its own DataFrame, plus the ledger with what failed.
 
-    The loop runs over file names (a listing), never over data.
+    Tables are named by their path below the folder, so files of one name in two folders both count. The loop runs over file names (a listing), never over data.
     """
     ledger = table_ledger(spark, root)
-    paths = {r["path"].rsplit("/", 1)[1]: r["path"] for r in list_files(spark, root).select("path").collect()}
     tables, failed = {}, []
     for r in ledger.where("status = 'READ'").collect():
-        name = sanitize(r["file"].rsplit(".", 1)[0])
+        name = base = sanitize(r["file"].rsplit(".", 1)[0])
+        while name in tables:
+            name = f"{base}_{len(tables)}"
         try:
-            path = paths[r["file"]]
+            path = r["path"]
             tables[name] = (spark.read.format(r["suffix"]).load(path) if r["suffix"] in ("parquet", "json", "orc")
                             else scan_delimited(spark, path))
         except Exception as exc:  # noqa: BLE001 - recorded in the ledger
             failed.append((r["file"], str(exc).split("\n")[0][:200]))
     notes = spark.createDataFrame(failed, "file string, reason string")
-    return tables, ledger.join(F.broadcast(notes), "file", "left").withColumn(
+    return tables, ledger.drop("path").join(F.broadcast(notes), "file", "left").withColumn(
         "status", F.when(F.col("reason").isNotNull(), "FAILED").otherwise(F.col("status")))
 
 

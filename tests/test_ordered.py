@@ -81,19 +81,29 @@ def test_attach_keeps_hot_and_cold_rows(spark):
 
 
 @pytest.mark.parametrize("q", [0.02, 0.1, 0.25, 0.5, 0.75, 0.999])
-def test_exact_quantiles_big_table_path(spark, q):
+def test_exact_quantiles_match_sorting(spark, q):
     rows, df = frame(spark, 997, nulls=True)
     values = sorted(x for _, x in rows if x is not None)
     h = (len(values) - 1) * q
     want = values[int(h)] + (values[min(int(h) + 1, len(values) - 1)] - values[int(h)]) * (h - int(h))
-    small = ordered.exact_quantiles(df, {"x": [q]})["x"][0]
-    big = ordered.exact_quantiles(df, {"x": [q]}, exact_rows=0, slack=0.02)["x"][0]
-    assert small == pytest.approx(want) and big == pytest.approx(want)
+    narrow = ordered.exact_quantiles(df, {"x": [q]})["x"][0]
+    wide = ordered.exact_quantiles(df, {"x": [q]}, slack=0.02)["x"][0]
+    assert narrow == wide == pytest.approx(want)
 
 
 def test_exact_quantiles_of_empty_column(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
-    assert ordered.exact_quantiles(df, {"a": [0.5], "b": [0.5]}, exact_rows=0) == {"a": [None], "b": [1.5]}
+    assert ordered.exact_quantiles(df, {"a": [0.5], "b": [0.5]}) == {"a": [None], "b": [1.5]}
+
+
+def test_exact_quantiles_of_many_columns(spark):
+    df = spark.range(500).select(*[((F.col("id") * (k + 1)) % 499).cast("double").alias(f"c{k}") for k in range(70)], F.lit(None).cast("double").alias("gap"))
+    got = ordered.exact_quantiles(df, {**{f"c{k}": [0.1, 0.5] for k in range(70)}, "gap": [0.5]})
+    rows = [r.asDict() for r in df.collect()]
+    for k in range(70):
+        values = sorted(r[f"c{k}"] for r in rows)
+        assert got[f"c{k}"] == [pytest.approx(values[49] + 0.9 * (values[50] - values[49])), pytest.approx((values[249] + values[250]) / 2)]
+    assert got["gap"] == [None]
 
 
 def test_share_below(spark):

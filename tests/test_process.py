@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linelens.operators import align, clean, features, profile, split
+from linelens.sources import registry
 
 
 def profiled(df, key):
@@ -100,6 +101,28 @@ def test_aligned_family_is_fused_by_position_and_never_across_families(spark):
     b = spark.createDataFrame([(i, i * 3.0) for i in range(40)], "k int, y double")
     got = align.align_tables([(a, ["k"]), (b, ["k"])]).collect()
     assert len(got) == 40 and all(r["y"] == r["p"] * 1.5 for r in got)
+    with pytest.raises(ValueError, match="ROW_COUNT_MISMATCH"):
+        align.align_tables([(a, ["k"]), (b.limit(39), ["k"])])
+
+
+def test_rows_without_a_key_are_kept(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else i % 40) for i in range(200)], "id int, g int")
+    assert split.grouped_split(df, "g", "id", 40).where("split is not null").count() == 200
+    files = spark.createDataFrame([(i, "a", None if i == 3 else str(i % 5)) for i in range(20)], "id int, cls string, h string")
+    out = split.content_group_split(files, "cls", "h")
+    assert out.count() == 20 and out.where("split = 'unsplit'").count() == 1
+    new = align.incremental_duplicates(files.limit(0), files, "h", "id")
+    assert new.count() == 20 and not new.where("h is null").first()["duplicate"]
+    old = spark.createDataFrame([(1, 5, "old"), (2, None, "old"), (3, 7, "old")], "k int, stamp int, v string")
+    fresh = spark.createDataFrame([(1, 5, "new"), (2, None, "new"), (4, None, "new")], "k int, stamp int, v string")
+    assert {(r["k"], r["v"]) for r in registry.upsert(old, fresh, "k", "stamp").collect()} == {(1, "new"), (2, "new"), (3, "old"), (4, "new")}
+
+
+def test_asof_never_takes_a_later_reading(spark):
+    ins = spark.createDataFrame([(1, "a", "2024-01-01 10:00:00.2"), (2, None, "2024-01-01 10:00:00.2"), (3, "a", None)], "id int, st string, t string").select("id", "st", F.to_timestamp("t").alias("at"))
+    pro = spark.createDataFrame([("a", "2024-01-01 10:00:00.1", 1.0), ("a", "2024-01-01 10:00:00.9", 2.0)], "st string, t string, v double").select("st", F.to_timestamp("t").alias("read"), "v")
+    got = {r["id"]: (r["process_v"], r["link_status"]) for r in align.asof_link(ins, pro, "st", "at", "read", 3600).collect()}
+    assert got == {1: (1.0, "LINKED"), 2: (None, "NOT_AVAILABLE"), 3: (None, "NOT_AVAILABLE")}
 
 
 def test_model_input_rejections(spark):
@@ -119,7 +142,8 @@ def test_split_strategies(spark):
     assert (m["strategy"], m["train"], m["validation"], m["test"]) == ("chronological_holdout", 210, 45, 45)
     assert out.where("split = 'train'").agg(F.max("Time_Now")).first()[0] == 209
     long_run = spark.range(60_000).select("id")
-    assert split.compute_split(long_run, "id", [], [])[1].first()["strategy"] == "sequential_holdout"
+    assert split.compute_split(long_run, "id", [], [], sequential=True)[1].first()["strategy"] == "sequential_holdout"
+    assert split.compute_split(long_run, "id", [], [])[1].first()["strategy"] == "seeded_random_holdout"
     grouped = spark.range(300).select("id", (F.col("id") % 10).alias("Demand"))
     out, meta = split.compute_split(grouped, "id", ["Demand"], [])
     assert meta.first()["strategy"] == "grouped_holdout"
@@ -142,7 +166,7 @@ def test_quantile_bins_follow_the_rank_rule(spark, n):
 
 def test_content_groups_never_cross_splits_even_when_one_dominates(spark):
     df = spark.range(600).select("id", F.lit("c").alias("cls"), F.when(F.col("id") < 250, "same").otherwise(F.col("id").cast("string")).alias("h"))
-    out = split.content_group_split(df, "cls", "h", per_class=None)
+    out = split.content_group_split(df, "cls", "h")
     assert out.count() == 600 and out.groupBy("h").agg(F.count_distinct("split").alias("n")).where("n > 1").isEmpty()
 
 
