@@ -77,8 +77,8 @@ def fit_forest(df: DataFrame, key: str, features: list[str], seed: int = 42, tre
     pool_share = min(1.0, 2.0 * trees * sample / max(n, 1))
     pool = df.select(q(key).alias("_k"), F.array(*z).alias("_z")).where(_uniform(seed, F.col("_k")) < pool_share)
     take = min(1.0, 1.5 * sample / max(n * pool_share, 1.0))
-    offered = pool.select("_k", "_z", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).where(
-        _uniform(seed + 1, F.col("_k"), F.col("tree")) < take)
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _uniform(seed + 1, F.col("_k"), t) < take)  # before any copy is made
+    offered = pool.select("_k", "_z", F.explode(drawn).alias("tree"))
     place = F.row_number().over(W.partitionBy("tree").orderBy(F.xxhash64("_k", "tree", F.lit(seed + 2)), "_k"))
     chosen = offered.withColumn("_r", place).where(F.col("_r") <= sample).select("tree", "_k", "_z")
     limit = int(np.ceil(np.log2(sample)))

@@ -99,7 +99,7 @@ def run_scenarios(scenarios: DataFrame, baseline: DataFrame) -> DataFrame:
 
     A utilization cut never moves throughput by itself: that relation is confounded by demand.
     """
-    rows = scenarios.join(F.broadcast(baseline), "dataset_id")  # one baseline row per dataset
+    rows = scenarios.join(baseline, "dataset_id")  # one baseline row per dataset
     kind, change = F.col("scenario_type"), finite(F.col("change"))
     reason = (
         F.when(~kind.isin("utilization_reduction", "throughput_scaling", "demand_uplift"), "UNSUPPORTED_SCENARIO")

@@ -26,7 +26,7 @@ def investigate(inspections: DataFrame, context: DataFrame) -> DataFrame:
     ``inspections``: inspection_id, dataset_id (may be null), decision, predicted_class, confidence,
     anomaly, novelty, novelty_status, localized, filename. ``context``: one row per analysed dataset.
     """
-    j = inspections.join(F.broadcast(context), "dataset_id", "left")  # one row per dataset
+    j = inspections.join(context, "dataset_id", "left")  # one row per dataset
     here = F.coalesce("has_process", F.lit(False))
     gap = lambda status, other: F.when(here, status).otherwise(other)
     text = lambda c: F.coalesce(c.cast("string"), F.lit("n/a"))

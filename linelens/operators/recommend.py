@@ -136,7 +136,7 @@ def finish(produced: DataFrame, candidates: DataFrame, scenarios: DataFrame) ->
     checked = materialize(validate(produced))  # a few rows per dataset; the rules behind them run once
     context = candidates.select("dataset_id", F.col("station").alias("_candidate"))
     done = scenarios.groupBy("dataset_id").agg(F.lit(True).alias("_has"), F.bool_or(F.col("delta_status") == "CALCULATED").alias("_calc"))
-    joined = checked.join(F.broadcast(context), "dataset_id", "left").join(F.broadcast(done), "dataset_id", "left")
+    joined = checked.join(context, "dataset_id", "left").join(done, "dataset_id", "left")
     evaluating = F.col("action_type") == "EVALUATE_CAPACITY_IMPROVEMENT"
     scored = joined.withColumn("priority", priority(
         F.col("evidence_quality"), F.col("station") == F.col("_candidate"), F.col("_has") & evaluating, F.col("_calc") & evaluating)).drop("_candidate", "_has", "_calc")

@@ -52,13 +52,27 @@ def auto_investigate(scored: DataFrame, context: DataFrame, dataset_id: str | No
     return scored.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stage_latest(events: DataFrame) -> DataFrame:
-    """Last stage per inspection of an event stream (update mode)."""
-    return events.groupBy("inspection_id").agg(F.max("seq").alias("seq"), F.max_by("stage", "seq").alias("stage"), F.max_by("status", "seq").alias("status"))
+def stage_latest(events: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
+    """Last stage per inspection and day of an event stream (update mode); the watermark lets finished days go.
+
+    An inspection that runs over several days has a row for each; ``newest`` keeps the last one.
+    """
+    timed = events.withWatermark("at", late) if events.isStreaming else events
+    return timed.groupBy(F.window("at", window), "inspection_id").agg(
+        F.max("seq").alias("seq"), F.max_by("stage", "seq").alias("stage"), F.max_by("status", "seq").alias("status")).select(
+        F.col("window.start").alias("window_start"), "inspection_id", "seq", "stage", "status")
+
+
+def newest(spark: SparkSession, path: str, keys: list[str], order: str = "epoch") -> DataFrame:
+    """The current rows of a table written in update mode: per key the row of the last micro-batch (or of ``order``)."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in keys and c != "epoch"]
+    by = F.struct(*dict.fromkeys([order, "epoch"]))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), by).alias("s")).select(*keys, "s.*")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """Run what is available and stop; the sink is parquet (append) or one overwritten table (complete, update)."""
+    """Run what is available and stop; the sink is parquet (append), one overwritten table (complete), or a folder a micro-batch (update)."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         handle = writer.format("parquet").option("path", path).outputMode("append").start()
