@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's result as Parquet
 in the shared folder and hands the table on. All but the last stage return the columns of ``documents``.
+
+Defined cases, by stage: null texts score as empty ones; documents without words are one group of copies, of
+which one stays; a document of which nothing is left after the passages are cut goes, an empty one stays; a
+null source is a source of its own; documents without words have a row with null bin; extra columns are
+kept up to the last stage; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ NAME = "op3_repeated_passages"
 LENGTH = 400
 GRAM = 64
 #: Bytes of different segments of one hash that a task may gather.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 3 << 20
 #: Bytes of segments sorted together.
 TEXT_BYTES = 3 << 19
 #: A segment has at most this many places; longer runs are cut.
