@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linelens.operators import align, clean, features, profile, split
-from linelens.sources import registry
+from linelens.sources import registry, tables
 
 
 def profiled(df, key):
@@ -184,3 +184,17 @@ def test_asof_link_prefers_the_latest_and_respects_tolerance(spark):
     for rows in (1, 10):
         got = {r["id"]: (r["process_v"], r["link_status"]) for r in align.asof_link(ins, pro, "st", "at", "read", 3600, group_rows=rows).collect()}
         assert got == {1: (2.0, "LINKED"), 2: (None, "NOT_AVAILABLE"), 3: (None, "NOT_AVAILABLE")}
+
+
+def test_tables_of_one_name_are_both_read(spark, tmp_path):
+    for folder, value in (("a", 1), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "t.csv").write_text(f"x,y\n{value},5\n")
+    found, ledger = tables.scan_table_set(spark, str(tmp_path))
+    assert sorted(df.first()["x"] for df in found.values()) == [1, 2]
+    assert sorted((r["file"], r["status"]) for r in ledger.collect()) == [("a/t.csv", "READ"), ("b/t.csv", "READ")]
+
+
+def test_a_late_byte_decides_the_encoding(spark, tmp_path):
+    (tmp_path / "late.csv").write_bytes(b"x,y\n" + b"1,a\n" * 1500 + b"2,\xe9\n")
+    assert tables.scan_delimited(spark, str(tmp_path / "late.csv")).where("x = 2").first()["y"] == "é"
