@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Largest inner product becomes nearest direction by one more coordinate: a vector x of norm at most M is hashed
-as (x, sqrt(M^2 - |x|^2)), a query as (q, 0); for vectors of one length this changes nothing. Each of TABLES
-tables turns these by three rounds of random signs and a fast Hadamard transform and assigns a vector to the
-nearest signed axis. A query looks into the PROBES cells of each table whose axes lie nearest to it. Vectors
-found in these cells are ranked by exact inner products in double precision.
+Largest inner product is nearest direction among vectors of like length: vectors are classed by length, a class
+for each factor of sqrt 2 (length 1 in the middle of one), and a query looks into every class. In a class of more
+than SCAN vectors each of TABLES tables turns the directions by three rounds of random signs and a fast Hadamard
+transform and assigns a vector to the nearest signed axis; a query looks into the PROBES cells of each table whose
+axes lie nearest to it. Smaller classes, where a neighbour need not lie near, are looked through whole. Vectors
+found are ranked by exact inner products in double precision.
 
 Equal vectors are hashed once: a distinct vector carries its k + 1 smallest ids, which is all that ties to
 smaller ids can need. Cells are cut into blocks of at most BLOCK vectors and chunks of at most BLOCK queries,
 so no task grows with a cell, and each block returns k candidates a query. A query that has found fewer than
-k looks into all cells of the first table, that is at every vector.
+k looks into all cells of the first table and all small classes, that is at every vector. Classes are few (a
+double has about 4,200), so their counts are broadcast.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
 with null vec_id; of several rows with one vec_id the least vector counts; only vectors of the query's
@@ -32,6 +34,8 @@ K = 20
 TABLES = 12
 PROBES = 16
 BLOCK = 2048
+SCAN = 2048
+PARTS = 16
 SEED = 20240601
 
 
@@ -64,14 +68,13 @@ def rotated(vectors, signs):
     return vectors
 
 
-def cells_of(vectors, extra, tables: int, probes: int):
+def cells_of(vectors, tables: int, probes: int):
     """Per row and table the ``probes`` nearest signed axes, nearest first: shape (rows, tables, probes); -1 fills what there is not."""
     import numpy as np
 
     signs = rotations(vectors.shape[1], tables)
     full = np.zeros((len(vectors), signs.shape[2]))
     full[:, : vectors.shape[1]] = vectors
-    full[:, vectors.shape[1]] = extra
     out = np.full((len(vectors), tables, probes), -1, dtype=np.int32)
     n = min(probes, 2 * full.shape[1])
     for t in range(tables):
@@ -88,8 +91,15 @@ def _matrix(column) -> "np.ndarray":  # noqa: F821
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _hash(vectors: DataFrame, tables: int, probes: int, longest: float | None) -> DataFrame:
-    """Adds ``cells``: tables x probes cell numbers; ``longest`` is M for indexed vectors, None for queries."""
+def length_class(v: Column) -> Column:
+    """2 log2 of a vector's length, rounded; scaled by the largest component, so no square over- or underflows."""
+    most = F.array_max(F.transform(v, F.abs))
+    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))
+    return F.floor(2 * F.log2(most) + F.log2(squares) + 0.5).cast("int")
+
+
+def _hash(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
+    """Adds ``cells``: tables x probes cell numbers of the vectors' directions."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -99,9 +109,8 @@ def _hash(vectors: DataFrame, tables: int, probes: int, longest: float | None) -
             for dim in np.unique(lengths):
                 part = b.filter(pa.array(lengths == dim))
                 x = _matrix(part.column("v"))
-                norms = np.sqrt((x * x).sum(1))
-                extra = 0.0 if longest is None else np.sqrt(np.maximum(0.0, longest**2 - norms**2))
-                cells = cells_of(x, extra, tables, probes).reshape(len(x), -1)
+                x = x / np.abs(x).max(1, keepdims=True)
+                cells = cells_of(x / np.sqrt((x * x).sum(1, keepdims=True)), tables, probes).reshape(len(x), -1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(cells), pa.list_(pa.int32()))], schema=pa.schema([*part.schema, ("cells", pa.list_(pa.int32()))]))
 
     kinds = ", ".join(f"{n} {t}" for n, t in vectors.dtypes)
@@ -143,7 +152,7 @@ def _top(s, n: int):
 
 def _candidates(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """q, rep, score for the k best vectors of every block that a query looks into."""
-    on = ["dim", "t", "cell"]
+    on = ["dim", "t", "length", "cell"]
     sizes = index.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     chunks = probes.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
     plan = materialize(sizes.join(chunks, on))
@@ -154,7 +163,7 @@ def _candidates(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     return found
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES, scan: int = SCAN) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows found for every query row."""
     v = F.col("embedding").cast("array<double>")
     usable = F.size("v") > 0
@@ -165,19 +174,27 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, tables: int = T
     firsts = rows.select("content", "vec_id", F.row_number().over(Window.partitionBy("content").orderBy("vec_id")).alias("n")).where(F.col("n") <= k + 1)
     members = materialize(firsts.groupBy("content").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
     distinct = rows.join(members.select(F.col("rep").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("rep"), F.size("v").alias("dim"), "v")
-    longest = distinct.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0
-    hashed = materialize(_hash(distinct, tables, 1, longest))
-    index = hashed.select("rep", "dim", "v", F.posexplode("cells").alias("t", "cell"))
-    queries = materialize(_hash(rows.where(is_query).select(F.col("vec_id").alias("q"), F.size("v").alias("dim"), "v"), tables, probes, None))
-    asked = queries.select("q", "dim", "v", F.posexplode("cells").alias("place", "cell")).select("q", "dim", "v", F.floor(F.col("place") / probes).cast("int").alias("t"), "cell")
+    hashed = materialize(_hash(distinct.withColumn("length", length_class(F.col("v"))), tables, 1))
+    classes = materialize(hashed.groupBy("dim", "length").agg((F.count(F.lit(1)) > scan).alias("large")))
+    # places: table, class and cell; small classes are table ``tables`` and one class, dealt over PARTS cells
+    place = lambda t, length, cell: F.struct(t.cast("int").alias("t"), length.cast("int").alias("length"), cell.cast("int").alias("cell"))
+    small = lambda cell: place(F.lit(tables), F.lit(0), cell)
+    places = F.when(F.col("large"), F.transform("cells", lambda c, t: place(t, F.col("length"), c))).otherwise(F.array(small(F.pmod(F.xxhash64("rep"), F.lit(PARTS)))))
+    index = hashed.join(F.broadcast(classes), ["dim", "length"]).select("rep", "dim", "v", F.explode(places).alias("p")).select("rep", "dim", "v", "p.*")
+    queries = materialize(_hash(rows.where(is_query).select(F.col("vec_id").alias("q"), F.size("v").alias("dim"), "v"), tables, probes))
+    held = classes.groupBy("dim").agg(F.collect_list(F.when(F.col("large"), F.col("length"))).alias("lengths"), F.bool_or(~F.col("large")).alias("some_small"))
+    near = F.flatten(F.transform("lengths", lambda n: F.transform("cells", lambda c, i: place(F.floor(i / probes), n, c))))
+    whole = F.when(F.col("some_small"), F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), small)).otherwise(F.array().cast("array<struct<t:int,length:int,cell:int>>"))
+    asked = queries.join(F.broadcast(held), "dim").select("q", "dim", "v", F.explode(F.concat(near, whole)).alias("p")).select("q", "dim", "v", "p.*")
     found = materialize(_candidates(index, asked, k + 1))
-    # queries that met fewer than k other rows: every cell of table 0
+    # queries that met fewer than k other rows: every cell of table 0 and of the small classes
     listed = found.select("q", F.explode("found").alias("rep")).distinct().join(members, "rep")
     known = listed.groupBy("q").agg(F.sum(F.size(F.filter("ids", lambda i: i != F.col("q")))).alias("n"))
     few = queries.select("q", "dim", "v").join(known.where(F.col("n") >= k), "q", "left_anti")
-    cells = materialize(index.where("t = 0").select("dim", "cell").distinct())
-    every = materialize(few.join(cells, "dim").select("q", "dim", "v", F.lit(0).alias("t"), "cell"))
-    found = found.unionByName(_candidates(index.where("t = 0"), every, k + 1))
+    once = index.where(F.col("t").isin(0, tables))
+    cells = materialize(once.select("dim", "t", "length", "cell").distinct())
+    every = materialize(few.join(cells, "dim").select("q", "dim", "v", "t", "length", "cell"))
+    found = found.unionByName(_candidates(once, every, k + 1))
     pairs = found.select("q", F.explode(F.arrays_zip("found", "scores")).alias("x")).groupBy("q", F.col("x.found").alias("rep")).agg(F.max("x.scores").alias("score"))
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     best = pairs.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1)

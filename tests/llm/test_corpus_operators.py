@@ -37,6 +37,24 @@ def test_neighbours_match_brute_force(spark):
     assert [v for _, v, _ in got[60]] == [3, 50, 51, 52, 53]
 
 
+def test_neighbours_of_unequal_lengths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 5  # an outlier
+    mixed = x * np.exp(0.5 * rng.normal(size=(4000, 1)))
+    for table in (x, mixed):
+        df = spark.createDataFrame([(k, v) for k, v in enumerate(table.tolist())], "vec_id long, embedding array<double>")
+        got = defaultdict(set)
+        for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0, scan=500).collect():
+            got[r.query_id].add(r.vec_id)
+        s = table[::100] @ table.T
+        s[np.arange(40), np.arange(40) * 100] = -np.inf
+        want = np.argsort(-s, axis=1)[:, :20]
+        assert sum(len(got[100 * q] & set(w.tolist())) for q, w in enumerate(want)) / want.size >= 0.95
+    assert Counter(r.n for r in spark.createDataFrame([([3e200, 4e200],), ([3e-200, 4e-200],)], "v array<double>").select(neighbours.length_class(F.col("v")).alias("n")).collect()) == Counter([1333, -1324])
+
+
 def test_few_vectors_give_all_candidates(spark):
     df = spark.createDataFrame([(k, [float(k + 1), 1.0]) for k in range(0, 60, 10)], "vec_id long, embedding array<double>")
     got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()
