@@ -135,6 +135,55 @@ def test_license_rules(spark, docs, no_docs):
     assert lengths == sorted(lengths, reverse=True) and "rdd" not in licenses.license_scan.__code__.co_names
 
 
+GPL_3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MPL_2 = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+FULL_MIT = MIT.replace("\n\nPerm", "\n\nCopyright (c) 2020 Someone\n\nPerm") + """
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+BSD_3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+   * Neither the name of Google Inc. nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission."""
+
+
+def test_wrapped_and_commented_licenses(spark):
+    published = {"GPL-3.0-or-later": GPL_3, "MPL-2.0": MPL_2, "MIT": FULL_MIT, "ISC": ISC, "BSD-3-Clause": BSD_3}
+    texts = [((lead + name), start + "\n".join((lead + line).rstrip() for line in text.split("\n")) + end, name) for name, text in published.items() for start, lead, end in (("", "", ""), ("#!/bin/sh\n", "# ", "\nimport os"), ("/*\n", " * ", "\n */\nint x;"), ("", "// ", "\r\n"))]
+    texts += [("lines", "no end\nReleased under the MIT License.\nNo end", "MIT"), ("wrap", "Released under the\nMIT License.", "MIT"), ("apart", "Released under the\n\nMIT License.", ""), ("inner", "It was\nreleased under the MIT License.", "")]
+    for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id string, text string, want string")).join(spark.createDataFrame(texts, "doc_id string, text string, want string"), "doc_id").collect():
+        assert r.licenses == ([r.want] if r.want else []), r
+        if r.want == "MIT" and r.doc_id.endswith("MIT"):
+            assert r.sentence_ids == ["mit-title", "mit-grant", "mit-include", "mit-warranty", "mit-liability"]
+
+
 AWKWARD = ["it's we'LL don't 'S", "a  b\n\n c \t", "''''s __x__ 12½ ٣", "日本語 text ​ é é", "<|endoftext|> x <|startoftext|>", "x" * 500, "\r\n\x0b\x1c\x85 ", "ĳĲ ŉ İı ſ µ ² ª ß ẞ"]
 
 
