@@ -9,6 +9,7 @@ has no room left and those that hold its cluster. If none is left there, the sea
 residual, until the tightest compatible bin is found or a new one is opened.
 
 A document longer than the capacity has full pieces, which are bins of their own, and a rest that is packed.
+Equal rows are counted and dealt evenly over the shards, each carrying its number of copies.
 Shards are packed independently, so a cluster or source of any size is spread over all of them, no task holds
 more than a shard, and the waste is at most about one bin's worth per shard beyond what conflicts cost.
 
@@ -88,10 +89,14 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, order:
     """
     narrow = docs.select("doc_id", size.cast("long").alias("size"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"), order.cast("long").alias("hash"))
     shards = max(1, -(-narrow.count() // shard_documents))
-    sharded = narrow.withColumn("shard", F.pmod(F.xxhash64("hash", "size"), F.lit(shards)).cast("int"))
+    counted = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.least(F.col("n"), F.lit(shards)))
+    dealt = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    copies = F.expr("n div parts") + F.when(F.col("part") < F.col("n") % F.col("parts"), 1).otherwise(0)
+    shard = F.pmod(F.pmod(F.xxhash64("hash", "size", "source"), F.lit(shards)) + F.col("part"), F.lit(shards)).cast("int")
+    sharded = dealt.select(*narrow.columns, copies.alias("copies"), shard.alias("shard"))
 
     def one(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (-((r["size"] or 0) % capacity), r["hash"], str(r["doc_id"]), str(r["source"])))
+        rows = sorted((r for r in group.to_pylist() for _ in range(r["copies"])), key=lambda r: (-((r["size"] or 0) % capacity), r["hash"], str(r["doc_id"]), str(r["source"])))
         rests = [r for r in rows if (r["size"] or 0) % capacity]
         bins = best_fit(((r["size"] % capacity, r["source"], r["cluster"]) for r in rests), capacity)
         out = [(r["doc_id"], r["size"] // capacity, r["size"] - r["size"] % capacity, r["size"] % capacity, r["shard"], b) for r, b in zip(rests, bins)]

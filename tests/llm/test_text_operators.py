@@ -110,6 +110,16 @@ def test_packing_keeps_rules(docs, rows, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_repeated_rows_are_dealt_over_all_shards(spark):
+    rows = [(None, "one text", "s")] * 1000 + [(k, f"text number {k}", f"s{k % 3}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [packing.pack_documents(d, shard_documents=300).collect() for d in (docs, docs.repartition(7))]
+    shards, copies = Counter(r.shard for r in runs[0]), Counter(r.shard for r in runs[0] if r.doc_id is None)
+    assert set(copies.values()) == {100} and max(shards.values()) <= 450 and sum(shards.values()) == 3000
+    assert len({(r.shard, r.bin) for r in runs[0] if r.doc_id is None}) == 1000
+    assert Counter(runs[0]) == Counter(runs[1])
+
+
 MIT = """MIT License
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
