@@ -72,6 +72,12 @@ def s5(spark, sf):
     return registry.list_recent(registry.scan_inspections(spark, _inspection_file(spark, sf)), "generated_at", 100).select("inspection_id", "decision", "confidence")
 
 
+@query("s5_scan_all_inspections", f"{_SIMPLE} SELECT inspection_id, decision, {r('confidence')} AS confidence FROM s")
+def s5_all(spark, sf):
+    """Every stored inspection, read back."""
+    return registry.scan_inspections(spark, _inspection_file(spark, sf)).select("inspection_id", "decision", "confidence")
+
+
 @query("s5_get_inspection", f"{_SIMPLE} SELECT inspection_id, decision, {r('confidence')} AS confidence FROM s WHERE inspection_id = (SELECT max(vec_id) FROM embeddings)")
 def s5_get(spark, sf):
     last = V.table(spark, sf, "embeddings").agg(F.max("vec_id").alias("m")).first()["m"]

@@ -20,3 +20,13 @@ def test_query_equals_its_twin(spark, name):
     df = entry.queries()[name](spark, SF)
     cur = duck(SF).execute(entry.oracle_sql()[name])
     assert compare(df.columns, [tuple(r) for r in df.collect()], [d[0] for d in cur.description], cur.fetchall()) is None
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_every_stored_inspection_is_read_back(spark):
+    name = "s5_scan_all_inspections"
+    df = entry.queries()[name](spark, SF)
+    rows = [tuple(r) for r in df.collect()]
+    cur = duck(SF).execute(entry.oracle_sql()[name])
+    assert compare(df.columns, rows, [d[0] for d in cur.description], cur.fetchall()) is None
+    assert len(rows) == duck(SF).execute("SELECT count(*) FROM embeddings").fetchone()[0] > 100
