@@ -5,7 +5,8 @@ import random
 import re
 import zlib
 
-from linelens.llm import periods
+from linelens.llm import periods, simhash
+from linelens.llm.components import components
 
 WORDS = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
@@ -94,3 +95,86 @@ def test_run_query(spark, docs, rows, tmp_path):
     order = lambda x: {d: sorted(map(str, v)) for d, v in x.items()}
     assert order(got) == order(want)
     assert sum(v[0][0] > 0 for v in got.values()) >= 4
+
+
+def plain_fingerprint(text, n=3):
+    import xxhash
+
+    w = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    w = WORDS(w)
+    parts = [" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))] if w else []
+    hashes = [xxhash.xxh64(p.encode(), seed=42).intdigest() for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(values, radius):
+    label = {v: v for v in values}
+    order = sorted(label)
+    changed = True
+    while changed:
+        changed = False
+        for x in order:
+            for y in order:
+                if bin(x ^ y).count("1") <= radius and label[x] != label[y]:
+                    label[x] = label[y] = min(label[x], label[y])
+                    changed = True
+    return label
+
+
+def test_tree_finds_all_within_the_radius():
+    rng = random.Random(2)
+    centres = [rng.getrandbits(64) for _ in range(20)]
+    values = list({rng.choice(centres) ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (2**64 - 1) for _ in range(700)})
+    tree = simhash.Tree(2)
+    for k, x in enumerate(values):
+        assert sorted(tree.search(x)) == [i for i in range(k) if bin(values[i] ^ x).count("1") <= 2]
+        tree.add(x)
+
+
+def test_links_connect_like_all_pairs(spark):
+    rng = random.Random(4)
+    for free, tree in ((64, 4096), (12, 4096), (12, 20)):  # 12 free bits: large shards, cut once more
+        base = rng.getrandbits(64)
+        bits = rng.sample(range(64), free)
+        centres = [base ^ sum(rng.getrandbits(1) << b for b in bits) for _ in range(30)]
+        values = {rng.choice(centres) ^ sum(1 << b for b in rng.sample(bits, rng.randint(0, 3))) for _ in range(250)}
+        nodes = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+        found = {r.key % 2**64: r.root % 2**64 for r in components(simhash.links(nodes, 2, tree)).collect()}
+        got = {}
+        for v in values:
+            got.setdefault(found.get(v, v), set()).add(v)
+        want = {}
+        for v, root in plain_components(values, 2).items():
+            want.setdefault(root, set()).add(v)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_fingerprints_and_components(spark, docs, rows, no_docs):
+    got = simhash.near_fingerprints(docs).collect()
+    prints = {t: plain_fingerprint(t) for _, t, _ in rows}
+    label = plain_components(set(prints.values()), 2)
+    smallest = {}
+    for d, t, _ in rows:
+        if d is not None:
+            root = label[prints[t]]
+            smallest[root] = min(smallest.get(root, d), d)
+    want = [(d, prints[t], smallest.get(label[prints[t]])) for d, t, _ in rows]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.fp % 2**64, r.component_id)) for r in got)
+    assert len({w[2] for w in want}) < len({w[1] for w in want}) < len(rows)
+    assert simhash.near_fingerprints(no_docs).count() == 0
+
+
+def test_fingerprint_query(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = simhash.query(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.fingerprint for r in got}[401] == "0" * 16
+    assert all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) for r in got) and len(got) == docs.count()
+
+
+def test_components_of_a_large_star_and_a_chain(spark):
+    star = [(0, k) for k in range(1, 3000)]
+    chain = [(k, k + 1) for k in range(10_000, 10_200)]
+    edges = spark.createDataFrame(star + chain + [(7, 7)], "a long, b long")
+    found = {r.key: r.root for r in components(edges).collect()}
+    assert found == {k: 0 for k in range(1, 3000)} | {k: 10_000 for k in range(10_001, 10_201)}
+    assert components(edges.where("a < 0")).count() == 0
