@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from linelens.llm import licenses, merkle, mix, near_copies, neighbours, packing, periods, records, repeats, simhash, token_counts, toxicity
+from linelens.llm import alignment, licenses, merkle, mix, near_copies, neighbours, packing, periods, records, repeats, simhash, token_counts, toxicity
 
-MODULES = [neighbours, licenses, repeats, mix, toxicity, records, token_counts, near_copies, merkle, packing, periods, simhash]
+MODULES = [neighbours, licenses, repeats, mix, toxicity, records, token_counts, near_copies, merkle, packing, periods, alignment, simhash]
 
 
 def queries():

@@ -4,8 +4,11 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
-from linelens.llm import periods, simhash
+import public_tokenizers
+
+from linelens.llm import alignment, periods, simhash
 from linelens.llm.components import components
 
 WORDS = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -178,3 +181,73 @@ def test_components_of_a_large_star_and_a_chain(spark):
     found = {r.key: r.root for r in components(edges).collect()}
     assert found == {k: 0 for k in range(1, 3000)} | {k: 10_000 for k in range(10_001, 10_201)}
     assert components(edges.where("a < 0")).count() == 0
+
+
+def plain_alignment(text, a, b, bytes_a, bytes_b):
+    """Ids, groups and links by comparing every end and walking every range."""
+    ids_a, ids_b = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+    data = (" " + text).encode()
+    if not text or b"".join(bytes_a(i) for i in ids_a) != data or b"".join(bytes_b(i) for i in ids_b) != data:
+        return [], [], [], []
+
+    def ranges(ids, value):
+        at, out = 0, []
+        for i in ids:
+            out.append((at, at + len(value(i))))
+            at = out[-1][1]
+        return out
+
+    ra, rb = ranges(ids_a, bytes_a), ranges(ids_b, bytes_b)
+    cuts = sorted({e for _, e in ra} & {e for _, e in rb})
+    part = lambda ids, spans, low, high: ",".join(str(i) for i, (s, e) in zip(ids, spans) if low <= s and e <= high)
+    groups = [part(ids_a, ra, low, high) + "|" + part(ids_b, rb, low, high) for low, high in zip([0] + cuts, cuts)]
+    links = [(i, j) for i, (s, e) in zip(ids_a, ra) for j, (t, u) in zip(ids_b, rb) if s < u and t < e]
+    return ids_a, ids_b, groups, links
+
+
+def test_alignment(spark, docs, rows, no_docs):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    path_a, path_b = (public_tokenizers.path(p) for p in (alignment.TOKENIZER_A, alignment.TOKENIZER_B))
+    a, b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+    a.encode_special_tokens = True
+    letters = alignment.byte_table()
+    bytes_a = lambda i: bytes(letters[c] for c in a.id_to_token(i))
+    bytes_b = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
+    assert alignment.Encoders(path_a, path_b)._by_ranks(path_a) is not None
+    odd = ["a  b", "x \n y ", " <|endoftext|> a", "<s> <unk>", "tab\tx\n\ny", "it's 12 345", "日本語 🙂", "▁a", " x\u0085", "aé" * 300]
+    more = [(2000 + k, t, "s0") for k, t in enumerate(odd)]
+    long_id = 600  # its links are compared by their number alone
+    rows = [r if r[0] != long_id else (r[0], r[1][:3000], r[2]) for r in rows] + more
+    table = spark.createDataFrame([(d, t, "x") for d, t, _ in rows], "doc_id long, text string, pair string").repartition(3)
+    found = {t: plain_alignment(t or "", a, b, bytes_a, bytes_b) for _, t, _ in rows}
+    counts = Counter(p for _, t, _ in rows for p in set(found[t][3]))
+    most = {}
+    for (i, _), n in counts.items():
+        most[i] = max(most.get(i, 0), n)
+    want = []
+    for d, t, _ in rows:
+        ids_a, ids_b, groups, links = found[t]
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if ids_a else ""
+        want.append((d, len(ids_a), len(ids_b), len(groups), len(links), sum(counts[p] == most[p[0]] for p in links), sum(counts[p] for p in links), digest))
+    for block_links in (2_000_000, 400):
+        got = alignment.linked_counts(table, path_a, path_b, block_links)
+        assert got.columns == [c.split()[0] for c in alignment.RESULT.split(", ")]
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    texts = {r.doc_id: (r.a, r.b, r.groups) for r in alignment.alignments(table.where("doc_id >= 2000"), path_a, path_b).collect()}
+    assert texts == {d: tuple(found[t][:3]) for d, t, _ in more}
+    assert sum(w[1] == 0 for w in want) >= 3 and any(w[5] < w[4] for w in want)
+    assert alignment.linked_counts(no_docs, path_a, path_b).count() == 0
+
+
+def test_stretch_is_the_longest():
+    rng = random.Random(6)
+    for _ in range(500):
+        n = rng.randint(0, 80)
+        x = [rng.randrange(4) for _ in range(n)]
+        y = x[: rng.randint(0, n)] + [rng.randrange(4) for _ in range(5)]
+        k = 0
+        while k < min(len(x), len(y)) and x[k] == y[k]:
+            k += 1
+        assert alignment.stretch(x, y, 0, 0) == k
