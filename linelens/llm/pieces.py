@@ -22,6 +22,16 @@ _BYTE_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s
 _WORD_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 characters for
+    themselves, the characters from 256 on for the other bytes in order."""
+    other = iter(range(256, 512))
+    return [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b else chr(next(other)) for b in range(256)]
+
+
+_LETTERS = dict(enumerate(byte_letters()))
+
+
 class Pieces:
     """Cuts texts into pre-tokens and encodes distinct pre-tokens with the library."""
 
@@ -50,6 +60,11 @@ class Pieces:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, pieces: Iterable[str]) -> Iterator[list[int]]:
+        if self.pattern is _BYTE_PATTERN:  # a pre-token in byte letters is what the model itself reads
+            tokens = self.tokenizer.model.tokenize
+            for piece in pieces:
+                yield [t.id for t in tokens(piece.encode().decode("latin-1").translate(_LETTERS))]
+            return
         for e in self.tokenizer.encode_batch_fast(list(pieces), add_special_tokens=False):
             yield e.ids
 

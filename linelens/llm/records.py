@@ -37,8 +37,8 @@ NAME = "op6_token_records"
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 MASK = 0xA282EAD8
-#: Encoded pre-tokens a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 800_000
+#: Encoded pre-tokens of one generation; a Python worker remembers two, and what it meets again moves to the newer.
+REMEMBERED = 400_000
 
 INDEX = "file string, place long, offset long, length long, doc_id long, start_in_file long, n_tokens long, ids_crc32 long"
 
@@ -77,6 +77,7 @@ class _Encoder:
         from linelens.llm.pieces import load
 
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces, self.pack = load(path), "<%d" + {2: "H", 4: "I"}[width]
 
     def bytes_of(self, ids: list[int]) -> bytes:
@@ -86,13 +87,15 @@ class _Encoder:
         cut = self.pieces.cut(text)
         if cut is None:
             return self.bytes_of(self.pieces.whole(text))
-        if new := set(cut).difference(self.known):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = set(cut)
-            new = list(new)
-            self.known.update(zip(new, map(self.bytes_of, self.pieces.encode(new))))
-        return b"".join(map(self.known.__getitem__, cut))
+        known = self.known
+        if new := set(cut).difference(known):
+            known.update((w, self.older[w]) for w in new if w in self.older)
+            new = [w for w in new if w not in known]
+            known.update(zip(new, map(self.bytes_of, self.pieces.encode(new))))
+        out = b"".join(map(known.__getitem__, cut))
+        if len(known) > REMEMBERED:
+            self.older, self.known = known, {}
+        return out
 
 
 _ENCODERS: dict[tuple[str, int], _Encoder] = {}
