@@ -10,6 +10,7 @@ import public_tokenizers
 
 from linelens.llm import alignment, periods, simhash
 from linelens.llm.components import components
+from linelens.llm.pieces import byte_letters
 
 WORDS = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
@@ -212,7 +213,7 @@ def test_alignment(spark, docs, rows, no_docs):
     path_a, path_b = (public_tokenizers.path(p) for p in (alignment.TOKENIZER_A, alignment.TOKENIZER_B))
     a, b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
     a.encode_special_tokens = True
-    letters = alignment.byte_table()
+    letters = {c: k for k, c in enumerate(byte_letters())}
     bytes_a = lambda i: bytes(letters[c] for c in a.id_to_token(i))
     bytes_b = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
     assert alignment.Encoders(path_a, path_b)._by_ranks(path_a) is not None
@@ -245,8 +246,8 @@ def test_stretch_is_the_longest():
     rng = random.Random(6)
     for _ in range(500):
         n = rng.randint(0, 80)
-        x = [rng.randrange(4) for _ in range(n)]
-        y = x[: rng.randint(0, n)] + [rng.randrange(4) for _ in range(5)]
+        x = bytes(rng.randrange(1, 4) for _ in range(n))
+        y = x[: rng.randint(0, n)] + bytes(rng.randrange(1, 4) for _ in range(rng.randint(0, 5)))
         k = 0
         while k < min(len(x), len(y)) and x[k] == y[k]:
             k += 1
