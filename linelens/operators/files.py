@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +38,14 @@ def split_folder(path: Column) -> Column:
     return out.otherwise(None)
 
 
-def _number(content: Column, start: int, size: int, little: bool) -> Column:
-    """Unsigned number from header bytes (1-based start)."""
-    places = [F.conv(F.hex(F.substring(content, start + i, 1)), 16, 10).cast("long") for i in range(size)]
-    power = range(size) if little else range(size - 1, -1, -1)
-    out = None
-    for p, k in zip(places, power):
-        out = p * (256 ** k) if out is None else out + p * (256 ** k)
-    return out
+def _number(content: Column, start: int | Column, size: int, little: bool) -> Column:
+    """Unsigned number from bytes (1-based start); null where the content ends before it."""
+    start = F.lit(start) if isinstance(start, int) else start
+    there = F.length(content) >= start + (size - 1)
+    if not little:
+        return F.when(there, F.conv(F.hex(F.substring(content, start, F.lit(size))), 16, 10).cast("long"))
+    places = [F.conv(F.hex(F.substring(content, start + i, F.lit(1))), 16, 10).cast("long") * 256**i for i in range(size)]
+    return F.when(there, reduce(add, places))
 
 
 def image_format(content: Column) -> Column:
@@ -52,32 +55,99 @@ def image_format(content: Column) -> Column:
             .when(head.startswith("52494646") & head.endswith("57454250"), "WEBP"))
 
 
+#: JPEG markers and TIFF entries looked at before a file counts as unreadable.
+MAX_MARKERS = 1024
+
+
+def _sides(width: Column, height: Column) -> Column:
+    return F.struct(width.cast("long").alias("width"), height.cast("long").alias("height"))
+
+
+def _jpeg_sides(data: Column) -> Column:
+    """From marker to marker, each with its length, up to the frame header; image data or a broken marker ends the walk."""
+    none = F.lit(None).cast("long")
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        marker = _number(data, at, 2, False)
+        code = marker - 0xFF00
+        state = lambda to, width=none, height=none: F.struct(to.cast("long").alias("at"), width.alias("width"), height.alias("height"))
+        frame = code.between(0xC0, 0xCF) & ~code.isin(0xC4, 0xC8, 0xCC)
+        return (F.when(at.isNull(), s).when(marker.isNull() | (code < 1) | code.isin(0xD9, 0xDA), state(none))
+                .when(code == 0xFF, state(at + 1)).when((code == 1) | code.between(0xD0, 0xD8), state(at + 2))
+                .when(frame, state(none, _number(data, at + 7, 2, False), _number(data, at + 5, 2, False)))
+                .otherwise(state(at + 2 + _number(data, at + 2, 2, False))))
+
+    start = F.struct(F.lit(3).cast("long").alias("at"), none.alias("width"), none.alias("height"))
+    steps = F.sequence(F.lit(1), F.least(F.lit(MAX_MARKERS), F.length(data)))
+    walked = F.aggregate(steps, start, step)
+    return _sides(walked["width"], walked["height"])
+
+
+def _tiff_sides(data: Column, little: bool) -> Column:
+    """Tags 256 and 257 of the first directory, as 16-bit or 32-bit numbers."""
+    first = _number(data, 5, 4, little) + 1
+    count = F.least(_number(data, first, 2, little), F.lit(MAX_MARKERS))
+    entries = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(count, F.lit(0))), lambda k: first + 2 + k * 12)
+
+    def tag(n: int) -> Column:
+        found = F.filter(entries, lambda at: (at < first + 2 + count * 12) & (_number(data, at, 2, little) == n))
+        value = F.transform(found, lambda at: F.when(_number(data, at + 2, 2, little) == 3, _number(data, at + 8, 2, little)).when(
+            _number(data, at + 2, 2, little) == 4, _number(data, at + 8, 4, little)))
+        return F.get(value, F.lit(0))
+
+    return _sides(tag(256), tag(257))
+
+
+def _webp_sides(data: Column) -> Column:
+    """The first chunk: a key frame (VP8), a lossless head (VP8L) or the canvas (VP8X)."""
+    chunk, packed = F.hex(F.substring(data, 13, 4)), _number(data, 22, 4, True)
+    key = F.hex(F.substring(data, 24, 3)) == "9D012A"
+    lossless = F.hex(F.substring(data, 21, 1)) == "2F"
+    return (F.when((chunk == "56503820") & key, _sides(_number(data, 27, 2, True) % 16384, _number(data, 29, 2, True) % 16384))
+            .when((chunk == "5650384C") & lossless, _sides(packed % 16384 + 1, F.shiftright(packed, 14) % 16384 + 1))
+            .when(chunk == "56503858", _sides(_number(data, 25, 3, True) + 1, _number(data, 28, 3, True) + 1)))
+
+
 def image_size(content: Column) -> tuple[Column, Column]:
-    """Width and height where they stand at a fixed place (PNG, GIF, BMP)."""
+    """Width and height as the file's head states them, read without decoding; null where it cannot be read.
+
+    The content is bound once to a lambda variable: the walks look at many of its places.
+    """
     kind = image_format(content)
-    at = lambda png, gif, bmp: F.when(kind == "PNG", _number(content, png, 4, False)).when(kind == "GIF", _number(content, gif, 2, True)).when(
-        kind == "BMP", _number(content, bmp, 4, True))
-    return at(17, 7, 19), at(21, 9, 23)
+
+    def sides(data: Column) -> Column:
+        tiff = F.when(F.hex(F.substring(data, 1, 1)) == "49", _tiff_sides(data, True)).otherwise(_tiff_sides(data, False))
+        return (F.when(kind == "PNG", _sides(_number(data, 17, 4, False), _number(data, 21, 4, False)))
+                .when(kind == "GIF", _sides(_number(data, 7, 2, True), _number(data, 9, 2, True)))
+                .when(kind == "BMP", _sides(_number(data, 19, 4, True), _number(data, 23, 4, True)))
+                .when(kind == "JPEG", _jpeg_sides(data)).when(kind == "TIFF", tiff).when(kind == "WEBP", _webp_sides(data)))
+
+    size = F.get(F.transform(F.array(content), sides), F.lit(0))
+    return size["width"], size["height"]
 
 
 def validate_files(files: DataFrame, order: str = "position", max_bytes: int | None = None) -> DataFrame:
     """files: original_name, content, <order>. One status per file; nothing is dropped.
 
-    A file without content is unreadable. ``max_bytes`` is the caller's limit on a file's size.
+    A file without content, of unknown form, or whose head does not give its size is unreadable; pixels are not
+    decoded. ``max_bytes`` is the caller's limit on a file's size.
 
     The first valid file of a content is kept, later copies are duplicates. The first one comes
     from an aggregate and is attached hot-key safe, so many copies never meet in one task.
     """
     name, content = F.col("original_name"), F.col("content")
-    kind, (width, height) = image_format(content), image_size(content)
+    files = files.select(order, "original_name", "content", F.struct(*[c.alias(n) for c, n in zip(image_size(content), ("width", "height"))]).alias("_size"))
+    kind, width, height = image_format(content), F.col("_size.width"), F.col("_size.height")
+    unreadable = kind.isNull() | width.isNull() | height.isNull()
     suffix = suffix_of(name)
     size = F.length(content)
     small = F.coalesce(width < fixed.MIN_IMAGE_SIDE, F.lit(False)) | F.coalesce(height < fixed.MIN_IMAGE_SIDE, F.lit(False))
     large = F.coalesce(size > max_bytes, F.lit(False)) if max_bytes is not None else F.lit(False)
     status = (F.when(~suffix.isin(*fixed.BATCH_SUFFIXES), "unsupported").when(large, "invalid")
-              .when(kind.isNull() | small, "invalid").otherwise("valid"))
+              .when(unreadable | small, "invalid").otherwise("valid"))
     reason = (F.when(~suffix.isin(*fixed.BATCH_SUFFIXES), "unsupported format").when(large, f"file exceeds {max_bytes} bytes")
-              .when(kind.isNull(), "unreadable image").when(small, "image too small"))
+              .when(unreadable, "unreadable image").when(small, "image too small"))
     read = files.select(order, "original_name", size.alias("size_bytes"), status.alias("status"), reason.alias("reason"), width.alias("width"),
                         height.alias("height"), kind.alias("format"), F.sha2(content, 256).alias("sha256"),
                         F.when(F.contains(name, F.lit("/")), F.element_at(F.split(name, "/"), -2)).alias("class_folder"))

@@ -162,6 +162,45 @@ def v9(spark, sf):
     return files.validate_files(file_rows(spark, sf)).select("position", "status", "width", "format", "class_folder")
 
 
+# heads of three more forms around document texts: JPEG with two segments before its frame, TIFF in both byte
+# orders with the size third and fourth, WEBP lossy, lossless and extended; every ninth file is cut inside its head
+
+_SIDES = "doc_id % 400 + 2 AS w, doc_id % 300 + 4 AS h"
+_FORM = "doc_id % 6"
+
+
+def head_rows(spark, sf):
+    """position, original_name, content: form doc_id % 6, width doc_id % 400 + 2, height doc_id % 300 + 4."""
+    d = V.table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    w, h, text = F.col("doc_id") % 400 + 2, F.col("doc_id") % 300 + 4, F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    big = lambda x, n: F.lpad(F.hex(x.cast("long")), 2 * n, "0")
+    little = lambda x, n: F.concat(*[F.substring(big(x, n), 2 * (n - k) - 1, 2) for k in range(n)])
+    entry = lambda tag, kind, x, put: F.concat(put(F.lit(tag), 2), put(F.lit(kind), 2), put(F.lit(1), 4), put(x, 2) if kind == 3 else put(x, 4), F.lit("0000" if kind == 3 else ""))
+    tiff = lambda put, mark: F.concat(F.lit(mark), put(F.lit(14), 4), F.lit("ABCDEFABCDEF"), put(F.lit(4), 2), entry(254, 4, F.lit(0), put), entry(255, 3, F.lit(1), put), entry(256, 3, w, put), entry(257, 4, h, put))
+    webp = lambda chunk, body: F.concat(F.lit("52494646"), F.lit("00010000"), F.lit("57454250" + chunk + "40000000"), body)
+    packed = (w - 1) + (h - 1) * 16384
+    forms = [
+        F.concat(F.lit("FFD8FFE00006AABBCCDDFFFFFE0005C0FFC0FFC20011" + "08"), big(h, 2), big(w, 2)),
+        tiff(little, "49492A00"), tiff(big, "4D4D002A"),
+        webp("56503820", F.concat(F.lit("0000009D012A"), little(w, 2), little(h + 16384, 2))),
+        webp("5650384C", F.concat(F.lit("2F"), little(packed, 4))),
+        webp("56503858", F.concat(F.lit("00000000"), little(w - 1, 3), little(h - 1, 3)))]
+    head = F.get(F.array(*forms), (F.col("doc_id") % 6).cast("int"))
+    cut = F.when(F.col("doc_id") % 9 == 0, F.substring(head, 1, 24)).otherwise(F.concat(head, text))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("."), F.get(F.array(*[F.lit(x) for x in ("jpg", "tif", "tiff", "webp", "webp", "webp")]), (F.col("doc_id") % 6).cast("int")))
+    return d.select(F.col("doc_id").alias("position"), name.alias("original_name"), F.unhex(cut).alias("content"))
+
+
+@query("v9_image_sizes", f"""WITH f AS (SELECT doc_id AS position, {_SIDES}, doc_id % 9 = 0 AS cut, {_FORM} AS k, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+  g AS (SELECT *, CASE WHEN cut OR w < 8 OR h < 8 THEN 'invalid' ELSE 'valid' END AS s0 FROM f)
+  SELECT position, CASE WHEN s0 = 'valid' AND row_number() OVER (PARTITION BY s0, k, w, h, text ORDER BY position) > 1 THEN 'duplicate' ELSE s0 END AS status, CASE WHEN cut THEN 'unreadable image' WHEN s0 = 'invalid' THEN 'image too small' END AS reason,
+  CASE WHEN NOT cut THEN w END AS width, CASE WHEN NOT cut THEN h END AS height, CASE WHEN k = 0 THEN 'JPEG' WHEN k < 3 THEN 'TIFF' ELSE 'WEBP' END AS format FROM g""")
+def v9_sizes(spark, sf):
+    """Sizes from JPEG, TIFF and WEBP heads over whole files; copies are told apart by content."""
+    out = files.validate_files(head_rows(spark, sf))
+    return out.select("position", "status", F.when(F.col("status") != "duplicate", F.col("reason")).alias("reason"), "width", "height", "format")
+
+
 @query("v10_batch_summary", f"""{_FILES}, c AS (SELECT class_folder, count(*) AS n FROM g WHERE class_folder IS NOT NULL GROUP BY class_folder) SELECT count(*) AS total, count(*) FILTER (WHERE status = 'valid') AS valid, count(*) FILTER (WHERE status = 'invalid') AS invalid,
   count(*) FILTER (WHERE status = 'unsupported') AS unsupported, count(*) FILTER (WHERE status = 'duplicate') AS duplicate, (SELECT count(*) FROM c) AS classes, (SELECT count(*) > 0 FROM c) AS labels_available,
   (SELECT CASE WHEN count(*) = 0 THEN 'NOT_APPLICABLE' WHEN count(*) = 1 OR max(n) <= 4 * min(n) THEN 'BALANCED' ELSE 'IMBALANCED' END FROM c) AS class_balance FROM g""")

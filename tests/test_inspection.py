@@ -147,3 +147,41 @@ def test_upsert_keeps_the_newest(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "id string, at int, v string")
     new = spark.createDataFrame([("a", 2, "z")], "id string, at int, v string")
     assert {(r["id"], r["v"]) for r in registry.upsert(old, new, "id", "at").collect()} == {("a", "z"), ("b", "y")}
+
+
+def jpeg(w, h, before=b"", marker=0xC2):
+    return b"\xff\xd8" + before + b"\xff" + bytes([marker]) + b"\x00\x11\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + b"\x03" + b"\x00" * 20
+
+
+def tiff(order, entries, mark):
+    body = len(entries).to_bytes(2, order) + b"".join(t.to_bytes(2, order) + k.to_bytes(2, order) + (1).to_bytes(4, order) + (v.to_bytes(2, order) + b"\x00\x00" if k == 3 else v.to_bytes(4, order)) for t, k, v in entries)
+    return mark + (10).to_bytes(4, order) + b"\x00\x00" + body
+
+
+def webp(chunk, body):
+    return b"RIFF\x00\x01\x00\x00WEBP" + chunk + b"\x40\x00\x00\x00" + body
+
+
+def test_image_sizes_from_heads(spark):
+    little = lambda x, n: x.to_bytes(n, "little")
+    segment = b"\xff\xe1\x00\x0a" + b"\xff\xc0\xff\xc0\xff\xc0\xff\xc0"  # frame marks inside a segment are data
+    many = b"".join(b"\xff\xe2\x00\x03x" for _ in range(400))
+    cases = [
+        (jpeg(640, 480), "JPEG", 640, 480), (jpeg(640, 481, segment), "JPEG", 640, 481), (jpeg(65535, 9, many, 0xC0), "JPEG", 65535, 9),
+        (jpeg(33, 44, b"\xff\xff\xff\xc4\x00\x04ab\xff\x01"), "JPEG", 33, 44),  # fill bytes, a Huffman table, a mark without length
+        (jpeg(33, 44)[:8], "JPEG", None, None), (b"\xff\xd8\xff\xda\x00\x04ab" + jpeg(9, 9), "JPEG", None, None), (b"\xff\xd8\xff\xe0", "JPEG", None, None),
+        (b"\xff\xd8\xff\xe0\x00\x04abxx" + jpeg(9, 9), "JPEG", None, None),
+        (tiff("little", [(254, 4, 0), (256, 3, 300), (257, 4, 70000)], b"II*\x00"), "TIFF", 300, 70000),
+        (tiff("big", [(256, 4, 70001), (257, 3, 301), (258, 3, 8)], b"MM\x00*"), "TIFF", 70001, 301),
+        (tiff("big", [(256, 4, 70001), (258, 3, 8)], b"MM\x00*"), "TIFF", 70001, None), (b"II*\x00\xff\xff\xff\xff", "TIFF", None, None), (b"MM\x00*", "TIFF", None, None),
+        (webp(b"VP8 ", b"\x10\x00\x00\x9d\x01\x2a" + little(500, 2) + little(400 + 16384, 2)), "WEBP", 500, 400),
+        (webp(b"VP8 ", b"\x10\x00\x00\x00\x00\x00" + little(500, 2) + little(400, 2)), "WEBP", None, None),
+        (webp(b"VP8L", b"\x2f" + little(499 + (399 << 14), 4)), "WEBP", 500, 400), (webp(b"VP8X", b"\x10\x00\x00\x00" + little(70_000, 3) + little(9, 3)), "WEBP", 70_001, 10),
+        (webp(b"VP8X", b"\x10"), "WEBP", None, None), (b"GIF89a" + little(20, 2) + little(30, 2), "GIF", 20, 30), (b"BM" + b"\x00" * 16 + little(20, 4) + little(30, 4), "BMP", 20, 30),
+        (png(20, 30)[:20], "PNG", 20, None), (b"", None, None, None), (None, None, None, None), (b"text", None, None, None)]
+    rows = [(k, f"{k}.png", c[0]) for k, c in enumerate(cases)]
+    out = files.validate_files(spark.createDataFrame(rows, "position int, original_name string, content binary")).collect()
+    got = {r.position: (r.format, r.width, r.height) for r in out}
+    assert got == {k: c[1:] for k, c in enumerate(cases)}
+    status = {r.position: (r.status, r.reason) for r in out}
+    assert all(status[k] == (("valid", None) if c[2] and c[3] else ("invalid", "unreadable image")) for k, c in enumerate(cases))
