@@ -101,11 +101,6 @@ def two_sided_p(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-def pearson_p(r: Column, n: Column) -> Column:
-    """p of a correlation; the t distribution is taken as normal (n >= 30)."""
-    return F.when(F.abs(r) >= 1.0, 0.0).otherwise(two_sided_p(r * F.sqrt((n - 2) / (1.0 - r * r))))
-
-
 # --- vectors held as array<double>
 
 def doubles(c: Column) -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from linelens.functions import fixed
 from linelens.functions.expr import (
-    at_least, at_most, corr_sql, finite, finite_sql, is_numeric, literal, pearson_p, q, rounded, stack_rows, stack_sql, to_long, two_sided_p, weighted_score)
+    at_least, at_most, corr_sql, finite, finite_sql, is_numeric, literal, q, rounded, stack_rows, stack_sql, to_long, two_sided_p, weighted_score)
+from linelens.functions.tails import correlation_p
 from linelens.operators.ordered import attach_ranks, average_ranks, exact_quantiles, running_sums, with_row_index
 from linelens.operators.profile import varying
 from linelens.operators.split import seeded_key, with_previous
@@ -111,7 +112,7 @@ def correlations(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
     rows = stack_sql(df.selectExpr(*aggs), [{"factor": literal(c), "n": f"n{i}", "r": f"r{i}", "varies": f"v{i}"} for i, c in enumerate(factors)])
     ok = (F.col("n") >= 30) & F.col("varies")
     return rows.select("factor", "n", ok.alias("available"), F.when(ok, rounded(F.col("r"))).alias("pearson_r"),
-                       F.when(ok, rounded(pearson_p(F.col("r"), F.col("n")), 8)).alias("pearson_p"))
+                       F.when(ok, rounded(correlation_p(F.col("r"), F.col("n")), 8)).alias("pearson_p"))
 
 
 def spearman(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
@@ -143,7 +144,7 @@ def spearman(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
     sums = centred.groupBy("factor").agg(F.max("n").alias("n"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
     ok = (F.col("n") >= 30) & (F.col("aa") > 0) & (F.col("bb") > 0)
     r = F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))
-    return sums.select("factor", "n", F.when(ok, rounded(r)).alias("spearman_r"), F.when(ok, rounded(pearson_p(r, F.col("n")), 8)).alias("spearman_p"))
+    return sums.select("factor", "n", F.when(ok, rounded(r)).alias("spearman_r"), F.when(ok, rounded(correlation_p(r, F.col("n")), 8)).alias("spearman_p"))
 
 
 def _bin(c: Column, edges: list[float]) -> Column:

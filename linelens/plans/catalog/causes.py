@@ -107,6 +107,41 @@ def r6_orders(spark, sf):
     return evidence.spearman(orders(spark, sf, True), Y, ORDER_FACTORS).select("factor", "n", "spearman_r")
 
 
+# the same p by its finite series over the degrees of freedom: odd or even ones have their own
+_T_SERIES = """CASE WHEN abs({r}) >= 1 THEN 0.0 WHEN {n} % 2 = 0
+  THEN 1 - abs({r}) * list_sum(list_transform(range(({n} - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2 + k * ln(1 - {r} * {r}))))
+  ELSE 1 - 2 / pi() * (asin(abs({r})) + abs({r}) * coalesce(list_sum(list_transform(range(({n} - 3) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + ln(pi()) / 2 - ln(2) + (k + 0.5) * ln(1 - {r} * {r})))), 0)) END"""
+
+
+def _p_of(long: str, corr: str, source: str, name: str) -> str:
+    p = _T_SERIES.format(r="c", n="n")
+    return f"{long}{source}, g AS (SELECT factor, count(*) FILTER (WHERE {corr[1]} IS NOT NULL AND {corr[2]} IS NOT NULL) AS n, corr({corr[1]}, {corr[2]}) AS c FROM {corr[0]} GROUP BY factor) SELECT factor, n, {r('c')} AS {name}_r, {r(p)} AS {name}_p FROM g"
+
+
+_RANKED = f", p AS (SELECT * FROM l WHERE x IS NOT NULL AND y IS NOT NULL), k AS (SELECT factor, {_RANK.format(c='x')} AS rx, {_RANK.format(c='y')} AS ry FROM p)"
+
+
+@query("r5_pearson_p", _p_of(LH, ("l", "x", "y"), "", "pearson"))
+def r5_p(spark, sf):
+    """Correlations and their exact two-sided p by Student's t."""
+    return evidence.correlations(flagged(spark, sf), Y, FACTORS).select("factor", "n", "pearson_r", "pearson_p")
+
+
+@query("r5_pearson_p_orders", _p_of(LO, ("l", "x", "y"), "", "pearson"))
+def r5_p_orders(spark, sf):
+    return evidence.correlations(orders(spark, sf), Y, ORDER_FACTORS).select("factor", "n", "pearson_r", "pearson_p")
+
+
+@query("r6_spearman_p", _p_of(LH, ("k", "rx", "ry"), _RANKED, "spearman"))
+def r6_p(spark, sf):
+    return evidence.spearman(hourly(spark, sf, True), Y, FACTORS).select("factor", "n", "spearman_r", "spearman_p")
+
+
+@query("r6_spearman_p_orders", _p_of(LO, ("k", "rx", "ry"), _RANKED, "spearman"))
+def r6_p_orders(spark, sf):
+    return evidence.spearman(orders(spark, sf), Y, ORDER_FACTORS).select("factor", "n", "spearman_r", "spearman_p")
+
+
 _EDGES = "[" + ", ".join(f"{k / 16}" for k in range(1, 16)) + "]"
 
 
