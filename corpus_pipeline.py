@@ -17,6 +17,10 @@ from linelens.llm import mix, near_copies, packing, repeats, toxicity
 from linelens.llm.common import table
 from linelens.session import materialize
 
+#: Bytes of the shortest passage that is cut. Passages of over 50 words go: in running text even short words take
+#: four bytes with their blank, so such a passage has this many bytes at least.
+PASSAGE_BYTES = 200
+
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity score is below one half."""
@@ -30,8 +34,8 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated 400-byte passages."""
-    return repeats.without_repeats(docs)
+    """Texts without their repeated passages."""
+    return repeats.without_repeats(docs, PASSAGE_BYTES)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
