@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linelens.llm.common import as_row, bounded_batches, from_row, table
+from linelens.llm.components import components
 from linelens.session import materialize
 
 NAME = "op8_near_copies"
@@ -244,34 +245,6 @@ def _compare(threshold: float, across: bool):
     return run
 
 
-def classes(edges: DataFrame) -> DataFrame:
-    """key, root: for every node of the edges the smallest node of its connected component.
-
-    Large-star and small-star rounds until nothing changes; each round is two shuffles of the links left.
-    """
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if e.isEmpty():
-        return e.select(F.col("a").alias("key"), F.col("b").alias("root"))
-    while True:
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        small = materialize(small)
-        if _same(e, small):
-            return small.select(F.col("a").alias("key"), F.col("b").alias("root"))
-        e = small
-
-
-def _same(x: DataFrame, y: DataFrame) -> bool:
-    """Whether two link tables hold the same links, by count and an order-free sum of hashes."""
-    facts = [t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first() for t in (x, y)]
-    return tuple(facts[0]) == tuple(facts[1])
-
-
 def _with_root(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
@@ -306,7 +279,7 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     heads = placed.where("key = star").select("star", "key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     inside = inside.unionByName(heads.select("star", "chunk", "key")).distinct()
     edges = materialize(inside.join(sets, "key").groupBy("star", "chunk").applyInArrow(_compare(threshold, False), "a binary, b binary"))
-    found = materialize(classes(edges))
+    found = materialize(components(edges))
 
     # stars of several chunks that are still of several classes: chunk by chunk
     large = _with_root(placed.where("chunks > 1"), found)
@@ -315,7 +288,7 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     paired = rest.withColumn("other", others).where("other <> chunk").select("star", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") > F.col("other")).alias("half"), "key", "root")
     cross = paired.join(sets, "key").groupBy("star", "low", "high").applyInArrow(_compare(threshold, True), "a binary, b binary")
-    found = materialize(classes(materialize(edges.unionByName(cross))))
+    found = materialize(components(materialize(edges.unionByName(cross))))
 
     labelled = _with_root(nodes.select("key", "rep"), found)
     best = labelled.groupBy("root").agg(F.min("rep").alias("kept"))
