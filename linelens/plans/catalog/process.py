@@ -457,12 +457,8 @@ def j4(spark, sf):
 @query("j4_imputed_cells_orders", f"{O} SELECT * FROM (" + union_all([f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS filled, {r(f'quantile_cont({c}, 0.5)')} AS median FROM o" for c in _Q7]) + ") q WHERE filled > 0")
 def j4_orders(spark, sf):
     """Filled cells and the exact median behind them, on the sparse order table."""
-    from linelens.operators.ordered import exact_quantiles
-
-    df = orders(spark, sf, True)
-    _, gaps = align.impute_median(df, _Q7)
-    med = exact_quantiles(df, {c: [0.5] for c in gaps})
-    return spark.createDataFrame([(c, n, med[c][0]) for c, n in gaps.items()], "column string, filled long, median double")
+    gaps = align.gap_medians(orders(spark, sf, True), _Q7)
+    return spark.createDataFrame([(c, n, median) for c, (n, median) in gaps.items()], "column string, filled long, median double")
 
 
 @query("j5_finite_invariant", f"{H} SELECT CAST({' + '.join(f'(count(*) - count({c}))' for c in _CYC + _HU)} AS BIGINT) AS not_finite FROM h")
@@ -508,6 +504,20 @@ def j11(spark, sf):
     return out.select("event_id", "process_value", "link_status")
 
 
+@query("j11_interval_link", f"""WITH p AS (SELECT event_type, CASE WHEN event_id % 997 <> 0 THEN ts END AS valid_from, CASE WHEN event_id % 1009 <> 0 THEN ts + to_seconds(CAST(floor(value * 30) AS BIGINT)) END AS valid_to, value FROM events WHERE value > 60),
+  m AS (SELECT i.event_id, count(*) AS states, arg_max(p.value, (coalesce(epoch_us(p.valid_from), -9e18::BIGINT), coalesce(epoch_us(p.valid_to), 9e18::BIGINT), p.value)) AS v
+    FROM events i JOIN p ON p.event_type = i.event_type AND (p.valid_from IS NULL OR i.ts >= p.valid_from) AND (p.valid_to IS NULL OR i.ts < p.valid_to) GROUP BY i.event_id)
+  SELECT e.event_id, coalesce(m.states, 0) AS states, {r('m.v')} AS process_value, CASE WHEN m.states IS NULL THEN 'NOT_AVAILABLE' ELSE 'LINKED' END AS link_status FROM events e LEFT JOIN m ON m.event_id = e.event_id""")
+def j11_interval(spark, sf):
+    """Inspection events take the state of their station that is valid at their instant, some states open at one end."""
+    ev = V.table(spark, sf, "events")
+    end = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 30).cast("long") * 1_000_000)
+    state = ev.where("value > 60").select("event_type", F.when(F.col("event_id") % 997 != 0, F.col("ts").cast("timestamp")).alias("valid_from"),
+                                          F.when(F.col("event_id") % 1009 != 0, end).alias("valid_to"), "value")
+    out = align.interval_link(ev.select("event_id", "event_type", "ts"), state, "event_type", "event_id", "ts", "valid_from", "valid_to", unit_seconds=600)
+    return out.select("event_id", "states", "process_value", "link_status")
+
+
 @query("j11_link_by_key", f"SELECT e.event_id, {r('c.c_acctbal')} AS c_acctbal, CASE WHEN c.c_custkey IS NULL THEN 'NOT_AVAILABLE' ELSE 'LINKED' END AS link_status FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id")
 def j11_key(spark, sf):
     ev = V.table(spark, sf, "events").select("event_id", F.col("user_id").alias("unit_id"))
