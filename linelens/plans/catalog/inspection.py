@@ -385,6 +385,24 @@ def t1(spark, sf):
 _EVD = "CASE WHEN event_type = 'error' THEN 'DEFECT' WHEN value > 60 THEN 'REVIEW' ELSE 'PASS' END"
 
 
+@query("t1_stream_history", f"""SELECT source, CAST(place AS INTEGER) AS place, inspection_id, decision, confidence FROM (SELECT CAST(user_id AS VARCHAR) AS source, event_id AS inspection_id, {_EVD} AS decision, {r('value')} AS confidence,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= {stream.HISTORY}""")
+def t1_history(spark, sf):
+    """The last 60 inspections of every source, kept as state over two runs of a stream that sends a tenth of them twice."""
+    src, out, ckpt = (_folder(spark, n) for n in ("t1h-in", "t1h-out", "t1h-ckpt"))
+    frames = materialize(V.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("inspection_id"),
+        F.expr(_EVD).alias("decision"), F.col("value").cast("double").alias("confidence")))
+    for part in (frames.where("inspection_id % 3 <> 0"), frames.where("inspection_id % 3 = 0 OR inspection_id % 10 = 1")):
+        part.coalesce(2).write.mode("append").parquet(src)
+        live = spark.readStream.schema(stream.FRAME_SCHEMA).parquet(src)
+        with stream.keyed_state(spark):
+            stream.run_to_table(stream.source_history(live, late="60 days", idle="60 days"), out, ckpt, mode="update")
+    held = stream.newest(spark, out, ["source"])
+    return held.select("source", F.posexplode("frames").alias("place", "f")).select(
+        "source", (F.col("place") + 1).alias("place"), "f.inspection_id", "f.decision", "f.confidence")
+
+
 @query("t2_stream_decision_counts", f"SELECT date_trunc('hour', ts) AS window_start, {_EVD} AS decision, count(*) AS n FROM events GROUP BY 1, 2")
 def t2(spark, sf):
     """Hourly decision counts from a stream in update mode, merged on read, equal the batch answer."""

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import heapq
+from contextlib import contextmanager
+
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from linelens.operators.inspect import decide, probabilities
 from linelens.operators.investigate import investigate
 
 INPUT_SCHEMA = "inspection_id long, ts timestamp, label int, logits array<double>"
+FRAME_SCHEMA = "source string, ts timestamp, inspection_id long, decision string, confidence double"
+HISTORY = 60
+_FRAME = "at long, inspection_id long, decision string, confidence double"  # at: microseconds, the same in every time zone
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 STAGE_SCHEMA = "inspection_id long, seq int, stage string, status string, at timestamp"
 
 
@@ -39,6 +48,101 @@ def unique_inspections(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["inspection_id"])
 
 
+def newest_frames(frames, keep: int) -> list[tuple]:
+    """The last ``keep`` of (at, inspection_id, ...), newest first; of an inspection sent again the newest version counts.
+
+    Versions of one instant are told apart by their other values, so the order of arrival does not matter. The newest of
+    a union are among the newest of its parts: this merges in any grouping.
+    """
+    rank = lambda f: (f[0], f[1], f[2] or "", f[3] is not None, f[3] or 0.0)
+    held: dict[int, tuple] = {}
+    for f in frames:
+        if f[1] not in held or rank(f) > rank(held[f[1]]):
+            held[f[1]] = f
+    return heapq.nlargest(keep, held.values(), key=rank)
+
+
+class _History(StatefulProcessor):
+    """The newest frames of one source, held until the source has been silent for ``idle_ms`` of event time."""
+
+    def __init__(self, keep: int, idle_ms: int):
+        self.keep, self.idle_ms = keep, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.frames = handle.getListState("frames", _FRAME)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = newest_frames([*map(tuple, self.frames.get()), *((r.at, r.inspection_id, r.decision, r.confidence) for r in rows)], self.keep)
+        self.frames.put(held)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(held[0][0] // 1000 + self.idle_ms)
+        yield Row(source=key[0], n=len(held), frames=[Row(at=f[0], inspection_id=f[1], decision=f[2], confidence=f[3]) for f in held])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.frames.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _combine(keep: int, held_rows: int = 50_000):
+    """Map side of the history: a task passes on only its newest frames of a source, so a hot source stays small."""
+
+    def run(batches):
+        held: dict = {}
+        n = 0
+        for batch in batches:
+            for source, part in batch.groupby("source", dropna=False):
+                source = None if pd.isna(source) else source
+                rows = [(r[0], r[1], r[2], None if pd.isna(r[3]) else r[3]) for r in part[["at", "inspection_id", "decision", "confidence"]].itertuples(index=False)]
+                before = held.get(source, [])
+                held[source] = newest_frames([*before, *rows], keep)
+                n += len(held[source]) - len(before)
+            if n > held_rows:
+                yield _frame(held)
+                held, n = {}, 0
+        if held:
+            yield _frame(held)
+
+    return run
+
+
+def _frame(held: dict) -> pd.DataFrame:
+    return pd.DataFrame([(s, *f) for s, fs in held.items() for f in fs], columns=["source", "at", "inspection_id", "decision", "confidence"])
+
+
+def source_history(scored: DataFrame, keep: int = HISTORY, late: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """The last ``keep`` inspections of every source, newest first (update mode): a row for each source a micro-batch touched.
+
+    ``scored`` holds the columns of ``FRAME_SCHEMA``. Order is event time, then inspection id; an inspection sent again
+    counts once. Frames later than ``late`` are dropped, frames without instant or id have no place; a null source is a
+    source of its own. A source silent for ``idle`` loses its state, and its next frame starts a new history. Read the
+    written table with ``newest(spark, path, ["source"])``. Start it under ``keyed_state``: the state lives in RocksDB
+    on the executors and in the checkpoint, at most ``keep`` rows a source.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    known = scored.select("source", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "inspection_id", "decision", "confidence").where(
+        "at IS NOT NULL AND inspection_id IS NOT NULL")
+    few = known.mapInPandas(_combine(keep), f"source string, {_FRAME}").withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", late)
+    held = few.groupBy("source").transformWithState(_History(keep, idle_ms), f"source string, n int, frames array<struct<{_FRAME}>>", "Update", "EventTime")
+    return held.select("source", "n", F.transform("frames", lambda f: F.struct(
+        F.timestamp_micros(f["at"]).alias("ts"), f["inspection_id"].alias("inspection_id"), f["decision"].alias("decision"), f["confidence"].alias("confidence"))).alias("frames"))
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which timers need; a restart reads the setting from the checkpoint."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 def auto_investigate(scored: DataFrame, context: DataFrame, dataset_id: str | None, path: str, checkpoint: str, trigger: dict | None = None):
     """DEFECT and REVIEW open an investigation. Each micro-batch owns one folder, so a replay overwrites itself."""
 
