@@ -12,7 +12,7 @@ from linelens.plans.catalog.base import H, O, hourly, meta_of, orders, query, r,
 from linelens.plans.catalog.causes import Y, _SC, robust_states, state_sql
 from linelens.plans.catalog.inspection import _SIMPLE, simple_inspections
 from linelens.session import materialize, shared_dir
-from linelens.sources import registry, tables
+from linelens.sources import archive, registry, tables
 from linelens.sources import views as V
 
 
@@ -47,6 +47,19 @@ def s2(spark, sf):
     return ledger.join(F.broadcast(sizes), "file", "left").select("file", "status", "columns")
 
 
+@query("s2_archive_members", f"SELECT strftime(ts, '%Y-%m-%d') || '.csv' AS member, 'READ' AS status, count(*) + 1 AS lines, count(value) AS n, {r('sum(value)', 2)} AS total, max(event_type) AS last FROM events GROUP BY 1", digits=2)
+def s2_archive(spark, sf):
+    """All events as a CSV member a day in four ZIP archives, read back through the archive source, beside the ledger."""
+    path = _folder(spark, "s2z")
+    events = V.table(spark, sf, "events").select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day"), "event_id", "event_type", "value")
+    archive.write_archives(events, path, "day", ["event_id"], 4)
+    lines = archive.archive_lines(spark, path)
+    data = archive.archive_rows(lines, "event_id long, event_type string, value double")
+    return archive.archive_ledger(lines, path).join(data.groupBy("member").agg(
+        F.count("value").alias("n"), F.sum("value").alias("total"), F.max("event_type").alias("last")), "member").select(
+        "member", "status", "lines", "n", "total", "last")
+
+
 @query("s3_file_fingerprint", None)
 def s3(spark, sf):
     return tables.fingerprints(spark, sf)
