@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linelens.functions import fixed
-from linelens.operators import align, anomaly, drift, evidence, profile
+from linelens.operators import align, anomaly, drift, evidence, information, profile
 from linelens.plans import process as runs
 from linelens.plans.catalog.base import H, O, ORDER_COLUMNS, hourly, meta_of, orders, query, r, sql_metric, union_all
 from linelens.session import materialize
@@ -167,6 +167,18 @@ def r7_orders(spark, sf):
     return evidence.mutual_information(orders(spark, sf, True), Y, ORDER_FACTORS, "row_key")
 
 
+@query("r7_neighbour_information", None)
+def r7_neighbours(spark, sf):
+    """By nearest neighbours over every hour; all-pairs comparisons are no SQL twin, tests hold it against one."""
+    return information.neighbour_information(hourly(spark, sf, True), Y, FACTORS, "Time_Now")
+
+
+@query("r7_neighbour_information_orders", None)
+def r7_neighbours_orders(spark, sf):
+    """The same over every order, whose discounts and quantities repeat many times."""
+    return information.neighbour_information(orders(spark, sf, True), Y, ORDER_FACTORS, "row_key")
+
+
 def _effect(long: str, d: int = 6) -> str:
     r = lambda e, n: f"(round(round(CAST({e} AS DOUBLE), 6), {n}) + CAST(0 AS DOUBLE))"  # the operator reports 6 digits
     return f"""{long}, a AS (SELECT factor, avg(x) FILTER (WHERE e) AS ma, avg(x) FILTER (WHERE NOT e) AS mb, var_samp(x) FILTER (WHERE e) AS va, var_samp(x) FILTER (WHERE NOT e) AS vb,
