@@ -14,6 +14,7 @@ from linelens.plans.catalog.inspection import _SIMPLE, simple_inspections
 from linelens.session import materialize, shared_dir
 from linelens.sources import archive, registry, tables
 from linelens.sources import views as V
+from linelens.sources.versions import VersionedRegistry
 
 
 def _folder(spark, name):
@@ -112,6 +113,17 @@ def s8(spark, sf):
     return registry.upsert(rows.where("stamp % 2 = 0"), rows.where("stamp % 2 <> 0"), "id", "stamp")
 
 
+@query("s8_registry_versions", f"""WITH v AS (SELECT CAST(1 AS INTEGER) AS version, * FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 2, * FROM orders)
+  SELECT version, o_custkey AS id, max(o_orderkey) AS stamp, {r('arg_max(o_totalprice::DOUBLE, o_orderkey)', 2)} AS payload FROM v GROUP BY version, o_custkey""", digits=2)
+def s8_versions(spark, sf):
+    """The same upserts as a versioned table; the first version is read back after the second."""
+    rows = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("stamp"), F.col("o_totalprice").cast("double").alias("payload"))
+    table = VersionedRegistry(spark, _folder(spark, "s8v"), "id", "stamp", buckets=16)
+    table.upsert(rows.where("stamp % 2 = 0"))
+    table.upsert(rows.where("stamp % 2 <> 0"))
+    return table.read(1).withColumn("version", F.lit(1)).unionByName(table.read(2).withColumn("version", F.lit(2)))
+
+
 @query("s9_registry_latest", f"SELECT o_orderpriority AS kind, max(o_orderkey) AS stamp, {r('arg_max(o_totalprice::DOUBLE, o_orderkey)', 2)} AS payload FROM orders GROUP BY 1", digits=2)
 def s9(spark, sf):
     rows = V.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("stamp"), F.col("o_totalprice").cast("double").alias("payload"))
