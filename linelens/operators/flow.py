@@ -203,6 +203,13 @@ def outside_sequence(stations: DataFrame, sequence: DataFrame) -> DataFrame:
     return stations.select("station").join(F.broadcast(sequence), "station", "left_anti")
 
 
+def compare_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, place) of each distinct value: BOTH (intersect), LEFT or RIGHT (except). A null is a value like any other."""
+    a, b = left.select(key), right.select(key)
+    return a.intersect(b).withColumn("place", F.lit("BOTH")).unionByName(a.subtract(b).withColumn("place", F.lit("LEFT"))).unionByName(
+        b.subtract(a).withColumn("place", F.lit("RIGHT")))
+
+
 # --- timeline
 
 def timeline_columns(columns: list[str], stations: list[str]) -> list[tuple[str, str, str]]:

@@ -522,3 +522,11 @@ def q12_summary(spark, sf):
 @query("q13_recommendation_evidence", f"{_RULES_SQL} SELECT action_type, CAST(sum(CASE WHEN rule = 'scenario' THEN 2 WHEN rule = 'high_utilization' AND CAST(substr(dataset_id, 2) AS INTEGER) % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS entries FROM p GROUP BY action_type")
 def q13(spark, sf):
     return recommend.recommendation_evidence(finished(spark, sf)).groupBy("action_type").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("j13_compare_sets", """WITH a AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0), b AS (SELECT o_custkey AS id FROM orders) SELECT id, 'BOTH' AS place FROM (SELECT id FROM a INTERSECT SELECT id FROM b)
+  UNION ALL SELECT id, 'LEFT' FROM (SELECT id FROM a EXCEPT SELECT id FROM b) UNION ALL SELECT id, 'RIGHT' FROM (SELECT id FROM b EXCEPT SELECT id FROM a)""")
+def j13_sets(spark, sf):
+    """Customers in credit beside customers with orders."""
+    return flow.compare_sets(V.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id")),
+                             V.table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), "id")

@@ -378,6 +378,22 @@ def a1_orders(spark, sf):
     return features.station_metrics_from_profile(profile.classify_roles(profile.column_facts(orders(spark, sf))))
 
 
+_LEVELS = """WITH l AS (SELECT l_returnflag AS "table", l_linenumber AS station, metric, v FROM (SELECT l_returnflag, l_linenumber, 'quantity' AS metric, CAST(l_quantity AS DOUBLE) AS v FROM lineitem
+  UNION ALL SELECT l_returnflag, l_linenumber, 'price', CAST(l_extendedprice AS DOUBLE) FROM lineitem UNION ALL SELECT l_returnflag, l_linenumber, 'discount', CAST(l_discount AS DOUBLE) FROM lineitem) z)"""
+
+
+# the operator reports 6 digits
+@query("a1_metric_levels", f"""{_LEVELS} SELECT "table", station, metric, CAST(grouping("table") * 4 + grouping(station) * 2 + grouping(metric) AS INTEGER) AS level, count(*) AS samples, {r('round(avg(v), 6)')} AS mean, {r('min(v)')} AS "min", {r('max(v)')} AS "max", {r('round(stddev_pop(v), 6)', 3)} AS std_pop
+  FROM l GROUP BY GROUPING SETS (("table", station, metric), (station, metric), (metric), ("table", metric), ())""")
+def a1_levels(spark, sf):
+    """Every order line as a sample of three metrics; station, table, metric and total levels from one pass."""
+    lines = V.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("table"), F.col("l_linenumber").alias("station"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("v")) for m, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"))])).alias("s"))
+    out = features.metric_levels(lines.select("table", "station", "s.*"), ["table", "station", "metric"], "v",
+                                 [["table", "station", "metric"], ["station", "metric"], ["metric"], ["table", "metric"], []])
+    return out.withColumn("std_pop", F.round("std_pop", 3))
+
+
 @query("a2_output_stats", f"{H} SELECT 'throughput_units' AS \"column\", {r('avg(throughput_units)')} AS mean, {r('max(throughput_units)')} AS \"max\", {r('min(throughput_units)')} AS \"min\", count(throughput_units) AS samples FROM h")
 def a2(spark, sf):
     df = hourly(spark, sf)
