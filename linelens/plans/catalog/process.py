@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from linelens.functions import fixed
 from linelens.functions.expr import finite, q, row_mean, row_spread, row_sum
-from linelens.operators import align, clean, features, profile, split
+from linelens.operators import align, clean, features, profile, sketches, split
 from linelens.operators.ordered import rolling_mean, with_row_index
 from linelens.plans.catalog.base import (
     DIRTY_COLUMNS, H, HOURLY_COLUMNS, O, ORDER_COLUMNS, X, dirty, hourly, meta_of, orders, query, r, sql_metric, union_all)
-from linelens.session import materialize
+from linelens.session import materialize, shared_dir
 from linelens.sources import views as V
 
 NUMERIC_H = ["Time_Now", "Demand"] + V.HOURLY_METRICS + ["throughput_units"]
@@ -124,6 +126,36 @@ def p4(spark, sf):
     return profile.common_values(profile.value_counts(df))
 
 
+_BY_FILE = _stats_sql(O, "o", ORDER_COLUMNS, set()).replace(", 4)", ", 2)").replace('uniq AS "unique"', 'CASE WHEN uniq <= 50 THEN uniq END AS "unique"')
+
+
+@query("p1_profile_by_file_orders", _BY_FILE, digits=2)
+def p1_by_file(spark, sf):
+    """Rows that arrive in two batches of files: the second refresh reads the new files only, and the sketches merge."""
+    folder = f"{shared_dir(spark)}/profiles/{uuid.uuid4().hex}"
+    df = orders(spark, sf, keep=True)
+    batch = F.pmod(F.xxhash64("row_key"), F.lit(2))
+    for k in range(2):
+        df.where(batch == k).write.mode("append").parquet(f"{folder}/rows")
+        sketches.refresh(spark, f"{folder}/rows", f"{folder}/sketches")
+    merged = sketches.merge(sketches.current(spark, f"{folder}/rows", f"{folder}/sketches"))
+    exact = F.when(F.col("distinct_exact") & (F.col("unique") <= 50), F.col("unique"))
+    return merged.select("column", "nulls", exact.alias("unique"), "min", "max", "mean", "std")
+
+
+_FEW_COLS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
+_FEW_SQL = "WITH li AS (SELECT l_returnflag, l_linestatus, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _FEW_COLS[2:]) + " FROM lineitem)"
+
+
+@query("p4_common_values_by_file", _common_sql(_FEW_SQL, "li", _FEW_COLS))
+def p4_by_file(spark, sf):
+    """Exact counts of the values of columns with few of them, from the stored sketches of the table's files."""
+    store, path = f"{shared_dir(spark)}/profiles/{uuid.uuid4().hex}", f"{sf}/lineitem.parquet"
+    sketches.refresh(spark, path, store)
+    merged = sketches.merge(sketches.current(spark, path, store))
+    return sketches.common_values(merged.where(F.col("column").isin(_FEW_COLS)))
+
+
 def _null_cells(columns):
     return " + ".join(f"(count(*) - count({c}))" for c in columns)
 
