@@ -194,6 +194,95 @@ def test_wrapped_and_commented_licenses(spark):
             assert r.sentence_ids == ["mit-title", "mit-grant", "mit-include", "mit-warranty", "mit-liability"]
 
 
+GNU = """This {what} is free software{a} you can redistribute it and/or
+modify it under the terms of the GNU {kind}General Public
+License as published by the Free Software Foundation{b} either
+version {v} of the License, or (at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+{kind}General Public License for more details."""
+GNU_2_ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation."""
+BSD_2 = """Copyright (c) 2019, Someone
+All rights reserved.
+
+""" + BSD_3[: BSD_3.index("   * Neither")].rstrip()
+BOOST = """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt or copy at
+http://www.boost.org/LICENSE_1_0.txt)"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+EPL_2 = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/"""
+HEADS = [
+    (GNU.format(what="library", kind="Lesser ", a=";", b=";", v="2.1"), "LGPL-2.1-or-later"),
+    (GNU.format(what="library", kind="Lesser ", a=":", b=",", v="3"), "LGPL-3.0-or-later"),
+    (GNU.format(what="program", kind="Affero ", a=":", b=",", v="3"), "AGPL-3.0-or-later"),
+    (GNU.format(what="program", kind="", a=";", b=";", v="2"), "GPL-2.0-or-later"),
+    (GNU.format(what="program", kind="", a=";", b=";", v="3"), "GPL-3.0-or-later"),
+    (GNU.format(what="program", kind="", a=":", b=",", v="3"), "GPL-3.0-or-later"),
+    (GNU_2_ONLY, "GPL-2.0-only"), (BSD_2, "BSD-2-Clause"), (BOOST, "BSL-1.0"), (ZLIB, "Zlib"), (EPL_2, "EPL-2.0")]
+TAGS = [
+    ("GPL-2.0-or-later", "GPL-2.0-or-later"), ("GPL-2.0-only", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0"), ("GPL-2.0+", "GPL-2.0-or-later"), ("LGPL-2.1-only", "LGPL-2.1-only"),
+    ("MIT OR Apache-2.0", "MIT,Apache-2.0"), ("(MIT AND BSD-3-Clause) OR GPL-3.0-or-later", "GPL-3.0-or-later,BSD-3-Clause,MIT"),
+    ("GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-only"), ("GPL-2.0-or-later WITH Linux-syscall-note OR MIT", "GPL-2.0-or-later,MIT"),
+    ("Unheard-Of-1.0", ""), ("MIT OR Unheard-Of-1.0", "MIT"), ("MIT AND MIT", "MIT")]
+
+
+def _licenses_of(spark, texts):
+    made = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "doc_id string, text string")
+    return {int(r.doc_id): (r.sentence_ids, r.licenses) for r in licenses.license_scan(made).collect()}
+
+
+def test_license_heads(spark):
+    texts = [(start + "\n".join((lead + line).rstrip() for line in text.split("\n")) + end, want) for text, want in HEADS for start, lead, end in (("", "", ""), ("#!/bin/sh\n", "# ", "\nimport os"), ("/*\n", " * ", "\n */\nint x;"))]
+    got = _licenses_of(spark, [t for t, _ in texts])
+    for k, (text, want) in enumerate(texts):
+        assert got[k][1] == [want], (text, got[k])
+
+
+def test_license_tags(spark):
+    frames = ("{}", "// {}\nint x;", "<!-- {} -->", "/* {} */")
+    texts = [(f.format("SPDX-License-Identifier: " + e), want) for e, want in TAGS for f in frames]
+    got = _licenses_of(spark, [t for t, _ in texts])
+    for k, (text, want) in enumerate(texts):
+        assert sorted(got[k][1]) == sorted(filter(None, want.split(","))), (text, got[k])
+    assert got[5 * len(frames)][0] == ["spdx", "name-mit", "spdx", "name-apache-2"]
+
+
+def test_reserved_counts_only_without_a_license_after_it(spark):
+    texts = ["All rights reserved.", "All rights reserved.\nReleased under the MIT License.", "Released under the MIT License.\nAll rights reserved.", "All rights reserved.\nReleased under the MIT License.\nAll rights reserved."]
+    assert [got[1] for _, got in sorted(_licenses_of(spark, texts).items())] == [["Proprietary"], ["MIT"], ["MIT", "Proprietary"], ["MIT", "Proprietary"]]
+
+
+def test_license_twin_on_wrapped_texts(spark, rows):
+    """The SQL of the query and the operator agree on heads, tags, wrapped and commented texts, and the awkward corpus."""
+    import duckdb
+    import pyarrow as pa
+
+    frames = ("", "# ", " * ", "// ", "dnl ")
+    texts = [t for t, _ in HEADS] + [GPL_3, MPL_2, FULL_MIT, ISC, BSD_3] + ["SPDX-License-Identifier: " + e for e, _ in TAGS] + ["a\nb\nc\nd\n\ne", "x.\x01Released under the MIT License.\x01", " \n ", ""]
+    texts = ["\n".join(lead + line for line in t.split("\n")) for t in texts for lead in frames] + [t for _, t, _ in rows] + [None]
+    texts += ["\r\n".join(t.split("\n")) for t in texts if t] + [a + " " + b for a, b in zip(texts[:40], texts[7:47]) if a and b]
+    made = [(k, t) for k, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [k for k, _ in made], "text": pa.array([t for _, t in made], pa.string())}))
+    want = {r[0]: r[1:] for r in con.execute(licenses.ORACLE_SQL).fetchall()}
+    got = licenses.license_scan(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert len(got) == len(want) == len(made)
+    for r in got:
+        assert want[r.doc_id] == (len(r.sentence_ids), ",".join(r.sentence_ids), ",".join(r.licenses)), made[r.doc_id]
+
+
 AWKWARD = ["it's we'LL don't 'S", "a  b\n\n c \t", "''''s __x__ 12½ ٣", "日本語 text ​ é é", "<|endoftext|> x <|startoftext|>", "x" * 500, "\r\n\x0b\x1c\x85 ", "ĳĲ ŉ İı ſ µ ² ª ß ẞ"]
 
 
