@@ -1,16 +1,15 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Largest inner product is nearest direction among vectors of like length: vectors are classed by length, a class
-for each factor of sqrt 2 (length 1 in the middle of one), and a query looks into every class. In a class of more
-than SCAN vectors each of TABLES tables turns the directions by three rounds of random signs and a fast Hadamard
-transform and assigns a vector to the nearest signed axis; a query looks into the PROBES cells of each table whose
-axes lie nearest to it. Smaller classes, where a neighbour need not lie near, are looked through whole. Vectors
-found are ranked by exact inner products in double precision.
+for each factor of sqrt 2 (length 1 in the middle of one), and a query looks into every class. In each class, whatever
+its size, each of TABLES tables turns the directions by three rounds of random signs and a fast Hadamard transform and
+assigns a vector to the nearest signed axis; a query looks into the PROBES cells of each table whose axes lie nearest
+to it. Vectors found are ranked by exact inner products in double precision.
 
 Equal vectors are hashed once: a distinct vector carries its k + 1 smallest ids, which is all that ties to
 smaller ids can need. Cells are cut into blocks of at most BLOCK vectors and chunks of at most BLOCK queries,
 so no task grows with a cell, and each block returns k candidates a query. A query that has found fewer than
-k looks into all cells of the first table and all small classes, that is at every vector. Classes are few (a
+k looks into all cells of the first table, that is at every vector. Classes are few (a
 double has about 4,200), so their counts are broadcast.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
@@ -32,10 +31,8 @@ from linelens.session import materialize
 NAME = "op1_nearest_neighbours"
 K = 20
 TABLES = 12
-PROBES = 16
+PROBES = 24
 BLOCK = 2048
-SCAN = 2048
-PARTS = 16
 SEED = 20240601
 
 
@@ -163,7 +160,7 @@ def _candidates(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     return found
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES, scan: int = SCAN) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows found for every query row."""
     v = F.col("embedding").cast("array<double>")
     usable = F.size("v") > 0
@@ -175,23 +172,19 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, tables: int = T
     members = materialize(firsts.groupBy("content").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
     distinct = rows.join(members.select(F.col("rep").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("rep"), F.size("v").alias("dim"), "v")
     hashed = materialize(_hash(distinct.withColumn("length", length_class(F.col("v"))), tables, 1))
-    classes = materialize(hashed.groupBy("dim", "length").agg((F.count(F.lit(1)) > scan).alias("large")))
-    # places: table, class and cell; small classes are table ``tables`` and one class, dealt over PARTS cells
     place = lambda t, length, cell: F.struct(t.cast("int").alias("t"), length.cast("int").alias("length"), cell.cast("int").alias("cell"))
-    small = lambda cell: place(F.lit(tables), F.lit(0), cell)
-    places = F.when(F.col("large"), F.transform("cells", lambda c, t: place(t, F.col("length"), c))).otherwise(F.array(small(F.pmod(F.xxhash64("rep"), F.lit(PARTS)))))
-    index = hashed.join(F.broadcast(classes), ["dim", "length"]).select("rep", "dim", "v", F.explode(places).alias("p")).select("rep", "dim", "v", "p.*")
+    places = F.transform("cells", lambda c, t: place(t, F.col("length"), c))
+    index = hashed.select("rep", "dim", "v", F.explode(places).alias("p")).select("rep", "dim", "v", "p.*")
     queries = materialize(_hash(rows.where(is_query).select(F.col("vec_id").alias("q"), F.size("v").alias("dim"), "v"), tables, probes))
-    held = classes.groupBy("dim").agg(F.collect_list(F.when(F.col("large"), F.col("length"))).alias("lengths"), F.bool_or(~F.col("large")).alias("some_small"))
+    classes = hashed.groupBy("dim").agg(F.collect_set("length").alias("lengths"))
     near = F.flatten(F.transform("lengths", lambda n: F.transform("cells", lambda c, i: place(F.floor(i / probes), n, c))))
-    whole = F.when(F.col("some_small"), F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), small)).otherwise(F.array().cast("array<struct<t:int,length:int,cell:int>>"))
-    asked = queries.join(F.broadcast(held), "dim").select("q", "dim", "v", F.explode(F.concat(near, whole)).alias("p")).select("q", "dim", "v", "p.*")
+    asked = queries.join(F.broadcast(classes), "dim").select("q", "dim", "v", F.explode(near).alias("p")).select("q", "dim", "v", "p.*")
     found = materialize(_candidates(index, asked, k + 1))
     # queries that met fewer than k other rows: every cell of table 0 and of the small classes
     listed = found.select("q", F.explode("found").alias("rep")).distinct().join(members, "rep")
     known = listed.groupBy("q").agg(F.sum(F.size(F.filter("ids", lambda i: i != F.col("q")))).alias("n"))
     few = queries.select("q", "dim", "v").join(known.where(F.col("n") >= k), "q", "left_anti")
-    once = index.where(F.col("t").isin(0, tables))
+    once = index.where(F.col("t") == 0)
     cells = materialize(once.select("dim", "t", "length", "cell").distinct())
     every = materialize(few.join(cells, "dim").select("q", "dim", "v", "t", "length", "cell"))
     found = found.unionByName(_candidates(once, every, k + 1))

@@ -46,7 +46,7 @@ def test_neighbours_of_unequal_lengths(spark):
     for table in (x, mixed):
         df = spark.createDataFrame([(k, v) for k, v in enumerate(table.tolist())], "vec_id long, embedding array<double>")
         got = defaultdict(set)
-        for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0, scan=500).collect():
+        for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect():
             got[r.query_id].add(r.vec_id)
         s = table[::100] @ table.T
         s[np.arange(40), np.arange(40) * 100] = -np.inf
@@ -55,6 +55,20 @@ def test_neighbours_of_unequal_lengths(spark):
     assert Counter(r.n for r in spark.createDataFrame([([3e200, 4e200],), ([3e-200, 4e-200],)], "v array<double>").select(neighbours.length_class(F.col("v")).alias("n")).collect()) == Counter([1333, -1324])
 
 
+def test_small_tables_are_hashed_too(spark):
+    table = np.random.default_rng(11).normal(size=(500, 64))
+    table /= np.linalg.norm(table, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(table.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    s = table[::20] @ table.T
+    s[np.arange(25), np.arange(25) * 20] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    recall = sum(len(got[20 * q] & set(w.tolist())) for q, w in enumerate(want)) / want.size
+    assert 0.95 <= recall and all(len(f) == 20 for f in got.values())
+
+
 def test_few_vectors_give_all_candidates(spark):
     df = spark.createDataFrame([(k, [float(k + 1), 1.0]) for k in range(0, 60, 10)], "vec_id long, embedding array<double>")
     got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()
