@@ -17,7 +17,7 @@ from linelens.functions import fixed
 from linelens.functions.expr import (
     at_least, at_most, corr_sql, finite, finite_sql, is_numeric, literal, q, rounded, stack_rows, stack_sql, to_long, two_sided_p, weighted_score)
 from linelens.functions.tails import correlation_p
-from linelens.operators.ordered import attach_ranks, average_ranks, exact_quantiles, running_sums, with_row_index
+from linelens.operators.ordered import attach, average_ranks, cumulative, exact_quantiles, running_sums, with_row_index
 from linelens.operators.profile import varying
 from linelens.operators.split import seeded_key, with_previous
 from linelens.session import materialize
@@ -118,30 +118,30 @@ def correlations(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
 def spearman(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
     """Average-rank correlation per factor, exact on all rows.
 
-    Rows collapse to distinct (x, y) pairs first. Ranks come from the distinct values;
-    the target is ranked once for all factors without gaps.
+    The target is ranked once for all factors: a distinct value counts the rows of each factor, so gaps need no
+    second ranking. Its ranks are then summed by distinct factor value, and no row is joined to a factor's rank.
     """
-    yy = finite(q(y))
-    gaps = df.where(yy.isNotNull()).selectExpr("count(1) AS n", *[f"count({finite_sql(c)}) AS c{i}" for i, c in enumerate(factors)]).first()
-    gapless = [c for i, c in enumerate(factors) if gaps[f"c{i}"] == gaps["n"]]
-    base = df.where(yy.isNotNull()).select(yy.alias("y"), *[finite(q(c)).alias(c) for c in factors])
-    long = base.unpivot(["y"], [q(c) for c in factors], "factor", "x").where("x is not null")
-    yset = F.when(F.col("factor").isin(gapless), "*").otherwise(F.col("factor")) if gapless else F.col("factor")
-    # kept once: four passes below read it
-    pairs = materialize(long.groupBy("factor", "x", "y").agg(F.count(F.lit(1)).alias("w")).withColumn("yset", yset))
-    x_ranks = average_ranks(pairs, ["factor"], "x", weight=F.col("w"))
-    y_rows = pairs.where(F.col("yset") != "*").select("yset", "y", "w")
-    if gapless:  # one ranking of the whole target serves all of them
-        y_rows = y_rows.unionByName(pairs.where(F.col("factor") == gapless[0]).select("yset", "y", "w"))
-    y_ranks = average_ranks(y_rows, ["yset"], "y", weight=F.col("w"))
-    total = pairs.agg(F.sum("w").alias("t")).first()["t"] or 0
-    ranked = attach_ranks(pairs, x_ranks, ["factor"], "x", "rx", total)
-    ranked = attach_ranks(ranked, y_ranks, ["yset"], "y", "ry", gaps["n"])
-    sizes = pairs.groupBy("factor").agg(F.sum("w").alias("n"))
-    centred = ranked.join(F.broadcast(sizes), "factor").select(  # one row per factor
-        "factor", "w", "n", (F.col("rx") - (F.col("n") + 1) / 2).alias("a"), (F.col("ry") - (F.col("n") + 1) / 2).alias("b"))
-    w, a, b = F.col("w"), F.col("a"), F.col("b")
-    sums = centred.groupBy("factor").agg(F.max("n").alias("n"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
+    # kept once: the passes below read it
+    names = [f"x{i}" for i in range(len(factors))]
+    base = materialize(df.where(finite(q(y)).isNotNull()).select(finite(q(y)).alias("y"), *[finite(q(c)).alias(n) for c, n in zip(factors, names)]))
+    sizes = base.agg(F.count(F.lit(1)).alias("total"), *[F.count(n).alias(n) for n in names]).first()
+    # of the target: a row a distinct value with its count beside each factor, and its centred rank there
+    levels = base.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *[F.count(n).alias(f"c{i}") for i, n in enumerate(names)])
+    placed = cumulative(levels, [], ["y"], {f"c{i}": F.col(f"c{i}") for i in range(len(factors))})
+    centred = lambda i: F.col(f"before_c{i}") + (F.col(f"c{i}") + 1) / 2.0 - (sizes[f"x{i}"] + 1) / 2.0
+    y_ranks = materialize(placed.select("y", "n", *[f"c{i}" for i in range(len(factors))], *[centred(i).alias(f"b{i}") for i in range(len(factors))]))
+    spread = y_ranks.agg(*[F.sum(F.col(f"c{i}") * F.col(f"b{i}") * F.col(f"b{i}")).alias(f"bb{i}") for i in range(len(factors))])
+    spread = stack_rows(spread, [{"factor": F.lit(c), "bb": F.col(f"bb{i}")} for i, c in enumerate(factors)])
+    # of a factor: a row a distinct value with the sum of the target's ranks beside it
+    ranked = attach(base, y_ranks.select("y", "n", *[f"b{i}" for i in range(len(factors))]), ["y"], total=sizes["total"])
+    cells = F.arrays_zip(F.array(*names).alias("x"), F.array(*[f"b{i}" for i in range(len(factors))]).alias("b"))
+    long = ranked.select(F.posexplode(cells).alias("i", "s")).select("i", "s.x", "s.b").where("x is not null")
+    per_x = average_ranks(long, ["i"], "x", {"b": F.col("b")})
+    label = F.get(F.array(*[F.lit(c) for c in factors]), F.col("i")).alias("factor")
+    held = F.get(F.array(*[F.lit(sizes[n]) for n in names]), F.col("i"))
+    a = F.col("avg_rank") - (held + 1) / 2.0
+    sums = per_x.select(label, "n", "b", a.alias("a")).groupBy("factor").agg(
+        F.sum("n").alias("n"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("n") * F.col("a") * F.col("a")).alias("aa")).join(F.broadcast(spread), "factor")
     ok = (F.col("n") >= 30) & (F.col("aa") > 0) & (F.col("bb") > 0)
     r = F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))
     return sums.select("factor", "n", F.when(ok, rounded(r)).alias("spearman_r"), F.when(ok, rounded(correlation_p(r, F.col("n")), 8)).alias("spearman_p"))

@@ -1,5 +1,7 @@
 """Planted causes, drift, stations, economics, language and recommendations."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,28 @@ def test_gate_rejects_control_and_empty_evidence(spark):
 def test_priority(spark):
     row = spark.range(1).select(recommend.priority(F.lit("HIGH_EVIDENCE"), F.lit(True), F.lit(None).cast("boolean"), F.lit(True)).alias("p")).first()
     assert row["p"] == 12.0
+
+
+def test_spearman_joins_rows_once_to_the_target_ranks(spark, monkeypatch):
+    """One join for all factors, by the target alone; before, every (factor, x, y) pair was joined twice."""
+    keys, attach = [], evidence.attach
+    monkeypatch.setattr(evidence, "attach", lambda rows, lookup, on, **how: keys.append(on) or attach(rows, lookup, on, **how))
+    df = spark.range(300).select(F.when(F.col("id") % 3 != 0, F.col("id") % 5).alias("a"), (F.col("id") * 7 % 11).alias("b"), F.lit(None).cast("long").alias("c"), (F.col("id") * 13 % 97 * 1.0).alias("y"))
+    got = {r["factor"]: (r["n"], r["spearman_r"]) for r in evidence.spearman(df, "y", ["a", "b", "c"]).collect()}
+    p = df.toPandas()
+    assert keys == [["y"]] and set(got) == {"a", "b"}
+    for c in "ab":
+        both = p[[c, "y"]].dropna()
+        assert got[c] == (len(both), pytest.approx(both[c].rank().corr(both["y"].rank()), abs=1e-6))
+
+
+def test_mutual_information_counts_cells_with_gaps(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") % 4 != 0, F.col("id") * 7 % 13 * 1.0).alias("a"), F.when(F.col("id") % 9 != 0, F.col("id") * 11 % 17 * 1.0).alias("y"))
+    row = evidence.mutual_information(df, "y", ["a"], "id").first()
+    p = df.toPandas()
+    cut = lambda s: sum((s > e).astype(int) for e in s.quantile([k / 16 for k in range(1, 16)])).where(s.notna())
+    both = p.assign(a=cut(p["a"]), y=cut(p["y"]))[["a", "y"]].dropna()
+    n = len(both)
+    pa, py = both["a"].value_counts() / n, both["y"].value_counts() / n
+    want = sum(c / n * math.log(c / n / (pa[a] * py[y])) for (a, y), c in both.value_counts().items())
+    assert row["n"] == n and row["mi"] == pytest.approx(want, abs=1e-5)
