@@ -41,6 +41,18 @@ def to_number(c: Column) -> Column:
     return finite(c.try_cast("double"))
 
 
+def count_below(c: Column, edges: list, over: bool = False) -> Column:
+    """How many of the sorted ``edges`` lie below ``c`` (``over``: below it or equal), by halving: a few comparisons a value, whatever the number of edges."""
+
+    def step(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        m = (a + b) // 2
+        return F.when(c >= edges[m] if over else c > edges[m], step(m + 1, b)).otherwise(step(a, m))
+
+    return step(0, len(edges))
+
+
 def at_most(c: Column, top: float) -> Column:
     """Clipped from above; null stays null (least() would skip it)."""
     return F.when(c > top, F.lit(float(top))).otherwise(c)

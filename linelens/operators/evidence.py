@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from linelens.functions import fixed
 from linelens.functions.expr import (
-    at_least, at_most, corr_sql, finite, finite_sql, is_numeric, literal, q, rounded, stack_rows, stack_sql, to_long, two_sided_p, weighted_score)
+    at_least, at_most, corr_sql, count_below, finite, finite_sql, is_numeric, literal, q, rounded, stack_rows, stack_sql, to_long, two_sided_p, weighted_score)
 from linelens.functions.tails import correlation_p
 from linelens.operators.ordered import attach, average_ranks, cumulative, exact_quantiles, running_sums, with_row_index
 from linelens.operators.profile import varying
@@ -148,7 +148,7 @@ def spearman(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
 
 
 def _bin(c: Column, edges: list[float]) -> Column:
-    return F.when(c.isNotNull(), reduce(lambda a, b: a + b, [(c > e).cast("int") for e in edges], F.lit(0)))
+    return F.when(c.isNotNull(), count_below(c, edges))
 
 
 def binned(df: DataFrame, columns: list[str], keep: list[Column], bins: int = MI_BINS) -> DataFrame:
@@ -166,12 +166,16 @@ def mutual_information(df: DataFrame, y: str, factors: list[str], row_key: str,
     """
     narrow = binned(df, [y, *factors], [seeded_key(seed, q(row_key)).alias("_h")], bins).withColumnRenamed("b_0", "by")
     paired = with_previous(narrow, ["_h"], ["by"]).withColumnRenamed("_prev_by", "bp")
-    cells = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(f"b_{i + 1}").alias("bx")) for i, c in enumerate(factors)])
-    long = paired.select("by", "bp", F.explode(cells).alias("s")).select(
-        F.col("s.factor").alias("factor"), F.col("s.bx").alias("bx"), F.explode(F.array(
-            F.struct(F.lit(0).alias("side"), F.col("by").alias("b")), F.struct(F.lit(1).alias("side"), F.col("bp").alias("b")))).alias("t"))
-    table = long.where("bx is not null and t.b is not null").groupBy("factor", "t.side", "bx", "t.b").agg(F.count(F.lit(1)).alias("n"))
-    table = table.toDF("factor", "side", "bx", "b", "n")
+    # one number a cell (factor, bx, by, bp), a missing bin counting as ``bins``: at most (bins + 1)^3 rows a factor leave a task
+    wide = bins + 1
+    code = lambda c: F.coalesce(F.col(c), F.lit(bins))
+    cells = F.array(*[((F.lit(i).cast("long") * wide + F.col(f"b_{i + 1}")) * wide + code("by")) * wide + code("bp") for i in range(len(factors))])
+    counts = paired.select(F.explode(cells).alias("c")).where("c is not null").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    digit = lambda place: F.floor(F.col("c") / F.lit(wide**place)).cast("int")
+    names = F.array(*[F.lit(c) for c in factors])
+    table = counts.select(F.get(names, digit(3)).alias("factor"), (digit(2) % wide).alias("bx"), "n", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), (digit(1) % wide).alias("b")), F.struct(F.lit(1).alias("side"), (digit(0) % wide).alias("b")))).alias("t"))
+    table = table.where(F.col("t.b") < bins).groupBy("factor", "t.side", "bx", "t.b").agg(F.sum("n").alias("n")).toDF("factor", "side", "bx", "b", "n")
     # at most bins * bins rows per factor and side from here on
     key = ["factor", "side"]
     total = F.sum("n").over(W.partitionBy(*key))

@@ -111,3 +111,25 @@ def test_share_below(spark):
     ask = spark.createDataFrame([(1, "a", 2.0), (2, "a", 0.5), (3, "a", 10.0)], "id int, c string, d double")
     got = {r["id"]: r["s"] for r in ordered.share_below(ask, ref, ["c"], "d", "s").collect()}
     assert got == {1: 0.2, 2: 0.0, 3: 1.0}
+
+
+def test_counting_edges_takes_a_few_comparisons(spark):
+    """Quantile ranges and bins place a value by halving; a column with 15 edges took 15 comparisons a bin and 30 a range."""
+    from linelens.functions.expr import count_below
+
+    edges = [0.0, 1.0, 1.0, 2.5, 4.0, 7.0, 7.5]
+    rows = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 0.5, 1.0, 2.5, 3.0, 7.0, 7.2, 9.0)], "v double")
+    for r in rows.select("v", count_below(F.col("v"), edges).alias("a"), count_below(F.col("v"), edges, over=True).alias("b")).collect():
+        assert (r.a, r.b) == (sum(e < r.v for e in edges), sum(e <= r.v for e in edges))
+    assert rows.select(count_below(F.col("v"), []).alias("a")).distinct().collect()[0].a == 0
+
+
+def test_brackets_of_one_column_may_touch(spark):
+    df = spark.range(300).select((F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") < 40, F.col("id") * 1.0).alias("y"))
+    ps = [k / 16 for k in range(17)]
+    got = ordered.exact_quantiles(df, {"x": ps, "y": ps}, slack=0.03)
+    for c, n in (("x", 300), ("y", 40)):
+        values = sorted(i % 7 * 1.0 if c == "x" else i * 1.0 for i in range(n))
+        for p, v in zip(ps, got[c]):
+            h = (n - 1) * p
+            assert v == pytest.approx(values[int(h)] + (values[min(int(h) + 1, n - 1)] - values[int(h)]) * (h - int(h)))
