@@ -80,3 +80,50 @@ def test_the_setting_of_other_streams_stays(spark):
     with stream.keyed_state(spark):
         assert "RocksDB" in spark.conf.get(stream.STATE_STORE)
     assert spark.conf.get(stream.STATE_STORE) == before
+
+
+class Handle:
+    """State and timers of one source, counting what is asked of them."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, [], []
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at_ms):
+        self.calls.append("timer")
+        self.timers.append(at_ms)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_known_source_costs_one_read_and_one_write():
+    from pyspark.sql import Row
+
+    handle, history = Handle(), stream._History(3, 1000)
+    history.init(handle)
+    frame = lambda i: Row(at=i * 1_000_000, inspection_id=i, decision="PASS", confidence=None)
+    list(history.handleInputRows(("a",), iter([frame(1)]), Mark(0)))
+    assert handle.calls == ["get", "update", "timer"] and handle.timers == [2000]
+    out = list(history.handleInputRows(("a",), iter([frame(k) for k in (2, 3, 4)]), Mark(0)))
+    assert handle.calls[3:] == ["get", "update"] and [f.inspection_id for f in out[0].frames] == [4, 3, 2]
+    assert list(history.handleExpiredTimer(("a",), Mark(2500), None)) == [] and handle.timers == [2000, 5000] and handle.value
+    assert list(history.handleExpiredTimer(("a",), Mark(5000), None)) == [] and handle.value is None
