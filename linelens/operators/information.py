@@ -1,13 +1,15 @@
 """Mutual information by nearest neighbours, on all rows, without comparing all pairs.
 
 Rows collapse to distinct weighted points, so a value that a third of the rows hold is one coordinate. Points are cut
-into strips by x and cells by y, both of even size; a task compares the points of a cell. The radius found there bounds
-which other cells can hold a nearer point, and a point visits only those. Rows inside the radius along one axis are
-counted in sorted order by cumulative sums.
+into strips by x and cells by y, both of even size; in a cell, leaves of a few points stand in for a tree, and a point is
+compared with those its radius reaches. A point whose radius stays in its cell is done; the others, near a border, visit
+the cells that can hold a nearer point. Rows inside the radius along one axis are
+counted by cumulative sums, of a list of values where an axis has few, in sorted order otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -21,7 +23,9 @@ from linelens.operators.split import seeded_key, with_previous
 from linelens.session import materialize
 
 NEIGHBOURS = 3
-CELL = 1000
+CELL = 4000
+LEAF = 32
+FEW_VALUES = 4096
 _SLICE = 512
 
 
@@ -34,28 +38,81 @@ def digamma(n: Column) -> Column:
     return F.ln(z) - F.lit(0.5) / z - tail - low
 
 
-def _nearest(x, y, px, py, pw, k: int):
-    """Distances (max-norm) and weights of the k + 1 nearest points of each (x, y), in slices of bounded size."""
-    m = min(k + 1, len(px))
-    for a in range(0, len(x), _SLICE):
-        d = np.maximum(np.abs(x[a:a + _SLICE, None] - px[None, :]), np.abs(y[a:a + _SLICE, None] - py[None, :]))
-        at = np.argpartition(d, m - 1, axis=1)[:, :m]
-        near = np.take_along_axis(d, at, axis=1)
-        order = np.argsort(near, axis=1, kind="stable")
-        yield a, np.take_along_axis(near, order, axis=1), pw[np.take_along_axis(at, order, axis=1)]
+class _Leaves:
+    """Points of a cell in leaves of a few neighbours, each with its box."""
 
+    def __init__(self, x, y, w):
+        n = len(x)
+        strips = max(1, int(np.sqrt(n / LEAF)))
+        per = -(-n // (strips * LEAF)) * LEAF
+        strip = np.empty(n, dtype=np.int64)
+        strip[np.lexsort((y, x))] = np.arange(n) // per
+        order = np.lexsort((x, y, strip))
+        filled = lambda v, empty: np.concatenate([v[order], np.full(-n % LEAF, empty, dtype=v.dtype)]).reshape(-1, LEAF)
+        self.x, self.y, self.w = filled(x, np.inf), filled(y, np.inf), filled(w, 0)
+        self.of = np.empty(n, dtype=np.int64)
+        self.of[order] = np.arange(n) // LEAF
+        top = lambda v: np.where(np.isinf(v), -np.inf, v).max(axis=1)
+        self.box = self.x.min(axis=1), top(self.x), self.y.min(axis=1), top(self.y)
+
+    def distances(self, x, y, leaf, k: int):
+        """Distances (max-norm) and weights of the k + 1 nearest points of a leaf to each (x, y), in no order."""
+        d = np.maximum(np.abs(x[:, None] - self.x[leaf]), np.abs(y[:, None] - self.y[leaf]))
+        at = np.argpartition(d, min(k, LEAF - 1), axis=1)[:, :k + 1]
+        return np.take_along_axis(d, at, axis=1), np.take_along_axis(self.w[leaf], at, axis=1)
+
+    def nearest(self, x, y, r, k: int):
+        """Distances and weights of the k + 1 nearest points up to r from each (x, y), in order; infinity and 0 where there are fewer."""
+        ds, ws = np.full((len(x), k + 1), np.inf), np.zeros((len(x), k + 1), dtype=np.int64)
+        x0, x1, y0, y1 = self.box
+        for a in range(0, len(x), _SLICE):
+            part = slice(a, a + _SLICE)
+            qx, qy, qr = x[part], y[part], r[part]
+            of, leaf = np.nonzero((x0 <= (qx + qr)[:, None]) & (x1 >= (qx - qr)[:, None]) & (y0 <= (qy + qr)[:, None]) & (y1 >= (qy - qr)[:, None]))
+            d, w = self.distances(qx[of], qy[of], leaf, k)
+            of, d, w = np.repeat(of, d.shape[1]), d.ravel(), w.ravel()
+            inside = (d <= qr[of]) & (w > 0)
+            of, d, w = of[inside], d[inside], w[inside]
+            order = np.lexsort((d, of))
+            of, d, w = of[order], d[order], w[order]
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            first = place <= k
+            ds[a + of[first], place[first]] = d[first]
+            ws[a + of[first], place[first]] = w[first]
+        return ds, ws
+
+
+def _kth(ds, ws, k: int):
+    """Distance at which k rows besides the row itself are reached. The row is no neighbour; its copies are, at distance 0."""
+    enough = np.cumsum(ws, axis=1) - 1 >= k
+    return np.where(enough.any(axis=1), ds[np.arange(len(ds)), enough.argmax(axis=1)], np.inf)
+
+
+def _in_cell(k: int, walls: dict):
+    """Radius of every point among its cell's points; where that reaches beyond the cell, also the nearest so far and the strips to visit."""
 
-def _in_cell(k: int):
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         x, y, w = (cell[c].to_numpy() for c in ("x", "y", "w"))
-        ds, ws, rs = [], [], []
-        for _, d, u in _nearest(x, y, x, y, w, k):
-            # the row itself is no neighbour; its copies are, at distance 0
-            enough = np.cumsum(u, axis=1) - 1 >= k
-            first = enough.argmax(axis=1)
-            rs += list(np.where(enough.any(axis=1), d[np.arange(len(d)), first], np.inf))
-            ds, ws = ds + d.tolist(), ws + u.tolist()
-        return pd.DataFrame({"id": cell["id"], "g": cell["g"], "strip": cell["strip"], "cell": cell["cell"], "x": x, "y": y, "w": w, "r": rs, "ds": ds, "ws": ws})
+        ask = np.flatnonzero(w <= k)  # the others have k copies
+        r = np.zeros(len(x))
+        ds, ws, strips = (np.full(len(x), None, dtype=object) for _ in range(3))
+        if len(ask):
+            leaves = _Leaves(x, y, w)
+            qx, qy = x[ask], y[ask]
+            d, u = leaves.distances(qx, qy, leaves.of[ask], k)
+            order = np.argsort(d, axis=1, kind="stable")
+            bound = _kth(np.take_along_axis(d, order, axis=1), np.take_along_axis(u, order, axis=1), k)
+            near, rows = leaves.nearest(qx, qy, bound, k)
+            qr = _kth(near, rows, k)
+            r[ask] = qr
+            own, sx0, sx1, sy0, sy1 = walls[int(cell["g"].iloc[0])]
+            meets = (sx0 < (qx + qr)[:, None]) & (sx1 > (qx - qr)[:, None]) & (sy0 < (qy + qr)[:, None]) & (sy1 > (qy - qr)[:, None])
+            # the other cells of the own strip lie below and above this one
+            meets[:, own == int(cell["strip"].iloc[0])] = ((qy - qr < y.min()) | (qy + qr > y.max()))[:, None]
+            for i in np.flatnonzero(meets.any(axis=1)):
+                some = rows[i] > 0
+                ds[ask[i]], ws[ask[i]], strips[ask[i]] = near[i][some], rows[i][some], own[meets[i]]
+        return pd.DataFrame({"id": cell["id"], "g": cell["g"], "strip": cell["strip"], "cell": cell["cell"], "x": x, "y": y, "w": w, "r": r, "ds": ds, "ws": ws, "strips": strips})
 
     return run
 
@@ -64,69 +121,127 @@ def _visit(k: int):
     def run(visits: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
         if not len(visits) or not len(cell):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "ds": pd.Series(dtype=object), "ws": pd.Series(dtype=object)})
-        ds, ws = [], []
-        for _, d, u in _nearest(visits["x"].to_numpy(), visits["y"].to_numpy(), *(cell[c].to_numpy() for c in ("x", "y", "w")), k):
-            ds, ws = ds + d.tolist(), ws + u.tolist()
-        return pd.DataFrame({"id": visits["id"], "ds": ds, "ws": ws})
+        near, rows = _Leaves(*(cell[c].to_numpy() for c in ("x", "y", "w"))).nearest(*(visits[c].to_numpy() for c in ("x", "y", "r")), k)
+        some = rows > 0
+        hit = np.flatnonzero(some.any(axis=1))
+        return pd.DataFrame({"id": visits["id"].to_numpy()[hit], "ds": pd.Series([near[i][some[i]] for i in hit], dtype=object), "ws": pd.Series([rows[i][some[i]] for i in hit], dtype=object)})
+
+    return run
+
+
+def _with_strip(borders: dict):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            strip = np.zeros(len(b), dtype=np.int32)
+            for g in b["g"].unique():
+                at = np.flatnonzero(b["g"] == g)
+                strip[at] = np.searchsorted(borders[g], b["x"].to_numpy()[at], side="right") - 1
+            yield b.assign(strip=strip)
 
     return run
 
 
 def _cells(points: DataFrame, size: int) -> DataFrame:
-    """Strips of even size along x and, in each, cells of even size along y: ``size`` to twice as many points a cell."""
+    """Strips along x and, in each, cells of even size along y: ``size`` to twice as many points a cell.
+
+    A value of x is in one strip, however many points have it, so strips of a column of few values do not touch.
+    """
     groups = points.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))  # two rows a factor
     strips = at_least(F.floor(F.sqrt(F.col("_n") / size)), 1)
-    placed = cumulative(points, ["g"], ["x", "y"], {"p": F.lit(1)}).join(F.broadcast(groups), "g").withColumn(
-        "strip", F.floor(F.col("before_p") * strips / F.col("_n")).cast("int")).drop("before_p", "_n")
-    rows = materialize(placed)
-    of = rows.groupBy("g", "strip").agg(F.count(F.lit(1)).alias("_n"))
-    cells = at_least(F.floor(F.col("_n") / size), 1)
+    values = points.groupBy("g", "x").agg(F.count(F.lit(1)).alias("p"))
+    placed = cumulative(values, ["g"], ["x"], {"p": F.col("p")}).join(F.broadcast(groups), "g").withColumn(
+        "strip", F.floor(F.col("before_p") * strips / F.col("_n")).cast("int"))
     # one row a strip, of which there are as many as the square root of the points
-    return materialize(cumulative(rows, ["g", "strip"], ["y", "x"], {"p": F.lit(1)}).join(of, ["g", "strip"]).withColumn(
+    borders: dict = {}
+    for g, x in placed.groupBy("g", "strip").agg(F.min("x").alias("x")).select("g", "x").orderBy("g", "x").collect():
+        borders.setdefault(g, []).append(x)
+    rows = points.mapInPandas(_with_strip({g: np.array(x) for g, x in borders.items()}), "g int, x double, y double, w long, id long, strip int")
+    runs = cumulative(rows, ["g", "strip"], ["y", "x"], {"p": F.lit(1)})
+    of = runs.groupBy("g", "strip").agg(F.count(F.lit(1)).alias("_n"))
+    cells = at_least(F.floor(F.col("_n") / size), 1)
+    return materialize(runs.join(F.broadcast(of), ["g", "strip"]).withColumn(
         "cell", F.floor(F.col("before_p") * cells / F.col("_n")).cast("int")).drop("before_p", "_n"))
 
 
 def _radii(cells: DataFrame, k: int) -> DataFrame:
     """(id, g, x, y, w, r, kp): distance of the k-th nearest other row, and the rows that reach it (copies where r is 0)."""
     key = ["g", "strip", "cell"]
-    local = materialize(cells.groupBy(*key).applyInPandas(
-        _in_cell(k), "id long, g int, strip int, cell int, x double, y double, w long, r double, ds array<double>, ws array<long>"))
     boxes = cells.groupBy(*key).agg(*[f(c).alias(f"{c}{n}") for c in "xy" for f, n in ((F.min, 0), (F.max, 1))])
-    shelves = boxes.groupBy("g", "strip").agg(F.min("x0").alias("sx0"), F.max("x1").alias("sx1"),
+    shelves = boxes.groupBy("g", "strip").agg(*[f(c + n).alias(f"s{c}{n}") for c in "xy" for f, n in ((F.min, "0"), (F.max, "1"))],
                                               F.collect_list(F.struct("cell", "x0", "x1", "y0", "y1")).alias("cells"))
     shelves = materialize(shelves)
-    walls = shelves.groupBy("g").agg(F.collect_list(F.struct("strip", "sx0", "sx1")).alias("walls"))
+    # one row a strip, of which there are as many as the square root of the cells
+    walls: dict = {}
+    for s in shelves.select("g", "strip", "sx0", "sx1", "sy0", "sy1").collect():
+        walls.setdefault(s["g"], []).append(s[1:])
+    walls = {g: (np.array([s[0] for s in rows]), *(np.array([s[j] for s in rows]) for j in range(1, 5))) for g, rows in walls.items()}
+    local = materialize(cells.groupBy(*key).applyInPandas(
+        _in_cell(k, walls), "id long, g int, strip int, cell int, x double, y double, w long, r double, ds array<double>, ws array<long>, strips array<int>"))
     x, y, r = F.col("x"), F.col("y"), F.col("r")
-    # only strips and cells that can hold a point nearer than r
-    touched = local.where("r > 0").select("id", "g", "x", "y", "r", F.col("strip").alias("_s"), F.col("cell").alias("_c")).join(walls, "g").select(
-        "id", "g", "x", "y", "r", "_s", "_c", F.explode(F.filter("walls", lambda s: (s["sx0"] < x + r) & (s["sx1"] > x - r))["strip"]).alias("strip"))
+    # only cells that can hold a point nearer than r
+    border = local.where("strips IS NOT NULL")
+    touched = border.select("id", "g", "x", "y", "r", F.col("strip").alias("_s"), F.col("cell").alias("_c"), F.explode("strips").alias("strip"))
     visits = touched.join(shelves.select("g", "strip", "cells"), ["g", "strip"]).select(
-        "id", "g", "x", "y", "strip", F.explode(F.filter("cells", lambda b: (b["x0"] < x + r) & (b["x1"] > x - r) & (b["y0"] < y + r) & (b["y1"] > y - r)
-                                                         & ~((F.col("strip") == F.col("_s")) & (b["cell"] == F.col("_c"))))["cell"]).alias("cell"))
+        "id", "g", "x", "y", "r", "strip", F.explode(F.filter("cells", lambda b: (b["x0"] < x + r) & (b["x1"] > x - r) & (b["y0"] < y + r) & (b["y1"] > y - r)
+                                                              & ~((F.col("strip") == F.col("_s")) & (b["cell"] == F.col("_c"))))["cell"]).alias("cell"))
     found = visits.groupBy(*key).cogroup(cells.groupBy(*key)).applyInPandas(_visit(k), "id long, ds array<double>, ws array<long>")
     near = F.flatten(F.collect_list(F.arrays_zip("ds", "ws")))
-    best = local.select("id", "ds", "ws").unionByName(found).groupBy("id").agg(F.sort_array(near).alias("near"))
+    best = border.select("id", "ds", "ws").unionByName(found).groupBy("id").agg(F.sort_array(near).alias("near"))
     start = F.struct(F.lit(-1).cast("long").alias("seen"), F.lit(None).cast("double").alias("r"))
     reach = F.aggregate("near", start, lambda s, e: F.struct(
         (s["seen"] + e["ws"]).alias("seen"), F.when(s["r"].isNull() & (s["seen"] + e["ws"] >= k), e["ds"]).otherwise(s["r"]).alias("r")))["r"]
-    return local.select("id", "g", "x", "y", "w").join(best.select("id", reach.alias("r")), "id").withColumn(
+    done = border.select("id", "g", "x", "y", "w").join(best.select("id", reach.alias("r")), "id")
+    return local.where("strips IS NULL").select("id", "g", "x", "y", "w", "r").unionByName(done).withColumn(
         "kp", F.when(F.col("r") == 0, F.col("w")).otherwise(F.lit(k)))
 
 
-def _within(radii: DataFrame) -> DataFrame:
-    """(id, nx, ny): rows nearer than r along x and along y, the row itself included; equal ones where r is 0."""
+def _counted(few: dict):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, c in enumerate("xy"):
+                n, known = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=bool)
+                for g in b["g"].unique():
+                    if (g, i) in few:
+                        values, sums = few[g, i]
+                        at = np.flatnonzero(b["g"] == g)
+                        v, r = b[c].to_numpy()[at], b["r"].to_numpy()[at]
+                        edge = np.maximum(r - 1e-12 * (np.abs(v) + r), 0.0)  # as below
+                        n[at] = sums[np.searchsorted(values, v + edge, side="right")] - sums[np.searchsorted(values, v - edge, side="left")]
+                        known[at] = True
+                b[f"n{c}"] = pd.array(n, dtype="Int64")
+                b.loc[~known, f"n{c}"] = pd.NA
+            yield b
+
+    return run
+
+
+def _within(radii: DataFrame, few_values: int = FEW_VALUES) -> DataFrame:
+    """(g, w, kp, nx, ny): rows nearer than r along x and along y, the row itself included; equal ones where r is 0.
+
+    An axis of at most ``few_values`` values is a list in every task; the others are counted by probes in sorted order.
+    """
     axes = F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(c).alias("v")) for i, c in enumerate("xy")])).alias("a")
-    flat = radii.select("id", "g", "w", "r", axes).select("id", "g", "w", "r", "a.axis", "a.v")
-    values = flat.groupBy("g", "axis", "v").agg(F.sum("w").alias("w")).select(
+    weights = materialize(radii.select("g", "w", axes).groupBy("g", "a.axis", "a.v").agg(F.sum("w").alias("w")))
+    short = weights.groupBy("g", "axis").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= few_values)
+    few: dict = {}
+    for g, axis, v, w in weights.join(F.broadcast(short), ["g", "axis"]).select("g", "axis", "v", "w").collect():  # few_values rows a factor, side and axis at most
+        few.setdefault((g, axis), []).append((v, w))
+    few = {key: (np.array([v for v, _ in sorted(rows)]), np.cumsum([0] + [w for _, w in sorted(rows)])) for key, rows in few.items()}
+    counted = radii.select("id", "g", "x", "y", "w", "r", "kp").mapInPandas(_counted(few), "id long, g int, x double, y double, w long, r double, kp long, nx long, ny long")
+    counted = materialize(counted)
+    values = weights.join(F.broadcast(short), ["g", "axis"], "left_anti").select(
         "g", "axis", "v", F.lit(1).alias("turn"), "w", F.lit(None).cast("long").alias("id"), F.lit(0).alias("sign"))
     # the k-th neighbour lies on the border itself, and is not inside: rounding must not let it in
     edge = F.when(F.col("r") > 0, at_least(F.col("r") - F.lit(1e-12) * (F.abs("v") + F.col("r")), 0.0)).otherwise(F.lit(0.0))
     probe = F.explode(F.array(F.struct((F.col("v") - edge).alias("v"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")),
                               F.struct((F.col("v") + edge).alias("v"), F.lit(2).alias("turn"), F.lit(1).alias("sign")))).alias("p")
-    probes = flat.select("id", "g", "axis", probe).select("g", "axis", "p.v", "p.turn", F.lit(0).cast("long").alias("w"), "id", "p.sign")
+    open_axes = F.explode(F.filter(F.array(*[F.when(F.col(f"n{c}").isNull(), F.struct(F.lit(i).alias("axis"), F.col(c).alias("v"))) for i, c in enumerate("xy")]), lambda a: a.isNotNull())).alias("a")
+    probes = counted.select("id", "g", "r", open_axes).select("id", "g", "r", "a.axis", "a.v").select("g", "id", "axis", probe).select(
+        "g", "axis", "p.v", "p.turn", F.lit(0).cast("long").alias("w"), "id", "p.sign")
     below = cumulative(values.unionByName(probes), ["g", "axis"], ["v", "turn"], {"w": F.col("w")}).where("id IS NOT NULL")
     inside = lambda i: F.sum(F.when(F.col("axis") == i, F.col("before_w") * F.col("sign")))
-    return below.groupBy("id").agg(inside(0).alias("nx"), inside(1).alias("ny"))
+    rest = below.groupBy("id").agg(inside(0).alias("_nx"), inside(1).alias("_ny"))
+    return counted.join(rest, "id", "left").select("g", "w", "kp", F.coalesce("nx", "_nx").alias("nx"), F.coalesce("ny", "_ny").alias("ny"))
 
 
 def neighbour_information(df: DataFrame, y: str, factors: list[str], row_key: str, k: int = NEIGHBOURS, seed: int = 42, cell: int = CELL) -> DataFrame:
@@ -155,7 +270,7 @@ def neighbour_information(df: DataFrame, y: str, factors: list[str], row_key: st
     sizes = points.groupBy("g").agg(F.sum("w").alias("n"))
     enough = points.join(F.broadcast(sizes.where("n >= 30").select("g")), "g", "left_semi")
     radii = materialize(_radii(_cells(enough, cell), k))
-    terms = radii.join(_within(radii), "id").groupBy("g").agg(
+    terms = _within(radii).groupBy("g").agg(
         F.sum(F.col("w") * (digamma(F.col("kp")) - digamma(F.col("nx")) - digamma(F.col("ny")))).alias("t"))
     per = sizes.join(terms, "g", "left").withColumn("mi", F.when(F.col("t").isNotNull(), at_least(F.col("t") / F.col("n") + digamma(F.col("n")), 0.0)))
     side = lambda c, s: F.max(F.when(F.col("g") % 2 == s, F.col(c)))

@@ -67,3 +67,19 @@ def test_digamma(spark):
     values = [1, 2, 3, 7, 50, 10**6]
     got = spark.createDataFrame([(float(v),) for v in values], "n double").select(information.digamma(F.col("n")).alias("p")).collect()
     assert [r.p for r in got] == pytest.approx([psi(v) for v in values], abs=1e-9)
+
+
+def test_a_value_is_in_one_strip_and_its_rows_stay_in_their_cells(spark):
+    rng = np.random.default_rng(5)
+    n = 6000
+    x, y = rng.integers(0, 4, n) * 1.0, rng.permutation(n) / n
+    points = spark.createDataFrame([(2, float(a), float(b), 1, k) for k, (a, b) in enumerate(zip(x, y))], "g int, x double, y double, w long, id long")
+    cells = information._cells(points, 100)
+    assert cells.groupBy("x").agg(F.countDistinct("strip").alias("n")).agg(F.max("n")).first()[0] == 1
+    sizes = [r["count"] for r in cells.groupBy("strip", "cell").count().collect()]
+    assert sum(sizes) == n and 100 <= min(sizes) and max(sizes) < 200
+    for k in (3, 40):
+        got = {r.id: r.r for r in information._radii(cells, k).collect()}
+        for i in range(0, n, 37):
+            d = np.sort(np.maximum(np.abs(x - x[i]), np.abs(y - y[i])))[k]
+            assert got[i] == pytest.approx(d, abs=1e-12)
