@@ -7,17 +7,22 @@ range-partitioned pass (see ordered.py).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linelens.functions import fixed
 from linelens.functions.expr import (
-    at_least, at_most, corr_sql, count_below, finite, finite_sql, is_numeric, literal, q, rounded, stack_rows, stack_sql, to_long, two_sided_p, weighted_score)
+    at_least, at_most, corr_sql, finite, finite_sql, is_numeric, literal, q, rounded, stack_rows, stack_sql, to_long, two_sided_p, weighted_score)
 from linelens.functions.tails import correlation_p
-from linelens.operators.ordered import attach, average_ranks, cumulative, exact_quantiles, running_sums, with_row_index
+from linelens.operators.ordered import attach, average_ranks, cumulative, exact_quantiles, ranked_quantiles, running_sums, with_row_index
 from linelens.operators.profile import varying
 from linelens.operators.split import seeded_key, with_previous
 from linelens.session import materialize
@@ -115,56 +120,111 @@ def correlations(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
                        F.when(ok, rounded(correlation_p(F.col("r"), F.col("n")), 8)).alias("pearson_p"))
 
 
-def spearman(df: DataFrame, y: str, factors: list[str]) -> DataFrame:
-    """Average-rank correlation per factor, exact on all rows.
+@dataclass
+class FactorRanks:
+    """The distinct values of every factor in order, once for all rank signals of a target.
+
+    ``values``: i (factor number), x, ``n`` rows, ``ny`` rows with a target, ``b`` sum of the target's centred ranks beside
+    them, ``e`` events where the rows are flagged, ``before_n`` and ``before_ny`` rows below. ``levels``: the same for
+    the target (y, n, before_n). ``spread``: factor, bb.
+    """
+
+    factors: list[str]
+    values: DataFrame
+    levels: DataFrame
+    spread: DataFrame
+
+    def label(self) -> Column:
+        return F.get(F.array(*[F.lit(c) for c in self.factors]), F.col("i")).alias("factor")
+
+
+def factor_ranks(df: DataFrame, y: str, factors: list[str]) -> FactorRanks:
+    """Ranks of the target and of every factor, exact on all rows.
 
     The target is ranked once for all factors: a distinct value counts the rows of each factor, so gaps need no
     second ranking. Its ranks are then summed by distinct factor value, and no row is joined to a factor's rank.
     """
     # kept once: the passes below read it
     names = [f"x{i}" for i in range(len(factors))]
-    base = materialize(df.where(finite(q(y)).isNotNull()).select(finite(q(y)).alias("y"), *[finite(q(c)).alias(n) for c, n in zip(factors, names)]))
-    sizes = base.agg(F.count(F.lit(1)).alias("total"), *[F.count(n).alias(n) for n in names]).first()
+    event = F.col(EVENT).cast("int") if EVENT in df.columns else F.lit(None).cast("int")
+    base = materialize(df.select(finite(q(y)).alias("y"), event.alias("e"), *[finite(q(c)).alias(n) for c, n in zip(factors, names)]))
+    known = base.where("y is not null")
     # of the target: a row a distinct value with its count beside each factor, and its centred rank there
-    levels = base.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *[F.count(n).alias(f"c{i}") for i, n in enumerate(names)])
-    placed = cumulative(levels, [], ["y"], {f"c{i}": F.col(f"c{i}") for i in range(len(factors))})
-    centred = lambda i: F.col(f"before_c{i}") + (F.col(f"c{i}") + 1) / 2.0 - (sizes[f"x{i}"] + 1) / 2.0
-    y_ranks = materialize(placed.select("y", "n", *[f"c{i}" for i in range(len(factors))], *[centred(i).alias(f"b{i}") for i in range(len(factors))]))
+    counts = [f"c{i}" for i in range(len(factors))]
+    levels = known.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *[F.count(n).alias(c) for c, n in zip(counts, names)])
+    placed = materialize(cumulative(levels, [], ["y"], {c: F.col(c) for c in ["n", *counts]}))
+    sizes = placed.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *counts]]).first()
+    centred = lambda c: F.col(f"before_{c}") + (F.col(c) + 1) / 2.0 - (sizes[c] + 1) / 2.0
+    y_ranks = placed.select("y", "n", *counts, *[centred(c).alias(f"b{i}") for i, c in enumerate(counts)])
     spread = y_ranks.agg(*[F.sum(F.col(f"c{i}") * F.col(f"b{i}") * F.col(f"b{i}")).alias(f"bb{i}") for i in range(len(factors))])
     spread = stack_rows(spread, [{"factor": F.lit(c), "bb": F.col(f"bb{i}")} for i, c in enumerate(factors)])
     # of a factor: a row a distinct value with the sum of the target's ranks beside it
-    ranked = attach(base, y_ranks.select("y", "n", *[f"b{i}" for i in range(len(factors))]), ["y"], total=sizes["total"])
+    ranked = attach(known, y_ranks.select("y", "n", *[f"b{i}" for i in range(len(factors))]), ["y"], total=sizes["n"])
+    ranked = ranked.unionByName(base.where("y is null"), allowMissingColumns=True)
     cells = F.arrays_zip(F.array(*names).alias("x"), F.array(*[f"b{i}" for i in range(len(factors))]).alias("b"))
-    long = ranked.select(F.posexplode(cells).alias("i", "s")).select("i", "s.x", "s.b").where("x is not null")
-    per_x = average_ranks(long, ["i"], "x", {"b": F.col("b")})
-    label = F.get(F.array(*[F.lit(c) for c in factors]), F.col("i")).alias("factor")
-    held = F.get(F.array(*[F.lit(sizes[n]) for n in names]), F.col("i"))
-    a = F.col("avg_rank") - (held + 1) / 2.0
-    sums = per_x.select(label, "n", "b", a.alias("a")).groupBy("factor").agg(
-        F.sum("n").alias("n"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("n") * F.col("a") * F.col("a")).alias("aa")).join(F.broadcast(spread), "factor")
+    long = ranked.select("e", F.posexplode(cells).alias("i", "s")).select("i", "s.x", "s.b", "e").where("x is not null")
+    freq = long.groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"), F.count("b").alias("ny"), F.sum("b").alias("b"), F.sum("e").alias("e"))
+    values = materialize(cumulative(freq, ["i"], ["x"], {"n": F.col("n"), "ny": F.col("ny")}))
+    return FactorRanks(factors, values, placed.select("y", "n", "before_n"), spread)
+
+
+def rank_edges(ranks: FactorRanks, y: str, bins: int) -> dict[str, list[float | None]]:
+    """The exact bin edges of target and factors, read off their ranks."""
+    both = ranks.levels.select(F.lit(-1).alias("k"), F.col("y").alias("v"), "n", "before_n").unionByName(
+        ranks.values.select(F.col("i").alias("k"), F.col("x").alias("v"), "n", "before_n"))
+    found = ranked_quantiles(both, [k / bins for k in range(1, bins)])
+    none = [None] * (bins - 1)
+    return {y: found.get(-1, none)} | {c: found.get(i, none) for i, c in enumerate(ranks.factors)}
+
+
+def spearman(df: DataFrame, y: str, factors: list[str], ranks: FactorRanks | None = None) -> DataFrame:
+    """Average-rank correlation per factor, exact on all rows. ``ranks`` of the same rows may be shared with other signals."""
+    ranks = factor_ranks(df, y, factors) if ranks is None else ranks
+    per_x = ranks.values.where("ny > 0").select(ranks.label(), "i", F.col("ny").alias("n"), "b", (F.col("before_ny") + (F.col("ny") + 1) / 2.0).alias("avg_rank"))
+    held = per_x.groupBy("i").agg(F.sum("n").alias("held"))  # one row a factor
+    a = F.col("avg_rank") - (F.col("held") + 1) / 2.0
+    sums = per_x.join(F.broadcast(held), "i").select("factor", "n", "b", a.alias("a")).groupBy("factor").agg(
+        F.sum("n").alias("n"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("n") * F.col("a") * F.col("a")).alias("aa")).join(F.broadcast(ranks.spread), "factor")
     ok = (F.col("n") >= 30) & (F.col("aa") > 0) & (F.col("bb") > 0)
     r = F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))
     return sums.select("factor", "n", F.when(ok, rounded(r)).alias("spearman_r"), F.when(ok, rounded(correlation_p(r, F.col("n")), 8)).alias("spearman_p"))
 
 
-def _bin(c: Column, edges: list[float]) -> Column:
-    return F.when(c.isNotNull(), count_below(c, edges))
+def _bin_numbers(edges: list[np.ndarray], kept: int):
+    """Arrow batches: the first ``kept`` columns as they are, of each other one how many of its edges lie below the value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [batch.column(j) for j in range(kept)]
+            for j, cuts in enumerate(edges):
+                v = batch.column(kept + j).to_numpy(zero_copy_only=False)
+                out.append(pa.array(np.searchsorted(cuts, v, side="left").astype(np.int32), mask=np.isnan(v)))
+            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:kept], *[f"b_{j}" for j in range(len(edges))]])
+
+    return run
 
 
-def binned(df: DataFrame, columns: list[str], keep: list[Column], bins: int = MI_BINS) -> DataFrame:
-    """Equal-frequency bin of each column (``b_<i>``), cut at exact quantiles of the column."""
-    edges = exact_quantiles(df, {c: [k / bins for k in range(1, bins)] for c in columns})
-    return df.select(*keep, *[_bin(finite(q(c)), [e for e in edges[c] if e is not None]).alias(f"b_{i}") for i, c in enumerate(columns)])
+def binned(df: DataFrame, columns: list[str], keep: list[Column], bins: int = MI_BINS, edges: dict[str, list[float | None]] | None = None) -> DataFrame:
+    """Equal-frequency bin of each column (``b_<i>``), cut at exact quantiles of the column (``edges``, where they are known)."""
+    if edges is None:
+        edges = exact_quantiles(df, {c: [k / bins for k in range(1, bins)] for c in columns})
+    kept = df.select(*keep).schema
+    schema = T.StructType([*kept.fields, *[T.StructField(f"b_{i}", T.IntegerType()) for i in range(len(columns))]])
+    cuts = [np.array([e for e in edges[c] if e is not None], dtype=float) for c in columns]
+    return df.select(*keep, *[finite(q(c)).alias(f"_x{i}") for i, c in enumerate(columns)]).mapInArrow(_bin_numbers(cuts, len(kept)), schema)
 
 
-def mutual_information(df: DataFrame, y: str, factors: list[str], row_key: str, seed: int = 42, bins: int = MI_BINS) -> DataFrame:
+def mutual_information(df: DataFrame, y: str, factors: list[str], row_key: str, seed: int = 42, bins: int = MI_BINS,
+                       ranks: FactorRanks | None = None) -> DataFrame:
     """Binned mutual information (nats) of each factor with the target, and the same after re-pairing.
 
     The estimator counts a bins x bins table; the baseline pairs each row with the target bin of
     another row, taken from the neighbour in seeded random order. Both tables come from one
-    aggregation whose size does not depend on the rows.
+    aggregation whose size does not depend on the rows. ``ranks`` of the same rows give the bin edges.
     """
-    narrow = binned(df, [y, *factors], [seeded_key(seed, q(row_key)).alias("_h")], bins).withColumnRenamed("b_0", "by")
+    edges = None if ranks is None else rank_edges(ranks, y, bins)
+    # kept once: the ordering reads it twice
+    narrow = materialize(binned(df, [y, *factors], [seeded_key(seed, q(row_key)).alias("_h")], bins, edges).withColumnRenamed("b_0", "by"))
     paired = with_previous(narrow, ["_h"], ["by"]).withColumnRenamed("_prev_by", "bp")
     # one number a cell (factor, bx, by, bp), a missing bin counting as ``bins``: at most (bins + 1)^3 rows a factor leave a task
     wide = bins + 1
@@ -209,12 +269,15 @@ def group_effect(flagged: DataFrame, factors: list[str]) -> DataFrame:
                        F.when(ok, rounded(F.when(pooled > 0, diff / pooled).otherwise(0.0))).alias("standardized_effect"))
 
 
-def mann_whitney(flagged: DataFrame, factors: list[str]) -> DataFrame:
-    """Two-sided U test of event against other rows (tie and continuity corrected normal p)."""
-    long = to_long(flagged.withColumn("_e", F.col(EVENT).cast("int")), factors, ["_e"], "factor", "x")
-    ranks = average_ranks(long, ["factor"], "x", {"e": F.col("_e")})
+def mann_whitney(flagged: DataFrame, factors: list[str], ranks: FactorRanks | None = None) -> DataFrame:
+    """Two-sided U test of event against other rows (tie and continuity corrected normal p). ``ranks`` of the same rows may be shared."""
+    if ranks is None:
+        long = to_long(flagged.withColumn("_e", F.col(EVENT).cast("int")), factors, ["_e"], "factor", "x")
+        per_x = average_ranks(long, ["factor"], "x", {"e": F.col("_e")})
+    else:
+        per_x = ranks.values.select(ranks.label(), "n", "e", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
     n, t, e = F.col("n"), F.col("n").cast("double"), F.col("e")
-    sums = ranks.groupBy("factor").agg(F.sum(n).alias("n"), F.sum(e).alias("n1"), F.sum(e * F.col("avg_rank")).alias("r1"),
+    sums = per_x.groupBy("factor").agg(F.sum(n).alias("n"), F.sum(e).alias("n1"), F.sum(e * F.col("avg_rank")).alias("r1"),
                                        F.sum(t * t * t - t).alias("ties"))
     n1, total = F.col("n1").cast("double"), F.col("n").cast("double")
     n2 = total - n1

@@ -50,12 +50,13 @@ def root_cause(df: DataFrame, meta_df: DataFrame, target: str, row_key: str, ord
     flagged, event = evidence.tail_event(df, target, direction, quantile)
     if factors is None:
         factors, _ = evidence.select_factors(df.drop(row_key) if row_key not in (order_cols or []) else df, target, responses or [])
+    ranks = evidence.factor_ranks(flagged, target, factors)  # one ranking for the three rank signals
     # one row per factor in each table below
     signals = evidence.correlations(flagged, target, factors).select("factor", "n", "pearson_r", "pearson_p")
-    signals = signals.join(evidence.spearman(flagged, target, factors).drop("n"), "factor", "left")
-    signals = signals.join(evidence.mutual_information(flagged, target, factors, row_key, seed).drop("n"), "factor", "left")
+    signals = signals.join(evidence.spearman(flagged, target, factors, ranks).drop("n"), "factor", "left")
+    signals = signals.join(evidence.mutual_information(flagged, target, factors, row_key, seed, ranks=ranks).drop("n"), "factor", "left")
     signals = signals.join(evidence.group_effect(flagged, factors).drop("available"), "factor", "left")
-    signals = signals.join(evidence.mann_whitney(flagged, factors), "factor", "left")
+    signals = signals.join(evidence.mann_whitney(flagged, factors, ranks), "factor", "left")
     if order_cols:
         t = evidence.temporal(flagged, target, factors, order_cols).drop("n").withColumnRenamed("available", "temporal_available")
         signals = signals.join(t, "factor", "left")

@@ -193,3 +193,27 @@ def test_mutual_information_counts_cells_with_gaps(spark):
     pa, py = both["a"].value_counts() / n, both["y"].value_counts() / n
     want = sum(c / n * math.log(c / n / (pa[a] * py[y])) for (a, y), c in both.value_counts().items())
     assert row["n"] == n and row["mi"] == pytest.approx(want, abs=1e-5)
+
+
+def test_shared_ranks_give_the_signals_of_separate_ones(spark):
+    # ties, gaps in factors and target, a factor without values, signed zeros
+    rows = [(i, None if i % 11 == 0 else float(i * 7 % 97), float(i % 5) - 2.0, None if i % 3 == 0 else float(i * i % 101), -0.0 if i % 2 else 0.0, None) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, y double, a double, b double, c double, d double")
+    flagged, names = evidence.tail_event(df, "y")[0], ["a", "b", "c", "d"]
+    ranks = evidence.factor_ranks(flagged, "y", names)
+    read = lambda found: sorted(map(tuple, found.collect()))
+    assert read(evidence.spearman(flagged, "y", names, ranks)) == read(evidence.spearman(flagged, "y", names))
+    assert read(evidence.mann_whitney(flagged, names, ranks)) == read(evidence.mann_whitney(flagged, names))
+    assert read(evidence.mutual_information(flagged, "y", names, "id", ranks=ranks)) == read(evidence.mutual_information(flagged, "y", names, "id"))
+    bins = [k / 16 for k in range(1, 16)]
+    assert evidence.rank_edges(ranks, "y", 16) == evidence.exact_quantiles(df, {c: bins for c in ["y", *names]})
+
+
+def test_previous_row_crosses_runs_and_keeps_nulls(spark):
+    from linelens.operators.split import with_previous
+
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i * 10) for i in range(1000)], "id long, v long").repartition(7)
+    got = {r["id"]: r["_prev_v"] for r in with_previous(df, ["id"], ["v"]).collect()}
+    assert got == {i: None if (i - 1) % 1000 % 4 == 0 else (i - 1) % 1000 * 10 for i in range(1000)}
+    assert with_previous(df.where("id = 5"), ["id"], ["v"]).first()["_prev_v"] == 50
+    assert with_previous(df.where("id < 0"), ["id"], ["v"]).collect() == []
