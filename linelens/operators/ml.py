@@ -16,6 +16,8 @@ from linelens.operators.profile import distinct_counts
 from linelens.session import materialize
 
 FOREST_TREES, BOOST_ROUNDS = 200, 150
+#: Rows in a partition of the table that models are fitted on.
+FIT_ROWS = 8192
 
 
 def detect_target_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -120,15 +122,29 @@ def _score(kind: str, predicted: DataFrame) -> dict:
     return classification_metrics(confusion(predicted, F.col("label"), F.col("prediction"))).first().asDict()
 
 
+def spread_rows(data: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """The columns of ``n`` rows in even partitions of about FIT_ROWS, sorted inside.
+
+    A narrow table of many rows is little data, so a scan would give all of it to one task. The number of partitions and
+    the order in them follow from the rows alone, and with them what a seeded forest draws.
+    """
+    return data.select(*[q(c) for c in columns]).repartition(-(-n // FIT_ROWS)).sortWithinPartitions(*[q(c) for c in columns])
+
+
 def select_model(df: DataFrame, target: str, features: list[str], kind: str, seed: int = 42, forest_trees: int = FOREST_TREES,
                  boost_rounds: int = BOOST_ROUNDS) -> dict:
     """Fit on train, choose on validation, touch test once. A failed candidate is recorded, not fatal."""
-    data = df.select("*", q(target).cast("double").alias("label")).persist()
+    kept = [df.select("*", q(target).cast("double").alias("label")).persist()]
     try:
+        data = kept[0]
         part = lambda s: data.where(F.col("split") == s)
         counts = {r["split"]: r["n"] for r in data.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not all(counts.get(s) for s in ("train", "validation", "test")):
             return {"status": "NOT_SUPPORTED", "reason": "a split partition is empty", "results": [], "best": None, "model": None}
+        rows = sum(counts.values())
+        if rows > FIT_ROWS:
+            kept.append(spread_rows(data, rows, [*dict.fromkeys([*features, "label", "split"])]).persist())
+            data = kept[1]
         measure, lower = ("rmse", True) if kind == "regression" else ("f1_weighted", False)
         results, best, first = [], None, None
         for place, (name, est) in enumerate(candidates(kind, counts["train"], features, seed, forest_trees, boost_rounds)):
@@ -149,7 +165,8 @@ def select_model(df: DataFrame, target: str, features: list[str], kind: str, see
         return {"status": "READY", "reason": None, "results": results, "best": best[0], "model": best[2], "test": test, "baseline": baseline,
                 "metric": measure, "counts": counts, "kind": kind, "features": features, "target": target}
     finally:
-        data.unpersist()
+        for held in kept:
+            held.unpersist()
 
 
 def selection_table(spark, run: dict) -> DataFrame:

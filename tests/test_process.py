@@ -198,3 +198,25 @@ def test_tables_of_one_name_are_both_read(spark, tmp_path):
 def test_a_late_byte_decides_the_encoding(spark, tmp_path):
     (tmp_path / "late.csv").write_bytes(b"x,y\n" + b"1,a\n" * 1500 + b"2,\xe9\n")
     assert tables.scan_delimited(spark, str(tmp_path / "late.csv")).where("x = 2").first()["y"] == "é"
+
+
+def test_models_are_fitted_on_even_partitions_of_the_rows(spark, monkeypatch):
+    """Many narrow rows come as one partition; every one must reach a fit, in partitions that follow from the rows alone."""
+    from pyspark.sql import functions as F
+
+    from linelens.operators import ml
+
+    monkeypatch.setattr(ml, "FIT_ROWS", 100)
+    seen = []
+
+    class Mean(ml.MeanBaseline):
+        def fit(self, train):
+            seen.append([[tuple(r) for r in part] for part in train.select("x", "label").rdd.glom().collect()])
+            return super().fit(train)
+
+    monkeypatch.setattr(ml, "candidates", lambda kind, *a: [("mean", Mean(False))])
+    df = spark.range(1000).select((F.col("id") % 50 * 1.0).alias("x"), (F.col("id") * 1.0).alias("y"), F.when(F.col("id") < 700, "train").when(F.col("id") < 850, "validation").otherwise("test").alias("split"))
+    runs = [ml.select_model(some, "y", ["x"], "regression") for some in (df.coalesce(1), df.coalesce(1))]
+    sizes = [len(part) for part in seen[0]]
+    assert len(sizes) == 10 and max(sizes) <= 100 and sorted(r for part in seen[0] for r in part) == sorted((i % 50 * 1.0, i * 1.0) for i in range(700))
+    assert seen[0] == seen[1] and runs[0]["test"] == runs[1]["test"] and runs[0]["counts"] == {"train": 700, "validation": 150, "test": 150}
