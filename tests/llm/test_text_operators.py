@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -333,6 +334,24 @@ def test_records_round_trip(spark, docs, rows, no_docs):
     assert records.positions(records.build_index(spark, empty)).count() == 0
 
 
+def test_a_batch_asks_once_for_each_word(monkeypatch, rows):
+    t = Tokenizer.from_file(public_tokenizers.path(records.TOKENIZER))
+    encoder = records._Encoder(public_tokenizers.path(records.TOKENIZER), 2)
+    asked = Counter()
+    find = encoder._word
+    monkeypatch.setattr(encoder, "_word", lambda w: asked.update([w]) or find(w))
+    monkeypatch.setattr(records, "REMEMBERED", 20)
+    many = ["first " + "again, and again and. " * 50 + "end"] * 40
+    assert [x for x in encoder.encode(pa.array(many))] == [np.array(t.encode(many[0]).ids, "<u2").tobytes()] * 40
+    assert max(asked.values()) == 1 and set(asked) <= set(many[0].split())
+    odd = [*AWKWARD, None, "", " ", "a ", " a", "a  b", "a \n b", "a\n b", "a \nb", "a\nb\tc", "a\r b", "a.. b.) c's 'd 12a é1 _x", "a \xa0 b", "a <|endoftext|> b", "<|endoftext|>", "w" * 100 + " " + "v" * 100 + "!"]
+    odd += [x for _, x, _ in rows]
+    for _ in range(2):
+        for texts in (pa.array(odd).slice(3), pa.array(odd, pa.large_string()), pa.array([], pa.string())):
+            want = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u2").tobytes() for x in texts.to_pylist()]
+            assert encoder.encode(texts) == want
+
+
 def test_damaged_records_are_refused():
     good = records.frame(b"payload\n with a line feed") + b"\n"
     assert [bytes(p) for _, p in records.frames(good * 2)] == [b"payload\n with a line feed"] * 2
