@@ -394,7 +394,7 @@ def t1_history(spark, sf):
         F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("inspection_id"),
         F.expr(_EVD).alias("decision"), F.col("value").cast("double").alias("confidence")))
     for part in (frames.where("inspection_id % 3 <> 0"), frames.where("inspection_id % 3 = 0 OR inspection_id % 10 = 1")):
-        part.coalesce(2).write.mode("append").parquet(src)
+        part.write.mode("append").parquet(src)
         live = spark.readStream.schema(stream.FRAME_SCHEMA).parquet(src)
         with stream.keyed_state(spark):
             stream.run_to_table(stream.source_history(live, late="60 days", idle="60 days"), out, ckpt, mode="update")

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 
 from linelens.streaming import stream
 
@@ -75,6 +76,22 @@ def test_merging_in_any_grouping():
         assert stream.newest_frames(sum(parts, []), 7) == stream.newest_frames(frames, 7)
 
 
+def test_a_table_of_frames_at_once_like_one_source_at_a_time(monkeypatch):
+    rng = random.Random(6)
+    one = stream.newest_frames
+    monkeypatch.setattr(stream, "newest_frames", None)  # no work in Python for each source of a batch
+    frame = lambda: (rng.choice(["a", "a", "b", "c", None]), rng.randrange(30), rng.randrange(40), rng.choice(["x", "y", None]), rng.choice([None, -1.0, 0.5, float("inf")]))
+    for size, held_rows in ((0, 5), (1, 5), (60, 1000), (400, 30), (400, 250)):
+        rows = [frame() for _ in range(size)]
+        batches = [pd.DataFrame(rows[k : k + 20], columns=["source", "at", "inspection_id", "decision", "confidence"]) for k in range(0, size, 20)]
+        out = [f for part in stream._combine(7, held_rows)(iter(batches)) for f in part.astype(object).where(part.notna(), None).itertuples(index=False, name=None)]
+        of = lambda table, s: one([f[1:] for f in table if f[0] == s], 7)
+        assert {f[0] for f in out} == {f[0] for f in rows} and all(of(out, s) == of(rows, s) for s in {f[0] for f in rows})
+        assert size < held_rows or size == 400
+        if size < held_rows:  # in one piece: nothing but the newest
+            assert len(out) == sum(len(of(rows, s)) for s in {f[0] for f in rows})
+
+
 def test_the_setting_of_other_streams_stays(spark):
     before = spark.conf.get(stream.STATE_STORE)
     with stream.keyed_state(spark):
