@@ -4,7 +4,7 @@ Rows collapse to distinct weighted points, so a value that a third of the rows h
 into strips by x and cells by y, both of even size; in a cell, leaves of a few points stand in for a tree, and a point is
 compared with those its radius reaches. A point whose radius stays in its cell is done; the others, near a border, visit
 the cells that can hold a nearer point. Rows inside the radius along one axis are
-counted by cumulative sums, of a list of values where an axis has few, in sorted order otherwise.
+counted by cumulative sums, of a list of values where an axis has few, among the neighbours in sorted runs otherwise.
 """
 
 from __future__ import annotations
@@ -155,7 +155,8 @@ def _cells(points: DataFrame, size: int) -> DataFrame:
     borders: dict = {}
     for g, x in placed.groupBy("g", "strip").agg(F.min("x").alias("x")).select("g", "x").orderBy("g", "x").collect():
         borders.setdefault(g, []).append(x)
-    rows = points.mapInPandas(_with_strip({g: np.array(x) for g, x in borders.items()}), "g int, x double, y double, w long, id long, strip int")
+    # written before it is dealt by range, which reads its input twice
+    rows = materialize(points.mapInPandas(_with_strip({g: np.array(x) for g, x in borders.items()}), "g int, x double, y double, w long, id long, strip int"))
     runs = cumulative(rows, ["g", "strip"], ["y", "x"], {"p": F.lit(1)})
     of = runs.groupBy("g", "strip").agg(F.count(F.lit(1)).alias("_n"))
     cells = at_least(F.floor(F.col("_n") / size), 1)
@@ -205,7 +206,7 @@ def _counted(few: dict):
                         values, sums = few[g, i]
                         at = np.flatnonzero(b["g"] == g)
                         v, r = b[c].to_numpy()[at], b["r"].to_numpy()[at]
-                        edge = np.maximum(r - 1e-12 * (np.abs(v) + r), 0.0)  # as below
+                        edge = _edge(v, r)
                         n[at] = sums[np.searchsorted(values, v + edge, side="right")] - sums[np.searchsorted(values, v - edge, side="left")]
                         known[at] = True
                 b[f"n{c}"] = pd.array(n, dtype="Int64")
@@ -215,10 +216,47 @@ def _counted(few: dict):
     return run
 
 
-def _within(radii: DataFrame, few_values: int = FEW_VALUES) -> DataFrame:
-    """(g, w, kp, nx, ny): rows nearer than r along x and along y, the row itself included; equal ones where r is 0.
+def _in_runs(piece_rows: int):
+    """Counts along an axis for the points whose reach stays inside a piece of a sorted run; null for the others."""
 
-    An axis of at most ``few_values`` values is a list in every task; the others are counted by probes in sorted order.
+    def pieces(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n >= piece_rows:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+        if n:
+            yield pd.concat(held, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in pieces(batches):
+            key, v, w, r = (b["g"] * 2 + b["axis"]).to_numpy(), *(b[c].to_numpy() for c in ("v", "w", "r"))
+            edge = _edge(v, r)
+            low, high = v - edge, v + edge
+            n, known = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=bool)
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(b)]
+            for at in map(slice, cuts[:-1], cuts[1:]):
+                of = v[at]
+                sums = np.concatenate([[0], np.cumsum(w[at])])
+                n[at] = sums[np.searchsorted(of, high[at], side="right")] - sums[np.searchsorted(of, low[at], side="left")]
+                known[at] = (low[at] > of[0]) & (high[at] < of[-1])  # equal values may lie beyond the ends
+            yield b.assign(n=pd.arrays.IntegerArray(n, ~known))
+
+    return run
+
+
+def _edge(v, r):
+    """The k-th neighbour lies on the border itself, and is not inside: rounding must not let it in."""
+    return np.maximum(r - 1e-12 * (np.abs(v) + r), 0.0)
+
+
+def _within(radii: DataFrame, few_values: int = FEW_VALUES, piece_rows: int = 1 << 18) -> DataFrame:
+    """(g, w, n), a row for each axis of a point: rows nearer than r along it, the row itself included; equal ones where r is 0.
+
+    An axis of at most ``few_values`` values is a list in every task. The others are sorted, and a point is counted among
+    its neighbours in the sorted run; one whose reach leaves the piece of the run asks in a second sorted pass.
     """
     axes = F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(c).alias("v")) for i, c in enumerate("xy")])).alias("a")
     weights = materialize(radii.select("g", "w", axes).groupBy("g", "a.axis", "a.v").agg(F.sum("w").alias("w")))
@@ -227,21 +265,23 @@ def _within(radii: DataFrame, few_values: int = FEW_VALUES) -> DataFrame:
     for g, axis, v, w in weights.join(F.broadcast(short), ["g", "axis"]).select("g", "axis", "v", "w").collect():  # few_values rows a factor, side and axis at most
         few.setdefault((g, axis), []).append((v, w))
     few = {key: (np.array([v for v, _ in sorted(rows)]), np.cumsum([0] + [w for _, w in sorted(rows)])) for key, rows in few.items()}
-    counted = radii.select("id", "g", "x", "y", "w", "r", "kp").mapInPandas(_counted(few), "id long, g int, x double, y double, w long, r double, kp long, nx long, ny long")
-    counted = materialize(counted)
+    counted = materialize(radii.select("id", "g", "x", "y", "w", "r").mapInPandas(_counted(few), "id long, g int, x double, y double, w long, r double, nx long, ny long"))
+    listed = counted.select("g", "w", F.explode(F.array("nx", "ny")).alias("n")).where("n IS NOT NULL")
+    open_axes = F.explode(F.filter(F.array(*[F.when(F.col(f"n{c}").isNull(), F.struct(F.lit(i).alias("axis"), F.col(c).alias("v"))) for i, c in enumerate("xy")]), lambda a: a.isNotNull())).alias("a")
+    rest = counted.where("nx IS NULL OR ny IS NULL").select("id", "g", "w", "r", open_axes).select("id", "g", "a.axis", "a.v", "w", "r")
+    order = ["g", "axis", "v"]
+    runs = materialize(rest.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
+        _in_runs(piece_rows), "id long, g int, axis int, v double, w long, r double, n long"))
     values = weights.join(F.broadcast(short), ["g", "axis"], "left_anti").select(
-        "g", "axis", "v", F.lit(1).alias("turn"), "w", F.lit(None).cast("long").alias("id"), F.lit(0).alias("sign"))
-    # the k-th neighbour lies on the border itself, and is not inside: rounding must not let it in
-    edge = F.when(F.col("r") > 0, at_least(F.col("r") - F.lit(1e-12) * (F.abs("v") + F.col("r")), 0.0)).otherwise(F.lit(0.0))
+        "g", "axis", "v", F.lit(1).alias("turn"), "w", F.lit(None).cast("long").alias("id"), F.lit(0).alias("sign"), F.lit(None).cast("long").alias("rows"))
+    edge = at_least(F.col("r") - F.lit(1e-12) * (F.abs("v") + F.col("r")), 0.0)  # as above
     probe = F.explode(F.array(F.struct((F.col("v") - edge).alias("v"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")),
                               F.struct((F.col("v") + edge).alias("v"), F.lit(2).alias("turn"), F.lit(1).alias("sign")))).alias("p")
-    open_axes = F.explode(F.filter(F.array(*[F.when(F.col(f"n{c}").isNull(), F.struct(F.lit(i).alias("axis"), F.col(c).alias("v"))) for i, c in enumerate("xy")]), lambda a: a.isNotNull())).alias("a")
-    probes = counted.select("id", "g", "r", open_axes).select("id", "g", "r", "a.axis", "a.v").select("g", "id", "axis", probe).select(
-        "g", "axis", "p.v", "p.turn", F.lit(0).cast("long").alias("w"), "id", "p.sign")
+    probes = runs.where("n IS NULL").select("g", "axis", "id", F.col("w").alias("rows"), probe).select(
+        "g", "axis", "p.v", "p.turn", F.lit(0).cast("long").alias("w"), "id", "p.sign", "rows")
     below = cumulative(values.unionByName(probes), ["g", "axis"], ["v", "turn"], {"w": F.col("w")}).where("id IS NOT NULL")
-    inside = lambda i: F.sum(F.when(F.col("axis") == i, F.col("before_w") * F.col("sign")))
-    rest = below.groupBy("id").agg(inside(0).alias("_nx"), inside(1).alias("_ny"))
-    return counted.join(rest, "id", "left").select("g", "w", "kp", F.coalesce("nx", "_nx").alias("nx"), F.coalesce("ny", "_ny").alias("ny"))
+    asked = below.groupBy("g", "axis", "id").agg(F.first("rows").alias("w"), F.sum(F.col("before_w") * F.col("sign")).alias("n"))
+    return listed.unionByName(runs.where("n IS NOT NULL").select("g", "w", "n")).unionByName(asked.select("g", "w", "n"))
 
 
 def neighbour_information(df: DataFrame, y: str, factors: list[str], row_key: str, k: int = NEIGHBOURS, seed: int = 42, cell: int = CELL) -> DataFrame:
@@ -270,8 +310,9 @@ def neighbour_information(df: DataFrame, y: str, factors: list[str], row_key: st
     sizes = points.groupBy("g").agg(F.sum("w").alias("n"))
     enough = points.join(F.broadcast(sizes.where("n >= 30").select("g")), "g", "left_semi")
     radii = materialize(_radii(_cells(enough, cell), k))
-    terms = _within(radii).groupBy("g").agg(
-        F.sum(F.col("w") * (digamma(F.col("kp")) - digamma(F.col("nx")) - digamma(F.col("ny")))).alias("t"))
+    # a sum over the points and one over their axes, which therefore need not meet again
+    counts = radii.select("g", "w", F.col("kp").alias("n"), F.lit(1).alias("sign")).unionByName(_within(radii).select("g", "w", "n", F.lit(-1).alias("sign")))
+    terms = counts.groupBy("g").agg(F.sum(F.col("sign") * F.col("w") * digamma(F.col("n"))).alias("t"))
     per = sizes.join(terms, "g", "left").withColumn("mi", F.when(F.col("t").isNotNull(), at_least(F.col("t") / F.col("n") + digamma(F.col("n")), 0.0)))
     side = lambda c, s: F.max(F.when(F.col("g") % 2 == s, F.col(c)))
     wide = per.groupBy(F.floor(F.col("g") / 2).cast("int").alias("i")).agg(side("n", 0).alias("n"), side("mi", 0).alias("mi"), side("mi", 1).alias("base"))

@@ -83,3 +83,30 @@ def test_a_value_is_in_one_strip_and_its_rows_stay_in_their_cells(spark):
         for i in range(0, n, 37):
             d = np.sort(np.maximum(np.abs(x - x[i]), np.abs(y - y[i])))[k]
             assert got[i] == pytest.approx(d, abs=1e-12)
+
+
+def test_counts_along_an_axis_come_from_the_neighbours_in_a_run(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n, asked = 3000, []
+    x = np.where(rng.random(n) < 0.1, 0.25, rng.random(n))  # a tenth of the points have one value
+    y, w, r = rng.integers(0, 5, n) / 4, rng.integers(1, 4, n), np.where(rng.random(n) < 0.2, 0.0, 0.004 * rng.random(n))
+    r[:3] = 0.6  # these leave every piece
+    rows = [(k, 2 + k % 2, float(x[k]), float(y[k]), int(w[k]), float(r[k]), 3) for k in range(n)]
+    radii = spark.createDataFrame(rows, "id long, g int, x double, y double, w long, r double, kp long").repartition(3)
+    plain = information.cumulative
+
+    def counting(df, *how):
+        asked.append(df.where("id IS NOT NULL").count())
+        return plain(df, *how)
+
+    monkeypatch.setattr(information, "cumulative", counting)
+    want = []
+    for k in range(n):
+        same = np.arange(n) % 2 == k % 2
+        for v in (x, y):
+            edge = max(r[k] - 1e-12 * (abs(v[k]) + r[k]), 0.0)
+            want.append((2 + k % 2, int(w[k]), int(w[same & (v >= v[k] - edge) & (v <= v[k] + edge)].sum())))
+    for pieces, most in ((1 << 18, 60), (300, 600), (1, 2 * n)):
+        got = [tuple(g) for g in information._within(radii, few_values=5, piece_rows=pieces).select("g", "w", "n").collect()]
+        assert sorted(got) == sorted(want)
+        assert asked.pop() <= most and not asked
